@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .quality import quality_rules
+from .simhash import simhash_near_dedup
 
 QUERIES = {
     "op3_quality_rules": quality_rules,
+    "op8_simhash_near_dedup": simhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
