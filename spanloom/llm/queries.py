@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .mixing import source_mixing
 from .quality import quality_rules
 from .simhash import simhash_near_dedup
 
 QUERIES = {
     "op3_quality_rules": quality_rules,
+    "op7_source_mixing": source_mixing,
     "op8_simhash_near_dedup": simhash_near_dedup,
 }
 
