@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from .bpe import bpe_encode_decode
+from .langid import language_id
 from .linededup import line_dedup
 from .mixing import source_mixing
 from .quality import quality_rules
 from .simhash import simhash_near_dedup
 
 QUERIES = {
+    "op2_language_id": language_id,
     "op3_quality_rules": quality_rules,
     "op4_line_dedup": line_dedup,
+    "op5_bpe_encode_decode": bpe_encode_decode,
     "op7_source_mixing": source_mixing,
     "op8_simhash_near_dedup": simhash_near_dedup,
 }
@@ -18,7 +22,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS at
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_no
             FROM documents
         ), keyed AS (
             SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
@@ -31,7 +35,7 @@ ORACLE_SQL: dict[str, str] = {
             SELECT keyed.*, held.k IS NOT NULL AND doc_id <> first_doc AS gone FROM keyed LEFT JOIN held USING (k)
         )
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
-               sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS kept_sha256
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM told GROUP BY doc_id
     """,
 }
