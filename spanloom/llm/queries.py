@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import bpe_encode_decode
+from .html import html_extraction
 from .langid import language_id
 from .linededup import line_dedup
 from .mixing import source_mixing
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_bpe_encode_decode": bpe_encode_decode,
     "op7_source_mixing": source_mixing,
     "op8_simhash_near_dedup": simhash_near_dedup,
+    "op10_html_extraction": html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {
