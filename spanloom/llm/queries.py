@@ -9,8 +9,10 @@ from .linededup import line_dedup
 from .mixing import source_mixing
 from .quality import quality_rules
 from .simhash import simhash_near_dedup
+from .topk import exact_topk
 
 QUERIES = {
+    "op1_exact_topk": exact_topk,
     "op2_language_id": language_id,
     "op3_quality_rules": quality_rules,
     "op4_line_dedup": line_dedup,
@@ -21,6 +23,19 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_exact_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS w FROM embeddings
+            WHERE embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.w, c.w)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+        )
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
+    """,
     "op4_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
