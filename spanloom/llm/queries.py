@@ -10,6 +10,7 @@ from .mixing import source_mixing
 from .quality import quality_rules
 from .simhash import simhash_near_dedup
 from .topk import exact_topk
+from .urlfilter import url_filters
 
 QUERIES = {
     "op1_exact_topk": exact_topk,
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_bpe_encode_decode": bpe_encode_decode,
     "op7_source_mixing": source_mixing,
     "op8_simhash_near_dedup": simhash_near_dedup,
+    "op9_url_filters": url_filters,
     "op10_html_extraction": html_extraction,
 }
 
