@@ -455,10 +455,10 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256)."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids)."""
     out = encode(docs.select("doc_id", "text"), path)
-    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"), "ids")
 
 
 def bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"))
+    return digests(table(spark, sf_dir, "documents")).drop("ids")

@@ -6,6 +6,7 @@ from .bpe import bpe_encode_decode
 from .html import html_extraction
 from .langid import language_id
 from .linededup import line_dedup
+from .lmscore import lm_scoring
 from .mixing import source_mixing
 from .quality import quality_rules
 from .simhash import simhash_near_dedup
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_quality_rules": quality_rules,
     "op4_line_dedup": line_dedup,
     "op5_bpe_encode_decode": bpe_encode_decode,
+    "op6_lm_scoring": lm_scoring,
     "op7_source_mixing": source_mixing,
     "op8_simhash_near_dedup": simhash_near_dedup,
     "op9_url_filters": url_filters,

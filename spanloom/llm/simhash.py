@@ -256,10 +256,9 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document left of each component: the one with the smallest doc_id.
 
-    Of rows repeated under that doc_id one stays.  Rows with a null doc_id stay only if nothing else in
-    their component can stand for them (one of them then).
+    Of rows repeated under that doc_id one stays.  Rows with a null doc_id can't be told apart: they stay.
     """
     found = near_duplicates(docs)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp").distinct()
-    kept = docs.join(stay.select(F.col("doc_id").alias("_kept_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
+    kept = docs.join(stay, docs.doc_id.cast("long") == stay._kept_id, "left_semi").dropDuplicates(["doc_id"])
+    return kept.union(docs.where("doc_id is null"))
