@@ -19,6 +19,7 @@ table gives no rows; columns named as the results are replaced.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import os
@@ -404,11 +405,12 @@ class Encoder:
         return [b"".join(map(get, own)) for own in split]
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
-def _encoder(path: str, shared) -> Encoder:
-    key = (path, shared.id)
+def _encoder(path: str, mark: str, shared) -> Encoder:
+    """This worker's encoder, kept from task to task; ``mark`` tells one lexicon from another."""
+    key = (path, mark)
     if key not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[key] = Encoder(path, shared.value)
@@ -419,12 +421,12 @@ def encode(docs: DataFrame, path: str | None = None, lexicon: bytes | None = Non
     """``docs`` with n_tokens, ids (packed little-endian 32-bit) and, if asked, decoded (the text of the ids)."""
     path = path or tokenizer_path()
     lexicon = build_lexicon(docs, path) if lexicon is None else lexicon
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    shared, mark = docs.sparkSession.sparkContext.broadcast(lexicon), hashlib.sha256(lexicon).hexdigest()
     names = ["n_tokens", "ids", *(["decoded"] if decoded else [])]
     docs = without(docs, "n_tokens", "ids", "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(path, shared)
+        enc = _encoder(path, mark, shared)
         for batch in batches:
             for i, j, data, offs in text_slices(batch):
                 raw = data.tobytes()
