@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.lexicon import ASSERTION_TYPES
+from ..functions.lexicon import ASSERTION_TYPES, CODE_TYPES
 from ..functions.similarity import word_levenshtein
 
 
@@ -67,9 +67,9 @@ def document_scores(gold: DataFrame, pred: DataFrame, docs: DataFrame, keys: lis
     none = F.array().cast("array<string>")
     side = lambda s, c: F.coalesce(F.col(f"{s}.{c}"), none)
     asserted = F.when(counted, X.jaccard(side("g", "assertions"), side("p", "assertions")))
-    weight = F.when(F.col("g").isNotNull(), F.size(F.array_distinct(side("g", "codes"))) + 1).otherwise(1)
+    weight = F.when(F.col("g").isNotNull(), F.size(side("g", "codes")) + 1).otherwise(1)
     coded = X.jaccard(side("g", "codes"), side("p", "codes"))
-    rows = pairs.select(*keys, hit.alias("hit"), F.col("g").isNotNull().cast("int").alias("ng"), F.col("p").isNotNull().cast("int").alias("np"), asserted.alias("aj"), (coded * weight).alias("cw"), weight.alias("w"), F.coalesce(F.col("g.codes"), F.col("p.codes")).isNotNull().alias("has_codes"))
+    rows = pairs.select(*keys, hit.alias("hit"), F.col("g").isNotNull().cast("int").alias("ng"), F.col("p").isNotNull().cast("int").alias("np"), asserted.alias("aj"), (coded * weight).alias("cw"), weight.alias("w"), F.coalesce(F.col("g.type"), F.col("p.type")).isin(*CODE_TYPES).alias("has_codes"))
     sums = rows.groupBy(*keys).agg(
         F.coalesce(F.sum("hit"), F.lit(0.0)).alias("hits"), F.sum("ng").alias("n_gold"), F.sum("np").alias("n_pred"),
         F.avg("aj").alias("aj"), F.sum(F.when(F.col("has_codes"), F.col("cw"))).alias("cand_sum"), F.sum(F.when(F.col("has_codes"), F.col("w"))).alias("cand_weight"),

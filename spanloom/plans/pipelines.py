@@ -21,11 +21,11 @@ def predict(docs: DataFrame, lexicon: Lexicon = CLINICAL_VI, diagnoses: DataFram
         if terms is None:
             continue
         q = found.where(F.col("type") == kind).select(F.col("text").alias("query")).distinct().withColumn("query_id", F.xxhash64("query"))
-        best = match(q, terms, k).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "code"))), lambda x: x["code"].cast("string")).alias("codes"))
+        best = match(q, terms, k).groupBy(F.col("query_id").alias("coded_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "code"))), lambda x: x["code"].cast("string")).alias("codes"))
         one = best.withColumn("kind", F.lit(kind))
         coded = one if coded is None else coded.union(one)
     if coded is not None:
-        found = found.withColumn("query_id", F.xxhash64("text")).join(coded, (F.col("query_id") == coded.query_id) & (F.col("type") == F.col("kind")), "left").drop("query_id", "kind")
+        found = found.join(coded, (F.xxhash64("text") == F.col("coded_id")) & (F.col("type") == F.col("kind")), "left")
     else:
         found = found.withColumn("codes", F.lit(None).cast("array<string>"))
     return found.select("doc_id", "text", "type", "start", "end", "assertions", F.coalesce("codes", F.array().cast("array<string>")).alias("candidates"))

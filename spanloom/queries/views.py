@@ -137,12 +137,12 @@ pairs AS (
         CASE WHEN coalesce(gt, pt) IN ('CHẨN_ĐOÁN', 'THUỐC', 'TRIỆU_CHỨNG') THEN
             CASE WHEN len(coalesce(ga, [])) = 0 AND len(coalesce(pa, [])) = 0 THEN 1.0
                  ELSE len(list_intersect(coalesce(ga, []), coalesce(pa, [])))::DOUBLE / len(list_distinct(list_concat(coalesce(ga, []), coalesce(pa, [])))) END END AS aj,
-        CASE WHEN gi IS NOT NULL THEN len(list_distinct(gc)) + 1 ELSE 1 END AS w,
+        CASE WHEN gi IS NOT NULL THEN len(gc) + 1 ELSE 1 END AS w, coalesce(gt, pt) IN ('CHẨN_ĐOÁN', 'THUỐC') AS coded,
         CASE WHEN len(coalesce(gc, [])) = 0 AND len(coalesce(pc, [])) = 0 THEN 1.0
              ELSE len(list_intersect(coalesce(gc, []), coalesce(pc, [])))::DOUBLE / len(list_distinct(list_concat(coalesce(gc, []), coalesce(pc, [])))) END AS cj
     FROM numbered
 ), sums AS (
-    SELECT doc_id, coalesce(sum(hit), 0) AS hits, count(gi) AS ng, count(pi) AS np, avg(aj) AS aj, sum(cj * w) AS cs, sum(w)::DOUBLE AS cw FROM scored GROUP BY doc_id
+    SELECT doc_id, coalesce(sum(hit), 0) AS hits, count(gi) AS ng, count(pi) AS np, avg(aj) AS aj, sum(cj * w) FILTER (WHERE coded) AS cs, (sum(w) FILTER (WHERE coded))::DOUBLE AS cw FROM scored GROUP BY doc_id
 ), doc_scores AS (
     SELECT d.doc_id, CASE WHEN greatest(ng, np) > 0 THEN hits / greatest(ng, np) ELSE 1.0 END AS text_score, coalesce(aj, 1.0) AS assertions_score,
            coalesce(cs, 0.0) AS cand_sum, coalesce(cw, 0.0) AS cand_weight

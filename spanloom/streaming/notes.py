@@ -16,7 +16,7 @@ from ..operators.lines import matches
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of files as they come."""
-    raw = spark.readStream.option("wholetext", True).text(path)
+    raw = spark.readStream.text(path, wholetext=True)
     return raw.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
 
 
