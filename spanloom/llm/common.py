@@ -137,3 +137,11 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 def hash_fraction(column, salt: int):
     """A double in [0, 1) that depends on the column's value alone."""
     return F.pmod(F.xxhash64(column, F.lit(salt)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+
+
+def shielded(docs: DataFrame, needed: tuple[str, ...], use) -> DataFrame:
+    """``use`` of ``docs`` with every column but the needed ones under a name that can't clash, and back."""
+    names = docs.columns
+    inner = [n if n in needed else f"_{k}_of_{len(names)}" for k, n in enumerate(names)]
+    out = use(docs.toDF(*inner))
+    return out.select(*[F.col(a).alias(b) for a, b in zip(inner, names, strict=True)])

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, mix, table, text_slices, without, work_dir
+from .common import SPACES, cut, mix, shielded, table, text_slices, without, work_dir
 
 MIN_CHARS = 10
 SHARD_KEYS = 1 << 18
@@ -359,7 +359,7 @@ def grown(f: CuckooFilter, add: np.ndarray) -> CuckooFilter | None:
 
 def apply(docs: DataFrame) -> DataFrame:
     """``docs`` with each text cut to its kept lines."""
-    return dedup(docs).withColumn("text", F.col("kept_text")).select(*docs.columns)
+    return shielded(docs, ("doc_id", "text"), lambda d: dedup(d).withColumn("text", F.col("kept_text")))
 
 
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

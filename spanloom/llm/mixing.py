@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, without
+from .common import cut, shielded, table
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -165,9 +165,12 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def apply(docs: DataFrame) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it (rows not taken go)."""
+    return shielded(docs, ("doc_id", "text", "source"), _repeat)
+
+
+def _repeat(docs: DataFrame) -> DataFrame:
     plan = mix(docs).select("doc_id", "source", "size", "copies").distinct().where("copies > 0")
     plan = plan.select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), F.col("copies").alias("_mix_copies"))
-    docs = without(docs, "_mix_id", "_mix_source", "_mix_size", "_mix_copies")
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_id")) & F.col("source").cast("string").eqNullSafe(F.col("_mix_source")) & (size_of(F.col("text")) == F.col("_mix_size"))
     return docs.join(plan, on).select(*docs.columns, F.explode(F.sequence(F.lit(1), "_mix_copies")).alias("_mix_copy")).drop("_mix_copy")
 

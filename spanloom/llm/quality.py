@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, hash_fraction, mix, prefix_hash, span_hash, table, text_slices, without, words
+from .common import IS_SPACE, hash_fraction, mix, prefix_hash, shielded, span_hash, table, text_slices, without, words
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -291,6 +291,11 @@ def score(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT) -> Dat
     return docs.mapInArrow(run, f"{fields}, {_OUT}")
 
 
+def apply(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` that are kept."""
+    return shielded(docs, ("doc_id", "text"), lambda d: score(d, model).where("kept"))
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))

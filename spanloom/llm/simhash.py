@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_slices, words
+from .common import cut, shielded, table, text_slices, words
 
 SHINGLE = 3
 RADIUS = 2
@@ -258,6 +258,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of rows repeated under that doc_id one stays.  Rows with a null doc_id can't be told apart: they stay.
     """
+    return shielded(docs, ("doc_id", "text"), _keep_one)
+
+
+def _keep_one(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
     kept = docs.join(stay, docs.doc_id.cast("long") == stay._kept_id, "left_semi").dropDuplicates(["doc_id"])
