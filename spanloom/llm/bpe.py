@@ -37,7 +37,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_slices, without
+from .common import spread, table, text_slices, without
 
 TOKENIZER = "word_bpe_49k.json"
 LEXICON_SIZE = 1 << 15
@@ -463,4 +463,4 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents")).drop("ids")
+    return digests(spread(table(spark, sf_dir, "documents"))).drop("ids")

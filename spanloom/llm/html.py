@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_fraction, table, text_slices, without
+from .common import hash_fraction, spread, table, text_slices, without
 
 FIT_PAGES = 120
 FIT_CHARS = 60_000
@@ -498,5 +498,5 @@ def extract(pages: DataFrame, net: BiLSTM) -> DataFrame:
 
 
 def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return extract(pages, fit(pages)).drop("html")

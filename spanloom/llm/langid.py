@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_fraction, table, text_slices, without
+from .common import hash_fraction, spread, table, text_slices, without
 
 DIM = 512
 FIT_ROWS = 1500
@@ -207,6 +207,6 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
 
 
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     found = predict(docs.select("doc_id", "text"), fit(docs))
     return found.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, hash_fraction, mix, prefix_hash, span_hash, table, text_slices, without, words
+from .common import cut, hash_fraction, mix, prefix_hash, span_hash, spread, table, text_slices, without, words
 
 SIDE = 2
 CLASSES = 32
@@ -282,6 +282,6 @@ def score(docs: DataFrame, corpus: Corpus, net: WindowNet) -> DataFrame:
 
 
 def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     corpus = statistics(docs)
     return score(docs, corpus, fit(docs, corpus)).drop("text")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, hash_fraction, mix, prefix_hash, shielded, span_hash, table, text_slices, without, words
+from .common import IS_SPACE, hash_fraction, mix, prefix_hash, shielded, span_hash, spread, table, text_slices, without, words
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -297,6 +297,6 @@ def apply(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     model = fit(docs, table(spark, sf_dir, "labels"))
     return score(docs.select("doc_id", "text"), model).drop("text")
