@@ -71,14 +71,14 @@ def bm25(queries: DataFrame, terms: DataFrame, most: int = 50, k1: float = 1.5,
     The constants are those of the widespread Okapi implementation.  Ties go to the higher row.
     """
     t = terms.select("row_id", "code", "name", X.words(F.col("name")).alias("ws")).withColumn("dl", F.size("ws"))
-    stats = t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    n, avgdl = t.agg(F.count("*"), F.avg("dl")).first()
     tf = t.select("row_id", "dl", F.explode("ws").alias("w")).groupBy("row_id", "dl", "w").agg(F.count("*").alias("tf"))
     df = tf.groupBy("w").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(stats)).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # stats: one row
-    floor = raw.agg((F.avg("idf") * epsilon).alias("floor"))
-    idf = raw.join(F.broadcast(floor)).select("w", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"), "avgdl")  # floor: one row
+    raw = df.select("w", F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    floor = (raw.agg(F.avg("idf")).first()[0] or 0.0) * epsilon
+    idf = raw.select("w", F.when(F.col("idf") < 0, F.lit(floor)).otherwise(F.col("idf")).alias("idf"))
     q = queries.select("query_id", F.explode(X.words(F.col("query"))).alias("w")).groupBy("query_id", "w").agg(F.count("*").alias("qf"))
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
     scored = q.join(idf, "w").join(tf, "w").groupBy("query_id", "row_id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("row_id"))
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).join(terms.select("row_id", "code", "name"), "row_id").select("query_id", "code", "name", "score", "row_id")

@@ -201,12 +201,12 @@ def assertion_combinations(spans: DataFrame) -> DataFrame:
 def span_density(spans: DataFrame, docs: DataFrame) -> DataFrame:
     """(mean, least, upper_median, most) number of spans of a document, documents without any included."""
     n = docs.select("doc_id").join(spans.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
-    total = n.count()
+    total, least, most, mean = n.agg(F.count("*"), F.min("n"), F.max("n"), F.round(F.avg("n"), 4)).first()
     # The element at place n // 2 of the sorted counts, from the counts' own histogram.
     h = n.groupBy("n").agg(F.count("*").alias("c"))
     upto = F.sum("c").over(Window.orderBy("n"))  # one row for each different count
     median = h.withColumn("upto", upto).where(F.col("upto") > total // 2).agg(F.min("n").alias("upper_median"))
-    return n.agg(F.round(F.avg("n"), 4).alias("mean"), F.min("n").alias("least"), F.max("n").alias("most")).join(F.broadcast(median))  # median: one row
+    return median.select(F.lit(mean).cast("double").alias("mean"), F.lit(least).cast("long").alias("least"), F.lit(most).cast("long").alias("most"), "upper_median")
 
 
 def quantiles(df: DataFrame, column: str) -> DataFrame:

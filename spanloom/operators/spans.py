@@ -103,7 +103,7 @@ def mask_entities(tags: DataFrame, share: float, seed: int, mask: str = "[MASK]"
     """``tags(doc_id, pos, tag, token)`` with whole entities masked: a group goes if its hash is below ``share``."""
     w = Window.partitionBy("doc_id").orderBy("pos")
     group = F.sum(F.when(F.col("tag").startswith("I-"), 0).otherwise(1)).over(w)
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", group), F.lit(10_000)) / 10_000
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "doc_id", group)), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     return tags.withColumn("token", F.when((F.col("tag") != "O") & (draw < share), mask).otherwise(F.col("token")))
 
 

@@ -12,6 +12,7 @@ from ..functions import text as X
 
 #: Ingredient, precise ingredient and brand names (fixed values of the terminology's term types).
 DRUG_TERM_TYPES = ("IN", "PIN", "BN")
+SLICES = 4096
 
 
 def draw(seed: int, *keys) -> Column:
@@ -37,13 +38,15 @@ def name_catalog(terms: DataFrame, max_words: int = 10) -> DataFrame:
 
 
 def weighted_choice(frames: DataFrame, draws: DataFrame) -> DataFrame:
-    """``draws(id, u)`` each with the frame at share u of the summed frequencies: an as-of join over running sums.
+    """``draws(id, u)`` each with the frame at share u of the summed frequencies.
 
-    The frames are a catalog (thousands at most), so the running sum is one small sort.
+    Frames and draws meet by equal slices of [0, 1), of which a frame holds those that its share touches.  The
+    frames are a catalog, so their running sum is one small sort.
     """
     w = Window.orderBy(F.desc("freq"), "template")
     upto = frames.withColumn("high", F.sum("freq").over(w) / F.sum("freq").over(Window.partitionBy())).withColumn("low", F.coalesce(F.lag("high").over(w), F.lit(0.0)))
-    return draws.join(F.broadcast(upto.limit(100_000)), (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).drop("low", "high")
+    dealt = upto.withColumn("slice", F.explode(F.sequence(F.floor(F.col("low") * SLICES), F.floor(F.col("high") * SLICES))))
+    return draws.withColumn("slice", F.floor(F.col("u") * SLICES)).join(dealt, "slice").where("u >= low and u < high").drop("low", "high", "slice")
 
 
 def build_texts(parts: DataFrame) -> DataFrame:

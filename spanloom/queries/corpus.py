@@ -58,7 +58,7 @@ def repeats_within(spark, d):
 
 
 def trigram_dedup(spark, d):
-    return H.greedy_keep(V.load(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text").union(V.load(spark, d, "conversations").where("turn = 0").select((F.col("conv_id") + 1000000).alias("doc_id"), "text")), 0.5).select("doc_id")
+    return H.greedy_keep(V.load(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text").union(V.load(spark, d, "conversations").select((1_000_000 + F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")), 0.5).select("doc_id")
 
 
 def qa_overlap(spark, d):
@@ -99,9 +99,9 @@ def template_docs(spark, d):
 
 
 def mix_ratio(spark, d):
-    n = V.load(spark, d, "documents").agg(F.count("*").alias("n_frames"), F.sum(F.regexp_count("text", F.lit("[A-Z][a-z]+"))).alias("a"))
-    m = V.load(spark, d, "benchmark").agg(F.sum(F.regexp_count("text", F.lit("[a-z]+"))).alias("b"))
-    both = n.join(F.broadcast(m))  # one row each
+    n = V.load(spark, d, "documents").select(F.lit(1).alias("n_frames"), F.regexp_count("text", F.lit("[A-Z][a-z]+")).alias("a"), F.lit(0).alias("b"))
+    m = V.load(spark, d, "benchmark").select(F.lit(0), F.lit(0), F.regexp_count("text", F.lit("[a-z]+")))
+    both = n.union(m).agg(F.sum("n_frames").alias("n_frames"), F.sum("a").alias("a"), F.sum("b").alias("b"))
     return both.select(S.mixing_count(F.col("a"), F.col("b"), F.col("n_frames"), 0.3).alias("take"))
 
 
@@ -177,6 +177,9 @@ WITH r AS (SELECT i AS doc_id, l AS line FROM range(200) a(i), range(1, 5) b(l))
 c AS (SELECT doc_id, line, p_name AS mention FROM r JOIN part ON p_partkey = floor({_u32("'1|' || doc_id || '|' || line")} * (SELECT count(*) FROM part))),
 o AS (SELECT doc_id, mention, length('Note ' || doc_id) + 1 + sum(length(mention) + 3) OVER (PARTITION BY doc_id ORDER BY line) - length(mention) - 1 AS s FROM c)
 SELECT doc_id, mention, s::BIGINT AS start, true AS in_place FROM o""",
+    "composed_drugs": f"""
+WITH d AS (SELECT p_partkey, p_name, {_u32("'5|' || p_partkey || '|dose'")} AS a, {_u32("'5|' || p_partkey || '|mg'")} AS m, {_u32("'5|' || p_partkey || '|route'")} AS b, {_u32("'5|' || p_partkey || '|r'")} AS r FROM part)
+SELECT p_partkey, p_name || CASE WHEN a < 0.6 THEN ' ' || ((floor(m * 20)::BIGINT + 1) * 5) || 'mg' ELSE '' END || CASE WHEN b < 0.5 THEN ' ' || ['po', 'iv', 'bid', 'daily'][floor(r * 4)::BIGINT + 1] ELSE '' END AS mention FROM d""",
     "mix_ratio": """
 WITH n AS (SELECT count(*) AS nf, sum(len(regexp_extract_all(text, '[A-Z][a-z]+'))) AS a FROM documents), m AS (SELECT sum(len(regexp_extract_all(text, '[a-z]+'))) AS b FROM benchmark)
 SELECT least(greatest(floor(0.3 / 0.7 * b / (a / nf) + 0.5), 1), nf)::BIGINT AS take FROM n, m""",

@@ -52,9 +52,10 @@ def bm25_topk(spark, d):
 
 
 def _vectors(spark, d):
+    """The stated query set (ids divisible by 20) and all rows as terms, their labels as codes."""
     e = V.load(spark, d, "embeddings")
-    q = e.where("vec_id < 50").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    t = e.where("vec_id >= 50").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("code"), F.concat(F.lit("v"), "label").alias("name"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    t = e.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("code"), F.concat(F.lit("v"), "label").alias("name"))
     return q, t
 
 
@@ -140,7 +141,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r
 """
 _DENSE = """
 v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, t.vec_id AS row_id, t.label::VARCHAR AS code, round(list_dot_product(q.e, t.e), 9) AS score FROM v q, v t WHERE q.vec_id < 50 AND t.vec_id >= 50),
+s AS (SELECT q.vec_id AS query_id, t.vec_id AS row_id, t.label::VARCHAR AS code, round(list_dot_product(q.e, t.e), 9) AS score FROM v q, v t WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS n FROM s),
 c AS (SELECT query_id, code, max(score) AS score FROM r WHERE n <= 50 GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, code)::INTEGER AS rank FROM c)

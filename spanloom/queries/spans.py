@@ -200,6 +200,9 @@ j AS (SELECT p.doc_id, p.idx, d.text AS raw, p.start AS s, p."end" AS e, greates
 c AS (SELECT *, substring(raw, lo + 1, s - lo) AS l, substring(raw, e + 1, hi - e) AS r FROM j)
 SELECT doc_id, idx, md5(CASE WHEN lo > 0 AND instr(l, ' ') > 0 THEN l[instr(l, ' ') + 1:] ELSE l END || ' [ENT] ' || substring(raw, s + 1, e - s) || ' [/ENT] '
     || CASE WHEN hi < length(raw) AND instr(r, ' ') > 0 THEN regexp_replace(r, '(?s) [^ ]*$', '') ELSE r END) AS context_md5 FROM c""",
+    "mask_entities": _TOKENS + """,
+g AS (SELECT *, sum(CASE WHEN tag[1:2] = 'I-' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS grp FROM tags)
+SELECT tag, CASE WHEN tag <> 'O' AND ('0x' || substring(md5('7|' || doc_id || '|' || grp::BIGINT), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.3 THEN '[MASK]' ELSE 'x' END AS token, count(*) AS n FROM g GROUP BY ALL""",
     "assertion_combinations": "WITH " + V.BASE + "," + V.GOLD + """, k AS (SELECT CASE WHEN len(assertions) = 0 THEN '(empty)' ELSE array_to_string(list_sort(assertions), '+') END AS combination FROM gold)
 SELECT combination, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 4) AS share FROM k GROUP BY combination""",
     "span_density": "WITH " + V.BASE + "," + V.GOLD + """, n AS (SELECT d.doc_id, count(g.doc_id) AS n FROM documents d LEFT JOIN gold g USING (doc_id) GROUP BY d.doc_id)

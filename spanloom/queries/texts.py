@@ -28,7 +28,7 @@ def finditer_spans(spark, d):
 
 
 def strip_span(spark, d):
-    ls = V.all_lines(spark, d).select("doc_id", "line_no", "start", F.substring("line", 1, 40).alias("piece"))
+    ls = V.all_lines(spark, d).select("doc_id", "line_no", "start", F.col("line").alias("piece"))
     b = X.edge_trim(F.col("piece"), F.col("start"))
     return ls.select("doc_id", "line_no", b["start"].cast("long").alias("start"), b["end"].cast("long").alias("end"))
 
@@ -135,7 +135,7 @@ ORACLE_SQL = {
 WITH m AS (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]+') AS ms, list_transform(string_split_regex(text, '[A-Z][a-z]+'), lambda g: length(g)) AS gs FROM documents),
 e AS (SELECT doc_id, unnest(ms) AS match, unnest(gs[1:len(ms)]) AS gap, unnest(range(1, len(ms) + 1)) AS i FROM m)
 SELECT doc_id, (sum(gap + length(match)) OVER (PARTITION BY doc_id ORDER BY i) - length(match))::BIGINT AS start, match FROM e""",
-    "strip_span": "WITH " + V.LINES + f""", p AS (SELECT doc_id, line_no, start, substring(line, 1, 40) AS piece FROM lines)
+    "strip_span": "WITH " + V.LINES + f""", p AS (SELECT doc_id, line_no, start, line AS piece FROM lines)
 SELECT doc_id, line_no, (start + length(piece) - length(ltrim(piece, {_EDGE})))::BIGINT AS start,
        (start + length(piece) - length(ltrim(piece, {_EDGE})) + length(trim(piece, {_EDGE})))::BIGINT AS "end" FROM p""",
     "item_split": "WITH " + V.LINES + r""",
