@@ -37,7 +37,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spread, table, text_slices, without
+from .common import cut, most_frequent, spread, table, text_slices, without
 
 TOKENIZER = "word_bpe_49k.json"
 LEXICON_SIZE = 1 << 15
@@ -374,7 +374,8 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
 
 def build_lexicon(docs: DataFrame, path: str, lexicon_size: int = LEXICON_SIZE) -> bytes:
     """The transducer of the most frequent words; at most ``lexicon_size`` of them reach the driver."""
-    top = word_counts(docs, path).orderBy(F.desc("n"), "word").limit(lexicon_size).collect()
+    counts = cut(word_counts(docs, path), "words")
+    top = most_frequent(counts, "word", lexicon_size).orderBy(F.desc("n"), "word").limit(lexicon_size).collect()
     words = [r["word"].encode() for r in top]
     return Transducer.compile(dict(zip(words, vocabulary(path).merge(words), strict=True)))
 

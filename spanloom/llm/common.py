@@ -145,6 +145,24 @@ def hash_fraction(column, salt: int):
     return F.pmod(F.xxhash64(column, F.lit(salt)), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
+def most_frequent(counts: DataFrame, key: str, most: int) -> DataFrame:
+    """Of ``counts(key, n)`` (a written table) the ``most`` rows with the largest n, or nearly so many.
+
+    A histogram of counts (some thousand rows, whatever the table's size) gives the bar that at most ``most``
+    rows reach; of the class just below the bar, rows are taken by a hash of their key, as many as there is
+    room for.  So no task sends more than its part of ``most`` rows.
+    """
+    level = F.floor(F.log2("n") * 64).cast("int")
+    bar, room, share = 0, most, 0.0
+    for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("c")).orderBy(F.desc("level")).collect():
+        if r["c"] > room:
+            bar, share = r["level"], room / r["c"]
+            break
+        room -= r["c"]
+        bar, share = r["level"], 1.0
+    return counts.where((level > bar) | ((level == bar) & (hash_fraction(F.col(key), 23) < share)))
+
+
 def shielded(docs: DataFrame, needed: tuple[str, ...], use) -> DataFrame:
     """``use`` of ``docs`` with every column but the needed ones under a name that can't clash, and back."""
     names = docs.columns
