@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, hash_fraction, mix, prefix_hash, span_hash, spread, table, text_slices, without, words
+from .common import cut, hash_fraction, mix, most_frequent, prefix_hash, span_hash, spread, table, text_slices, without, words
 
 SIDE = 2
 CLASSES = 32
@@ -92,7 +92,7 @@ def statistics(docs: DataFrame) -> Corpus:
 
     counts = docs.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     counts = cut(counts, "words")
-    top = counts.where("kind = 0").orderBy(F.desc("n"), "key").limit(VOCAB).collect()
+    top = most_frequent(counts.where("kind = 0"), "key", VOCAB).orderBy(F.desc("n"), "key").limit(VOCAB).collect()
     h = np.array([r["key"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(h)
     byte = np.ones(256)
