@@ -32,6 +32,7 @@ DIM = 512
 FIT_ROWS = 1500
 MAX_LANGS = 1000
 CACHE = 1 << 14
+LETTERS = 1 << 14
 SEED = 7
 GAP = 0
 
@@ -51,27 +52,33 @@ def letter_vector(code: int) -> np.ndarray:
 
 
 class Trigrams:
-    """Vectors of trigrams by code, kept for the most used ones."""
+    """Vectors of trigrams by code, kept for the first ``CACHE`` met."""
 
     def __init__(self) -> None:
-        self.letters: dict[int, np.ndarray] = {}
+        self.letters = np.zeros(0, np.uint64)
+        self.rolled = np.zeros((3, 0, DIM), np.int8)  # each letter's signs, rolled by 0, 1 and 2
         self.codes = np.zeros(0, np.uint64)
         self.vectors = np.zeros((0, DIM), np.float32)
 
-    def _letter(self, code: int) -> np.ndarray:
-        v = self.letters.get(code)
-        if v is None:
-            if len(self.letters) > 20_000:
-                self.letters.clear()
-            v = self.letters[code] = letter_vector(code)
-        return v
+    def _places(self, letters: np.ndarray) -> np.ndarray:
+        """Where the letters' vectors are; those not met before are drawn."""
+        new = np.setdiff1d(letters, self.letters)
+        if len(new):
+            if len(self.letters) > LETTERS:
+                self.letters, self.rolled = np.zeros(0, np.uint64), np.zeros((3, 0, DIM), np.int8)
+                new = np.unique(letters)
+            drawn = np.stack([letter_vector(int(c)) for c in new])
+            both = np.concatenate((self.letters, new))
+            order = np.argsort(both)
+            self.letters = both[order]
+            self.rolled = np.concatenate((self.rolled, np.stack([np.roll(drawn, k, axis=1) for k in range(3)])), axis=1)[:, order]
+        return np.searchsorted(self.letters, letters)
 
     def make(self, codes: np.ndarray) -> np.ndarray:
-        out = np.empty((len(codes), DIM), np.float32)
-        for k, c in enumerate(codes.tolist()):
-            a, b, d = c >> 42, (c >> 21) & 0x1FFFFF, c & 0x1FFFFF
-            out[k] = np.roll(self._letter(a), 2) * np.roll(self._letter(b), 1) * self._letter(d)
-        return out
+        low = np.uint64(0x1FFFFF)
+        at = self._places(np.concatenate((codes >> np.uint64(42), (codes >> np.uint64(21)) & low, codes & low)))
+        n = len(codes)
+        return (self.rolled[2, at[:n]] * self.rolled[1, at[n : 2 * n]] * self.rolled[0, at[2 * n :]]).astype(np.float32)
 
     def bundle(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The sum of the trigrams' vectors."""
