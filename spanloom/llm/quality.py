@@ -35,7 +35,7 @@ MIN_WORDS = 20
 MAX_REPEAT_SHARE = 30
 KEEP_AT = 0.5
 BITS = 15
-FIT_ROWS = 1500
+FIT_ROWS = 1000
 
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
@@ -218,42 +218,45 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, epochs: in
 
 
 def fit_rows_to_model(rows: list, totals: dict[int, int], epochs: int, rate: float) -> Model:
-    y = np.array([r["quality"] for r in rows], float)
-    idx = [np.frombuffer(r["buckets"], "<u4") for r in rows]
-    val = [np.frombuffer(r["counts"], "<f4") for r in rows]
+    """Full-batch AdaGrad (the result depends on no order), then Platt scaling by damped Newton steps."""
+    y = np.array([r["quality"] for r in rows], np.float32)
+    lens = np.array([len(r["buckets"]) // 4 for r in rows])
+    b = np.frombuffer(b"".join(r["buckets"] for r in rows), "<u4").astype(np.intp)
+    v = np.frombuffer(b"".join(r["counts"] for r in rows), "<f4")
+    rows.clear()
+    upto = np.concatenate(([0], np.cumsum(lens)))
     size = 2 << BITS
-    held = np.arange(len(rows)) % 5 == 0
-    for k in (0.0, 1.0):
+    held = np.arange(len(y)) % 5 == 0
+    for k in (0, 1):
         if not ((y == k) & ~held).any() or not ((y == k) & held).any():
             held[:] = False
 
-    def flat(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        own = np.flatnonzero(which)
-        lens = [len(idx[i]) for i in own]
-        return np.concatenate([idx[i] for i in own]), np.concatenate([val[i] for i in own]).astype(float), np.repeat(np.arange(len(own)), lens)
+    def balanced(of: np.ndarray, share: dict[int, float]) -> np.ndarray:
+        """Weights of the rows ``of``: each class has its share of 1."""
+        n = {k: max(1, int((of & (y == k)).sum())) for k in (0, 1)}
+        return np.where(of, np.where(y == 1, share[1] / n[1], share[0] / n[0]), 0.0)
 
-    fit_on = ~held
-    b, v, r = flat(fit_on)
-    t = y[fit_on]
-    weight = np.where(t == 1, 0.5 / max(1, (t == 1).sum()), 0.5 / max(1, (t == 0).sum()))
+    def scores(w: np.ndarray, bias: float) -> np.ndarray:
+        run = np.concatenate(([0.0], np.cumsum(v * w.astype(np.float32)[b], dtype=np.float64)))
+        return run[upto[1:]] - run[upto[:-1]] + bias
+
+    weight = balanced(~held, {0: 0.5, 1: 0.5})
     w, bias, grad2, bias2 = np.zeros(size), 0.0, np.full(size, 1e-12), 1e-8
-    for _ in range(epochs):  # full-batch AdaGrad: the result depends on no order
-        z = np.bincount(r, v * w[b], minlength=len(t)) + bias
-        g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - t) * weight
-        gw = np.bincount(b, v * g[r], minlength=size) + 1e-7 * w
+    for _ in range(epochs):
+        g = (1 / (1 + np.exp(-np.clip(scores(w, bias), -40, 40))) - y) * weight
+        gw = np.bincount(b, v * np.repeat(g.astype(np.float32), lens), minlength=size) + 1e-7 * w
         grad2 += gw * gw
         w -= rate * gw / np.sqrt(grad2)
         bias2 += g.sum() ** 2
         bias -= rate * 0.1 * g.sum() / np.sqrt(bias2)
-    use = held if held.any() else fit_on
-    b, v, r = flat(use)
-    z = np.bincount(r, v * w[b], minlength=int(use.sum())) + bias
-    t = y[use]
+    use = held if held.any() else ~held
+    z = scores(w, bias)
     share = {k: totals.get(k, 1) / max(1, sum(totals.values())) for k in (0, 1)}
-    weight = np.where(t == 1, share[1] / max(1, (t == 1).sum()), share[0] / max(1, (t == 0).sum()))
-    target = np.where(t == 1, ((t == 1).sum() + 1) / ((t == 1).sum() + 2), 1 / ((t == 0).sum() + 2))
+    weight = balanced(use, share)
+    n1, n0 = int((use & (y == 1)).sum()), int((use & (y == 0)).sum())
+    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     pa_, pb_ = 1.0, 0.0
-    for _ in range(60):  # Newton steps of Platt scaling, lightly damped
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(pa_ * z + pb_, -40, 40)))
         d = (p - target) * weight
         h = np.maximum(p * (1 - p), 1e-9) * weight
