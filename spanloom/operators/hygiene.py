@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.similarity import lcs_ratio, longest_run
+from ..functions.similarity import best_matches
 
 
 def shared_table(df: DataFrame, label: str) -> DataFrame:
@@ -116,13 +117,30 @@ def leakage(docs: DataFrame, items: DataFrame, n: int = 13) -> DataFrame:
     return hits.groupBy("doc_id").agg(F.count("*").alias("n_hits"), F.count_distinct("item_id").alias("n_items"))
 
 
-def lcs_leakage(docs: DataFrame, items: DataFrame, n: int = 3) -> DataFrame:
-    """(item_id, best): the largest LCS ratio of each item with any document that shares an n-word run with it."""
-    t = docs.select("doc_id", X.word_tokens(F.col("text")).alias("d"))
-    i = items.select("item_id", X.word_tokens(F.col("text")).alias("i"))
-    near = shingles(items, n, "item_id").join(shingles(docs, n), "sh").select("item_id", "doc_id").distinct()
-    scored = near.join(i, "item_id").join(t, "doc_id").select("item_id", lcs_ratio("i", "d").alias("r"), longest_run("i", "d").alias("run"))
-    return scored.groupBy("item_id").agg(F.max("r").alias("best"), F.max("run").alias("longest_run"))
+def lcs_leakage(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, best, longest_run): over all documents, the largest LCS ratio and the longest common run of words.
+
+    Every item meets every document: the items, a test set, are shipped to the documents, which are read once.
+    Words are bits of a mask and documents are worked side by side.  Of a document the LCS reads up to three
+    times the item's words, the run reads all.  An item without words, or with none in common, has 0 and 0.
+    """
+    hashes = lambda: F.coalesce(F.transform(X.word_tokens(F.col("text")), lambda w: F.xxhash64(w)), F.array().cast("array<bigint>"))
+    own = [(r["item_id"], r["w"]) for r in items.select("item_id", hashes().alias("w")).distinct().collect()]
+    shared = docs.sparkSession.sparkContext.broadcast([w for _, w in own])
+
+    def run(batches):
+        found = None
+        for batch in batches:
+            col = batch.column(0)
+            found = best_matches(shared.value, col.flatten().to_numpy(), col.value_lengths().to_numpy(), found)
+        if found is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(found))), pa.array([x for x, _ in found]), pa.array([y for _, y in found])], names=["k", "lcs", "run"])
+
+    seen = docs.select(hashes().alias("d")).mapInArrow(run, "k long, lcs long, run long").groupBy("k").agg(F.max("lcs").alias("lcs"), F.max("run").alias("run"))
+    key = items.schema["item_id"].dataType.simpleString()
+    named = items.sparkSession.createDataFrame([(k, i, len(w)) for k, (i, w) in enumerate(own)], f"k long, item_id {key}, n long")
+    joined = named.join(seen, "k", "left").withColumn("r", F.when(F.col("n") > 0, F.coalesce("lcs", F.lit(0)) / F.col("n")).otherwise(0.0))
+    return joined.groupBy("item_id").agg(F.max("r").alias("best"), F.max(F.coalesce("run", F.lit(0))).cast("int").alias("longest_run"))
 
 
 def greedy_keep(docs: DataFrame, bar: float = 0.8, most: int = 10_000) -> DataFrame:

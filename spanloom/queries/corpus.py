@@ -26,7 +26,7 @@ def ngram13_leakage(spark, d):
 
 
 def lcs_leakage(spark, d):
-    return H.lcs_leakage(_docs(spark, d), V.load(spark, d, "benchmark"), 8).select("item_id", F.round("best", 6).alias("best"), "longest_run")
+    return H.lcs_leakage(_docs(spark, d), V.load(spark, d, "benchmark")).select("item_id", F.round("best", 6).alias("best"), "longest_run")
 
 
 def reuse_ratio(spark, d):
