@@ -5,18 +5,19 @@ What no rule fits is judged by its template.  Per host, paths (distinct, with th
 pages that rules block or allow: the labels) are read segment by segment.  At each node of the tree:
 
 * segments that are numbers, or long hexadecimal names, are classes from the start (``{n}``, ``{x}``);
-* a node with more than ``FAN`` different children is variable: only children with at least ``SHARE`` of its
-  pages may keep their name;
 * a child keeps its name only if its share of blocked pages differs from its node's as a whole by more than
-  ``Z`` standard errors (and one half page): children that are statistically alike merge into the wildcard.
+  ``Z`` standard errors (and one half page): children that are statistically alike merge into the wildcard;
+* a node with more than ``FAN`` different children is variable: of its children without labels, those with
+  at most ``FAN`` pages and less than ``SHARE`` of the node's merge too (a slug is no evidence of its own).
 
 A template's purity is (blocked + STRENGTH * PRIOR) / (labelled + STRENGTH); it is rejected at ``REJECT``.
 A template without labels thus has the prior's purity and is allowed: missing evidence blocks nothing.
 
 All of it is DataFrame operations.  Scale: pages are reduced to distinct (host, path) with map-side sums
 before anything else; every level is aggregates plus equi-joins on (host, prefix), with no window over a
-host's paths, so a host with a third of all pages is split like any large join.  Only the depth of the
-deepest path (at most ``DEPTH``; deeper segments are one wildcard) reaches the driver.
+host's paths, so a host with a third of all pages is split like any large join.  A node whose pages are all
+blocked or none of them can't differ from its children: its paths are finished at once, and levels go on, to
+the deepest segment, only below mixed nodes.  Only whether there are such nodes reaches the driver.
 
 Defined cases: null urls and urls without ``://`` have empty host and path; an empty path fits no rule;
 repeated rows are judged alike; an empty table gives no rows; extra columns are kept by ``judge``.
@@ -30,7 +31,6 @@ from pyspark.sql import functions as F
 from .common import cut, table, without
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-DEPTH = 6
 FAN = 16
 SHARE = 0.1
 Z = 2.0
@@ -65,13 +65,12 @@ def verdict_of(rule: Column, rules=RULES) -> Column:
 
 
 def segments(path: Column) -> Column:
-    """The path's segments as classes or names; beyond ``DEPTH`` of them the rest is one wildcard."""
+    """The path's segments as classes or names."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    named = F.transform(
+    return F.transform(
         parts,
         lambda s: F.when(s.rlike(r"^[0-9]+$"), "{n}").when(s.rlike(r"^[0-9]+\.[A-Za-z]+$"), F.regexp_replace(s, r"^[0-9]+", "{n}")).when(s.rlike(r"^[0-9A-Fa-f-]{16,}$"), "{x}").otherwise(s),
     )
-    return F.when(F.size(named) > DEPTH, F.concat(F.slice(named, 1, DEPTH), F.array(F.lit("**")))).otherwise(named)
 
 
 def templates(labelled: DataFrame) -> DataFrame:
@@ -81,23 +80,36 @@ def templates(labelled: DataFrame) -> DataFrame:
     """
     counts = [F.count("*").alias("n"), F.count_if(F.col("verdict") == "block").alias("blocked"), F.count_if(F.col("verdict").isNotNull()).alias("told")]
     paths = labelled.groupBy("host", "path").agg(*counts)
-    paths = cut(paths.select("*", segments(F.col("path")).alias("segs"), F.lit("").alias("prefix")), "paths")
-    depth = paths.agg(F.max(F.size("segs"))).first()[0] or 0
-    sums = [F.sum(c).alias(c) for c in ("n", "blocked")]
-    for d in range(depth):
+    segs = segments(F.col("path"))
+    open_ = cut(paths.select("*", segs.alias("segs"), F.lit("").alias("prefix"), (F.size(segs) > 0).alias("open")), "paths")
+    done = open_.where("not open")
+    open_ = open_.where("open")
+    sums = [F.sum(c).alias(c) for c in ("n", "blocked", "told")]
+
+    def merged(s: Column) -> Column:
+        # A class stays visible in the template whether or not it merged with its siblings.
+        return F.when(s.startswith("{"), s).otherwise("*")
+
+    d = 0
+    while not open_.isEmpty():
         seg = F.get("segs", F.lit(d))
-        kids = paths.where(F.size("segs") > d).groupBy("host", "prefix", seg.alias("seg")).agg(*sums)
+        kids = open_.groupBy("host", "prefix", seg.alias("seg")).agg(*sums)
         nodes = kids.groupBy("host", "prefix").agg(F.sum("n").alias("all_n"), F.sum("blocked").alias("all_blocked"), F.count("*").alias("fan"))
+        nodes = nodes.where("all_blocked > 0 and all_blocked < all_n")
         rate = F.col("all_blocked") / F.col("all_n")
         gap = F.abs(F.col("blocked") - F.col("n") * rate)
         differs = gap > Z * F.sqrt(F.col("n") * rate * (1 - rate)) + 0.5
-        named = (F.col("fan") <= FAN) | (F.col("n") >= SHARE * F.col("all_n"))
-        own = kids.join(nodes, ["host", "prefix"]).where(differs & named).select(F.col("host").alias("h"), F.col("prefix").alias("p"), F.col("seg").alias("s"))
-        joined = paths.join(own, (F.col("host") == F.col("h")) & (F.col("prefix") == F.col("p")) & (seg == F.col("s")), "left")
-        # A class stays visible in the template whether or not it merged with its siblings.
-        name = F.coalesce(F.col("s"), F.when(seg.startswith("{"), seg), F.lit("*"))
-        prefix = F.when(F.size("segs") > d, F.concat_ws("/", "prefix", name)).otherwise(F.col("prefix"))
-        paths = cut(joined.select("host", "path", "n", "blocked", "told", "segs", prefix.alias("prefix")), f"depth{d}")
+        named = (F.col("told") > 0) | (F.col("fan") <= FAN) | (F.col("n") > FAN) | (F.col("n") >= SHARE * F.col("all_n"))
+        own = kids.join(nodes, ["host", "prefix"]).select(F.col("host").alias("h"), F.col("prefix").alias("p"), F.col("seg").alias("s"), (differs & named).alias("keeps"))
+        # A row of ``own`` is there for every child of a mixed node; the paths of other nodes are finished.
+        joined = open_.join(own, (F.col("host") == F.col("h")) & (F.col("prefix") == F.col("p")) & (seg == F.col("s")), "left")
+        mixed = F.col("h").isNotNull()
+        rest = F.concat_ws("/", "prefix", F.transform(F.slice("segs", d + 1, F.size("segs")), merged))
+        prefix = F.when(mixed, F.concat_ws("/", "prefix", F.when(F.col("keeps"), seg).otherwise(merged(seg)))).otherwise(rest)
+        paths = cut(joined.select("host", "path", "n", "blocked", "told", "segs", prefix.alias("prefix"), (mixed & (F.size("segs") > d + 1)).alias("open")), f"depth{d}")
+        done, open_ = done.union(paths.where("not open")), paths.where("open")
+        d += 1
+    paths = done
     purity = (F.sum("blocked") + STRENGTH * PRIOR) / (F.sum("told") + STRENGTH)
     pure = paths.groupBy("host", "prefix").agg(purity.alias("purity"))
     return paths.join(pure, ["host", "prefix"]).select("host", "path", F.concat("host", "prefix").alias("template"), "purity")

@@ -105,6 +105,19 @@ def test_url_templates_generalise_and_reject(spark):
     assert all(p < urlfilter.REJECT for t, p in purity.items() if t not in spam)
 
 
+def test_url_branches_that_differ_stay_apart_at_any_fan_out_and_depth(spark):
+    # /de/ is blocked and holds under a tenth of a host with 26 branches; /a/../i/ parts at its ninth segment.
+    rows = [(f"http://www.example.com/de/{k}", "block") for k in range(20)]
+    rows += [(f"http://www.example.com/{a}{b}/{k}", "allow") for a in "efgij" for b in "nrsty" for k in range(20)]
+    df = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(rows)], "page_id long, url string")
+    assert {r["url"]: r["verdict"] for r in urlfilter.judge(df).collect()} == dict(rows)
+
+    deep = "/".join(["", *"abcdefgh"])
+    rows = [("h.com", f"{deep}/bad/{k}", "block") for k in range(50)] + [("h.com", f"{deep}/good/{k}", None) for k in range(50)]
+    out = urlfilter.templates(spark.createDataFrame(rows, "host string, path string, verdict string")).collect()
+    assert all((r["purity"] >= urlfilter.REJECT) == ("/bad/" in r["path"]) for r in out) and len({r["template"] for r in out}) == 2
+
+
 @pytest.fixture(scope="module")
 def net():
     feats, labels = html.training_set([], made=300)
