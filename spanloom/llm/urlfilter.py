@@ -1,26 +1,31 @@
 """URL filters: explicit rules first, then a path-template tree judged by smoothed labelled purity.
 
 ``rules`` name a host and a path prefix; a rule fits the host and all its subdomains, the longest one wins.
-What no rule fits is judged by its template.  Per host, paths (distinct, with their number of pages and of
+What no rule fits is judged by its template.  Per host, paths (as segments, with their number of pages and of
 pages that rules block or allow: the labels) are read segment by segment.  At each node of the tree:
 
 * segments that are numbers, or long hexadecimal names, are classes from the start (``{n}``, ``{x}``);
-* a child keeps its name only if its share of blocked pages differs from its node's as a whole by more than
-  ``Z`` standard errors (and one half page): children that are statistically alike merge into the wildcard;
+* a child keeps its name only if its share of blocked pages, among all its pages or among its labelled ones,
+  differs from its node's by more than ``Z`` standard errors (and one half page): children that are
+  statistically alike merge into the wildcard, and so do all below a node whose labels all allow;
 * a node with more than ``FAN`` different children is variable: of its children without labels, those with
   at most ``FAN`` pages and less than ``SHARE`` of the node's merge too (a slug is no evidence of its own).
 
-A template's purity is (blocked + STRENGTH * PRIOR) / (labelled + STRENGTH); it is rejected at ``REJECT``.
-A template without labels thus has the prior's purity and is allowed: missing evidence blocks nothing.
+Most templates of a host have no labels of their own.  So the same tree is grown for every host's registrable
+name, for its top-level name and for all hosts together; there a host counts once for each of its paths, by the
+share of its labelled pages that are blocked, so that no large host decides for the others.  A template's purity is
+(blocked + STRENGTH * purity of the path's template one level up) / (labelled + STRENGTH), from ``PRIOR`` at the
+top down to the host: a template without evidence has its parent's purity.  It is rejected at ``REJECT``.
 
-All of it is DataFrame operations.  Scale: pages are reduced to distinct (host, path) with map-side sums
-before anything else; every level is aggregates plus equi-joins on (host, prefix), with no window over a
+All of it is DataFrame operations.  Scale: pages are reduced to distinct (host, segments) with map-side sums
+before anything else; every level is aggregates plus equi-joins on (name, prefix), with no window over a
 host's paths, so a host with a third of all pages is split like any large join.  A node whose pages are all
 blocked or none of them can't differ from its children: its paths are finished at once, and levels go on, to
 the deepest segment, only below mixed nodes.  Only whether there are such nodes reaches the driver.
 
-Defined cases: null urls and urls without ``://`` have empty host and path; an empty path fits no rule;
-repeated rows are judged alike; an empty table gives no rows; extra columns are kept by ``judge``.
+Defined cases: null urls and urls without ``://`` have empty host and path, and no evidence but the prior; an
+empty path fits no rule; repeated rows are judged alike; an empty table gives no rows; extra columns are kept
+by ``judge``, but for those named as its own (host, path, rule, verdict, template, purity), which it replaces.
 """
 
 from __future__ import annotations
@@ -73,17 +78,19 @@ def segments(path: Column) -> Column:
     )
 
 
-def templates(labelled: DataFrame) -> DataFrame:
-    """(host, path, template, purity) for the distinct paths of ``labelled(host, path, verdict)``.
+def _levels(host: Column) -> Column:
+    """Structs (level, name): the host, its registrable name, its top-level name, and all hosts."""
+    last_two, last = F.regexp_extract(host, r"[^.]+\.[^.]+$", 0), F.regexp_extract(host, r"[^.]+$", 0)
+    names = [host, F.when((last_two != "") & (last_two != host), last_two), F.when((last != "") & (last != host), last), F.when(host != "", "")]
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), n.alias("name")) for k, n in enumerate(names)])
+    return F.filter(levels, lambda x: x["name"].isNotNull())
 
-    ``verdict`` is block, allow or null (no label).
-    """
-    counts = [F.count("*").alias("n"), F.count_if(F.col("verdict") == "block").alias("blocked"), F.count_if(F.col("verdict").isNotNull()).alias("told")]
-    paths = labelled.groupBy("host", "path").agg(*counts)
-    segs = segments(F.col("path"))
-    open_ = cut(paths.select("*", segs.alias("segs"), F.lit("").alias("prefix"), (F.size(segs) > 0).alias("open")), "paths")
-    done = open_.where("not open")
-    open_ = open_.where("open")
+
+def _grow(paths: DataFrame) -> DataFrame:
+    """``paths(level, name, key, segs, n, blocked, told)`` with their template: the tree of every (level, name)."""
+    node = ["level", "name", "prefix"]
+    paths = paths.select("*", F.lit("").alias("prefix"), (F.size("segs") > 0).alias("open"))
+    done, open_ = paths.where("not open"), paths.where("open")
     sums = [F.sum(c).alias(c) for c in ("n", "blocked", "told")]
 
     def merged(s: Column) -> Column:
@@ -93,26 +100,59 @@ def templates(labelled: DataFrame) -> DataFrame:
     d = 0
     while not open_.isEmpty():
         seg = F.get("segs", F.lit(d))
-        kids = open_.groupBy("host", "prefix", seg.alias("seg")).agg(*sums)
-        nodes = kids.groupBy("host", "prefix").agg(F.sum("n").alias("all_n"), F.sum("blocked").alias("all_blocked"), F.count("*").alias("fan"))
+        kids = open_.groupBy(*node, seg.alias("seg")).agg(*sums)
+        nodes = kids.groupBy(*node).agg(F.sum("n").alias("all_n"), F.sum("blocked").alias("all_blocked"), F.sum("told").alias("all_told"), F.count("*").alias("fan"))
         nodes = nodes.where("all_blocked > 0 and all_blocked < all_n")
-        rate = F.col("all_blocked") / F.col("all_n")
-        gap = F.abs(F.col("blocked") - F.col("n") * rate)
-        differs = gap > Z * F.sqrt(F.col("n") * rate * (1 - rate)) + 0.5
+        differs = F.lit(False)
+        for n in ("n", "told"):
+            rate = F.col("all_blocked") / F.col(f"all_{n}")
+            gap = F.abs(F.col("blocked") - F.col(n) * rate)
+            differs |= gap > Z * F.sqrt(F.col(n) * rate * (1 - rate)) + 0.5
         named = (F.col("told") > 0) | (F.col("fan") <= FAN) | (F.col("n") > FAN) | (F.col("n") >= SHARE * F.col("all_n"))
-        own = kids.join(nodes, ["host", "prefix"]).select(F.col("host").alias("h"), F.col("prefix").alias("p"), F.col("seg").alias("s"), (differs & named).alias("keeps"))
+        own = kids.join(nodes, node).select(*[F.col(c).alias(f"own_{c}") for c in (*node, "seg")], (differs & named).alias("keeps"))
         # A row of ``own`` is there for every child of a mixed node; the paths of other nodes are finished.
-        joined = open_.join(own, (F.col("host") == F.col("h")) & (F.col("prefix") == F.col("p")) & (seg == F.col("s")), "left")
-        mixed = F.col("h").isNotNull()
+        same = seg == F.col("own_seg")
+        for c in node:
+            same &= F.col(c) == F.col(f"own_{c}")
+        joined = open_.join(own, same, "left")
+        mixed = F.col("own_level").isNotNull()
         rest = F.concat_ws("/", "prefix", F.transform(F.slice("segs", d + 1, F.size("segs")), merged))
         prefix = F.when(mixed, F.concat_ws("/", "prefix", F.when(F.col("keeps"), seg).otherwise(merged(seg)))).otherwise(rest)
-        paths = cut(joined.select("host", "path", "n", "blocked", "told", "segs", prefix.alias("prefix"), (mixed & (F.size("segs") > d + 1)).alias("open")), f"depth{d}")
-        done, open_ = done.union(paths.where("not open")), paths.where("open")
+        grown = cut(joined.select("level", "name", "key", "n", "blocked", "told", "segs", prefix.alias("prefix"), (mixed & (F.size("segs") > d + 1)).alias("open")), f"depth{d}")
+        done, open_ = done.unionByName(grown.where("not open")), grown.where("open")
         d += 1
-    paths = done
-    purity = (F.sum("blocked") + STRENGTH * PRIOR) / (F.sum("told") + STRENGTH)
-    pure = paths.groupBy("host", "prefix").agg(purity.alias("purity"))
-    return paths.join(pure, ["host", "prefix"]).select("host", "path", F.concat("host", "prefix").alias("template"), "purity")
+    return done.withColumnRenamed("prefix", "template")
+
+
+def path_key(path: Column) -> Column:
+    return F.concat_ws("/", segments(path))
+
+
+def templates(labelled: DataFrame) -> DataFrame:
+    """(host, key, template, purity) for the distinct hosts and path keys of ``labelled(host, path, verdict)``.
+
+    ``verdict`` is block, allow or null (no label).
+    """
+    counts = [F.count("*").alias("n"), F.count_if(F.col("verdict") == "block").alias("blocked"), F.count_if(F.col("verdict").isNotNull()).alias("told")]
+    paths = labelled.select("host", segments(F.col("path")).alias("segs"), "verdict").groupBy("host", "segs").agg(*counts)
+    paths = cut(paths.withColumn("key", F.concat_ws("/", "segs")), "paths")
+    leveled = paths.select("*", F.inline(_levels(F.col("host"))))
+    # Above the host, a host's path is one unit: what share of its labelled pages is blocked.
+    once = F.col("level") > 0
+    counted = [
+        F.when(once, 1.0).otherwise(F.col("n")).alias("n"),
+        F.when(once & (F.col("told") > 0), F.col("blocked") / F.col("told")).otherwise(F.col("blocked")).cast("double").alias("blocked"),
+        F.when(once, F.least("told", F.lit(1))).otherwise(F.col("told")).cast("double").alias("told"),
+    ]
+    units = leveled.select("level", "name", "key", "segs", *counted).groupBy("level", "name", "key", "segs").agg(*[F.sum(c).alias(c) for c in ("n", "blocked", "told")])
+    trees = _grow(cut(units, "units"))
+    pure = trees.groupBy("level", "name", "template").agg(F.sum("blocked").alias("all_blocked"), F.sum("told").alias("all_told"))
+    judged = trees.join(pure, ["level", "name", "template"]).select("level", "name", "key", "template", "all_blocked", "all_told")
+    steps = leveled.select("host", "key", "level", "name").join(judged, ["level", "name", "key"])
+    steps = steps.groupBy("host", "key").agg(F.array_sort(F.collect_list(F.struct((-F.col("level")).alias("at"), "template", "all_blocked", "all_told"))).alias("steps"))
+    purity = F.aggregate("steps", F.lit(PRIOR), lambda p, x: (x["all_blocked"] + STRENGTH * p) / (x["all_told"] + STRENGTH))
+    own = F.element_at("steps", -1)["template"]
+    return steps.select("host", "key", F.concat("host", own).alias("template"), purity.alias("purity"))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -122,7 +162,9 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     told = pages.withColumns({"host": host, "path": path}).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     told = told.withColumn("verdict", verdict_of(F.col("rule"), rules))
     tree = templates(told.select("host", "path", "verdict"))
-    open_ = told.where("rule is null").drop("verdict").join(tree, ["host", "path"])
+    tree = tree.select(F.col("host").alias("_tree_host"), F.col("key").alias("_tree_key"), "template", "purity")
+    open_ = told.where("rule is null").drop("verdict")
+    open_ = open_.join(tree, (F.col("host") == F.col("_tree_host")) & (path_key(F.col("path")) == F.col("_tree_key")))
     method = F.when(F.col("purity") >= REJECT, "block").otherwise("allow")
     columns = [*pages.columns, "host", "path", "rule", "verdict", "template", "purity"]
     open_ = open_.withColumn("verdict", method).select(columns)

@@ -2,7 +2,7 @@
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -115,7 +115,36 @@ def test_url_branches_that_differ_stay_apart_at_any_fan_out_and_depth(spark):
     deep = "/".join(["", *"abcdefgh"])
     rows = [("h.com", f"{deep}/bad/{k}", "block") for k in range(50)] + [("h.com", f"{deep}/good/{k}", None) for k in range(50)]
     out = urlfilter.templates(spark.createDataFrame(rows, "host string, path string, verdict string")).collect()
-    assert all((r["purity"] >= urlfilter.REJECT) == ("/bad/" in r["path"]) for r in out) and len({r["template"] for r in out}) == 2
+    purity = {r["template"]: r["purity"] for r in out}
+    assert len(purity) == 2 and all((p >= urlfilter.REJECT) == ("/bad/" in t) for t, p in purity.items())
+
+
+def test_url_templates_fall_back_to_other_hosts_at_the_tables_density(spark):
+    # As in the tables: three top-level names, a few pages a host, labels from the four rules alone.
+    rng = np.random.default_rng(4)
+    urls = []
+    for top in ("com", "net", "org"):
+        for h in range(20):
+            n = 900 if (top, h) == ("net", 0) else 40  # one host with a third of the rows
+            urls += [f"http://www.site{h}.example.{top}/{rng.choice(['en', 'en', 'de', 'fr', 'es'])}/{rng.integers(9999)}{rng.choice(['', '/', '.html', '?page=2'])}" for _ in range(n)]
+    urls += [f"http://new.example.com/{x}/7" for x in ("en", "es", "de", "other")] + ["no scheme", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = urlfilter.judge(df).collect()
+    told = defaultdict(set)
+    for r in out:
+        if r["rule"] is None and r["host"]:
+            told[r["host"].rpartition(".")[2], r["path"].split("/")[1]].add(r["verdict"])
+    # /es/ is blocked wherever it is labelled, /en/ nowhere, /fr/ on one of two names; all labels of .org allow.
+    assert told[("com", "es")] == {"block"}
+    assert all(told["com", x] == {"allow"} for x in ("en", "fr", "other")) and all(told["org", x] == {"allow"} for x in ("en", "es", "de"))
+    assert {r["verdict"] for r in out if not r["host"]} == {"allow"}
+
+
+def test_url_unlabelled_siblings_of_a_blocked_branch_are_blocked(spark):
+    rows = [(f"www.shop{h}.com", f"/offers/{k}/{w}", "block" if k < 3 and h < 8 else None) for h in range(10) for k in range(6) for w in ("a", "b")]
+    rows += [(f"www.shop{h}.com", f"/help/{k}", "allow" if k < 3 else None) for h in range(10) for k in range(6)]
+    out = urlfilter.templates(spark.createDataFrame(rows, "host string, path string, verdict string")).collect()
+    assert all((r["purity"] >= urlfilter.REJECT) == r["key"].startswith("offers") for r in out)
 
 
 @pytest.fixture(scope="module")
