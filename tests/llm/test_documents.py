@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -311,16 +312,56 @@ def test_lm_scores(spark, edge_docs, edge_rows, empty_docs):
     assert lmscore.score(docs, void, lmscore.fit(empty_docs, void)).count() == len(rows)
 
 
+def test_lm_result_does_not_depend_on_partitions(spark, edge_docs):
+    found = []
+    for n in (4, 16):
+        docs = edge_docs.repartition(n)
+        corpus = lmscore.statistics(docs)
+        net = lmscore.fit(docs, corpus, start_rows=20, shard_windows=500)
+        found.append(by_row(lmscore.score(docs, corpus, net), "doc_id", "n_tokens", "log_prob"))
+    assert found[0] == found[1]
+
+
+def test_lm_pseudo_likelihood_against_brute_force(spark, edge_docs, edge_rows):
+    corpus = lmscore.statistics(edge_docs)
+    net = lmscore.fit(edge_docs, corpus, start_rows=20)
+    c, p = corpus.side, {k: v.astype(float) for k, v in net.p.items()}
+    own, spell = dict(zip(corpus.hashes.tolist(), corpus.slots.tolist(), strict=True)), corpus.spell.reshape(256, 256)
+
+    def slot(w):
+        data = np.frombuffer(w, np.uint8)
+        h = linededup.mix(np.zeros(1, np.uint64))  # a uint64 array to fill
+        h[0] = lmscore.span_hash(lmscore.prefix_hash(data), np.array([0]), np.array([len(data)]))[0]
+        return own.get(int(h[0]), corpus.own + int(linededup.mix(h ^ np.uint64(lmscore.SEED))[0] % np.uint64(c * c - corpus.own)))
+
+    def brute(text):
+        w = [x.encode() for x in WORD.findall((text or "").translate(LOWER))]
+        ids = [c * c] * 2 + [slot(x) for x in w] + [c * c] * 2
+        total = 0.0
+        for k, x in enumerate(w):
+            near = np.concatenate([p["embed"][ids[k + d]] for d in (0, 1, 3, 4)])
+            h = np.tanh(near @ p["hidden"] + p["hidden_b"])
+            z, (a, b) = h @ p["cls"] + p["cls_b"], divmod(ids[k + 2], c)
+            y = h @ p["word"][a] + p["word_b"][a]
+            total += z[a] - np.logaddexp.reduce(z) + y[b] - np.logaddexp.reduce(y)
+            if ids[k + 2] >= corpus.own:
+                total += min(0.0, sum(spell[u, v] for u, v in zip(b" " + x, x + b" ", strict=True)) + math.log(c * c - corpus.own))
+        return total
+
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["log_prob"]) for r in lmscore.score(edge_docs, corpus, net).collect() if r["n_tokens"] < 1000)
+    want = sorted((str(r[0]), len(WORD.findall(r[1] or "")), brute(r[1])) for r in edge_rows if len(WORD.findall(r[1] or "")) < 1000)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(abs(g[2] - w[2]) < 0.06 + 1e-4 * abs(w[2]) for g, w in zip(got, want, strict=True))
+
+
 def test_lm_probabilities_sum_to_one():
     net = lmscore.WindowNet()
-    ctx = np.array([[1, 2, 3, 4]] * lmscore.PAD)
-    assert abs(np.exp(net.log_probs(ctx, np.arange(lmscore.PAD))).sum() - 1) < 1e-4
+    ctx = np.array([[1, 2, 3, 4]] * net.side**2)
+    assert abs(np.exp(net.log_probs(ctx, np.arange(net.side**2))).sum() - 1) < 1e-4
 
 
 def test_lm_model_averaging_tree(spark, monkeypatch):
     monkeypatch.setattr(lmscore, "FAN", 3)
-    size = 5
-    rows = [(k, k + 1, np.full(size, float(k)).tobytes()) for k in range(20)]
-    models = spark.createDataFrame(rows, "k long, n long, flat binary")
-    flat, total = lmscore._average(models)
+    rows = [(k, k + 1, np.full(5, float(k), "<f4").tobytes()) for k in range(20)]
+    flat, total = lmscore._average(spark.createDataFrame(rows, "k long, n long, flat binary"))
     assert total == 210 and np.allclose(flat, sum((k + 1) * k for k in range(20)) / 210)
