@@ -8,25 +8,32 @@ A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` at both ends, A-Z lo
 * ``filters(shard, filter)``: for every shard of keys a cuckoo filter of the keys that two or more
   documents hold.
 
-``dedup`` probes the filters with each document's keys; only keys that a filter may hold go on to the exact
-table, which decides.  A filter has no false negatives and its false positives fall to the exact join, so
-results don't depend on it.  ``LineStore`` keeps the state in versioned tables, takes in and takes out
-batches of documents (a key's postings are kept per document, so a deletion restores the next smallest
-holder), and updates only the filters of shards whose keys crossed the bar of two documents.
-
-Scale: documents are scanned twice and shuffled once, by doc_id, to meet their dropped keys.  Keys are
-pre-aggregated in the scan (distinct per document) and map-side (min, max, count), so a key that a third of
-all documents hold is a handful of partial rows; the join back is a sort-merge join whose hot partitions
-Spark splits.  Filters are broadcast only while their summed size, measured first, is at most
-``BROADCAST_BYTES``; beyond that the exact join alone decides, on the same rows, with the same result.
+``LineStore`` keeps that state under a path: postings (which document holds which key) and taken-out documents
+are deltas, written once and merged now and then; a log names the deltas of each version.  A change writes its
+deltas under fresh names and then adds its version to the log, so a failed change leaves the old version whole,
+can be tried again, and a store can be opened again by its path.  A change reads postings of the keys it touches
+and patches only the filters of shards whose keys crossed the bar of two documents; a deletion restores a key's
+next smallest holder.  The number of shards grows with the keys held.
+
+``dedup`` takes a table into a new store and probes the filters with each document's keys: the keys are dealt to
+where their shard's filter is, and only those that it may hold go on to the exact table, which decides.  A
+filter has no false negatives and its false positives fall to the exact join, so results don't depend on it.
+
+Scale: documents are scanned twice and shuffled once, by doc_id, to meet their dropped keys.  Keys are distinct
+per document before they are shuffled.  No filter is broadcast or held by the driver: a shard has about
+``SHARD_KEYS`` keys, and a shard with more than ``PROBE_ROWS`` rows (of a key that a third of all documents
+hold, say) is probed in that many parts, each with its copy of the filter.  The joins to the exact table and
+back to the documents are sort-merge joins whose hot partitions Spark splits.
 
 Defined cases: null or empty text is one empty line; texts may be of any length; a doc_id repeated in the
 table counts as one document and each of its rows is cut alike; rows with a null doc_id keep all their
-lines and hold no keys; an empty table gives no rows; extra columns are kept by ``apply``.
+lines and hold no keys; an empty table gives no rows; extra columns are kept by ``apply``, and by ``dedup`` but
+for those named as its own (n_lines, n_dropped, kept_text), which it replaces.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +45,9 @@ from pyspark.sql import functions as F
 from .common import SPACES, cut, mix, shielded, table, text_slices, without, work_dir
 
 MIN_CHARS = 10
-SHARD_KEYS = 1 << 18
-BROADCAST_BYTES = 32 << 20
+SHARD_KEYS = 1 << 16
+PROBE_ROWS = 1 << 17
+DELTAS = 8  # a store with more is merged
 SLOTS = 4
 
 
@@ -144,12 +152,10 @@ def _emit(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
 _MASK = (1 << 64) - 1
 
 
-def line_keys(docs: DataFrame, filters: dict[int, bytes] | None = None) -> DataFrame:
-    """(hi, lo, doc_id): the distinct keys of every document; with ``filters``, those that they may hold."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters) if filters is not None else None
+def line_keys(docs: DataFrame) -> DataFrame:
+    """(hi, lo, doc_id): the keys of every document, distinct per row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {k: CuckooFilter.from_bytes(v) for k, v in shared.value.items()} if shared is not None else None
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for i, j, data, offs in text_slices(batch):
@@ -163,22 +169,14 @@ def line_keys(docs: DataFrame, filters: dict[int, bytes] | None = None) -> DataF
                     for k in keys:
                         d = xxhash.xxh3_128_intdigest(k)
                         rows.append((d >> 64, d & _MASK, doc))
-                if held is not None and rows:
-                    lo = np.array([x[1] for x in rows], np.uint64)
-                    shard = np.array([x[0] for x in rows], np.uint64) % np.uint64(len(held))
-                    may = np.zeros(len(rows), bool)
-                    for s in np.unique(shard).tolist():
-                        own = shard == s
-                        may[own] = held[s].contains(lo[own])
-                    rows = [x for x, m in zip(rows, may.tolist(), strict=True) if m]
                 yield _emit(rows)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "hi long, lo long, doc_id long")
 
 
-def reference_counts(keys: DataFrame) -> DataFrame:
-    """(hi, lo, first_doc, last_doc): exact holders' bounds of every key; two or more documents iff they differ."""
-    return keys.groupBy("hi", "lo").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+def reference_counts(postings: DataFrame) -> DataFrame:
+    """(hi, lo, first_doc, n_docs): of every key of distinct ``postings(hi, lo, doc_id)`` its smallest holder and their number."""
+    return postings.groupBy("hi", "lo").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n_docs"))
 
 
 def _shard(n: int):
@@ -186,39 +184,97 @@ def _shard(n: int):
     return F.col("hi").bitwiseAND(F.lit(n - 1).cast("long")).cast("int").alias("shard")
 
 
+def _shards_for(n_keys: int) -> int:
+    return 1 << max(0, int(np.ceil(np.log2(max(1, n_keys) / SHARD_KEYS))))
+
+
+def _runs(key: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of the runs of equal columns."""
+    cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
+    bounds = [0, *cuts.tolist(), key.shape[1]]
+    return zip(bounds, bounds[1:], strict=False)
+
+
+_FILTERS = "shard int, filter binary"
+
+
+def _filter_row(shard: int, raw: bytes | None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([raw], pa.binary())], names=["shard", "filter"])
+
+
 def build_filters(held: DataFrame, n_shards: int) -> DataFrame:
     """(shard, filter): the cuckoo filters of the keys ``held(hi, lo)``, one row for each shard that has keys."""
+    none = F.lit(None).cast("binary").alias("filter")
+    return _patched(held.select(_shard(n_shards), F.lit(2).alias("op"), "lo", none))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            shard, lo = np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(np.uint64)
-            for s in np.unique(shard).tolist():
-                parts.setdefault(s, []).append(lo[shard == s])
-        for s in sorted(parts):
-            raw = CuckooFilter.of(np.sort(np.concatenate(parts.pop(s)))).to_bytes()
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([raw], pa.binary())], names=["shard", "filter"])
 
-    return held.select(_shard(n_shards), "lo").repartition("shard").mapInArrow(run, "shard int, filter binary")
+def _patched(rows: DataFrame) -> DataFrame:
+    """(shard, filter): of ``rows(shard, op, lo, filter)`` each shard's filter (op 0, if there) less op 1 and with op 2.
 
+    Null for a filter without room: it is to be built anew.
+    """
 
-def _shards_for(n_keys: int) -> int:
-    return 1 << max(0, int(np.ceil(np.log2(max(1, n_keys) / SHARD_KEYS))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own, new = None, None, []
 
+        def done() -> Iterator[pa.RecordBatch]:
+            if at is not None:
+                f = CuckooFilter.of(np.concatenate(new)) if own is None else grown(own, np.concatenate(new)) if new else own
+                yield _filter_row(at, None if f is None else f.to_bytes())
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            shard, op = (np.asarray(batch.column(k)).astype(np.int64) for k in (0, 1))
+            lo = np.asarray(batch.column(2).fill_null(0)).astype(np.int64).view(np.uint64)
+            for x, y in _runs(np.stack((shard, op))):
+                if shard[x] != at:
+                    yield from done()
+                    at, own, new = int(shard[x]), None, []
+                if op[x] == 0:
+                    own = CuckooFilter.from_bytes(batch.column(3)[x].as_py())
+                elif op[x] == 1:
+                    own.delete(lo[x:y])
+                else:
+                    new.append(lo[x:y])
+        yield from done()
+
+    return rows.repartition("shard").sortWithinPartitions("shard", "op", "lo").mapInArrow(run, _FILTERS)
 
-def load_filters(filters: DataFrame, n_shards: int) -> dict[int, bytes] | None:
-    """The filters for broadcast, if their measured size is within ``BROADCAST_BYTES``; else None."""
-    size = filters.agg(F.sum(F.length("filter"))).first()[0] or 0
-    if size > BROADCAST_BYTES:
-        return None
-    found = {r["shard"]: bytes(r["filter"]) for r in filters.collect()}
-    empty = CuckooFilter(1).to_bytes()
-    return {s: found.get(s, empty) for s in range(n_shards)}
 
+def probe(keys: DataFrame, filters: DataFrame, n_shards: int) -> DataFrame:
+    """Those of ``keys(hi, lo, doc_id)`` that the filter of their shard may hold; keys meet filters by shard."""
+    keys = keys.withColumn("shard", _shard(n_shards))
+    parts = keys.groupBy("shard").agg(F.ceil(F.count("*") / PROBE_ROWS).cast("int").alias("parts"))
+    parts = cut(parts, "parts")  # a few bytes for each PROBE_ROWS rows
+    none = F.lit(None).cast("binary")
+    dealt = keys.join(parts, "shard").select("shard", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "hi", "lo", "doc_id", none.alias("filter"))
+    no = F.lit(None).cast("long")
+    copies = filters.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), no.alias("hi"), no.alias("lo"), no.alias("doc_id"), "filter")
 
-def dropped_keys(docs: DataFrame, held: DataFrame, filters: dict[int, bytes] | None) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = np.stack([np.asarray(batch.column(k)).astype(np.int64) for k in (0, 1, 2)])
+            lo = np.asarray(batch.column(4).fill_null(0)).astype(np.int64).view(np.uint64)
+            may = np.zeros(batch.num_rows, bool)
+            for x, y in _runs(place):
+                if (int(place[0, x]), int(place[1, x])) != at:
+                    at, own = (int(place[0, x]), int(place[1, x])), None
+                if place[2, x] == 0:
+                    own = CuckooFilter.from_bytes(batch.column(6)[x].as_py())
+                elif own is not None:
+                    may[x:y] = own.contains(lo[x:y])
+            yield batch.select(["hi", "lo", "doc_id"]).filter(pa.array(may))
+
+    met = dealt.unionByName(copies).repartition("shard", "part").sortWithinPartitions("shard", "part", "kind")
+    return met.mapInArrow(run, "hi long, lo long, doc_id long")
+
+
+def dropped_keys(may: DataFrame, held: DataFrame) -> DataFrame:
     """(doc_id, keys): for each document the keys whose lines it loses, packed as 16-byte digests."""
-    may = line_keys(docs, filters)
     lost = may.join(held.select("hi", "lo", "first_doc"), ["hi", "lo"]).where("doc_id <> first_doc")
     packed = F.unhex(F.concat(F.lpad(F.hex("hi"), 16, "0"), F.lpad(F.hex("lo"), 16, "0")))
     return lost.groupBy("doc_id").agg(F.collect_set(packed).alias("keys"))
@@ -258,94 +314,143 @@ def rewrite(docs: DataFrame, lost: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with n_lines, n_dropped and kept_text: the whole table taken in at once."""
-    held = cut(reference_counts(line_keys(docs)).where("first_doc <> last_doc"), "held")
-    n_shards = _shards_for(held.count())
-    filters = cut(build_filters(held, n_shards), "filters")
-    return rewrite(docs, dropped_keys(docs, held, load_filters(filters, n_shards)))
+    """``docs`` with n_lines, n_dropped and kept_text: the whole table taken into a new store."""
+    store = LineStore(docs.sparkSession)
+    keys = store.insert(docs)
+    return store.dedup(docs, keys)
 
 
-class LineStore:
-    """The state of a corpus that documents are added to and deleted from, in versioned tables under ``path``.
+_LOG = "version int, seq int, kind string, name string, shards int, held long, token string"
 
-    ``postings(hi, lo, doc_id)`` are the exact references; ``refs`` counts them; filters hold the keys with two
-    or more.  Every change writes a new version and only then names it current, so a failed change leaves the
-    old version whole.
-    """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, n_shards: int = 8) -> None:
-        self.spark, self.path, self.version, self.n_shards = spark, path or work_dir(spark, "lines"), 0, n_shards
-        if n_shards & (n_shards - 1):
-            raise ValueError("n_shards is a power of two")
-        empty = spark.createDataFrame([], "hi long, lo long, doc_id long")
-        self._write(empty, spark.createDataFrame([], "shard int, filter binary"))
+class LineStore:
+    """The state of a corpus that documents are added to and deleted from, in tables under ``path``.
 
-    def _at(self, name: str) -> str:
-        return f"{self.path}/v{self.version}/{name}"
+    Opening a path that holds a store continues it at its newest version.  One writer at a time: of two changes
+    to one version, the later to be seen raises.
+    """
 
-    def _write(self, postings: DataFrame, filters: DataFrame) -> None:
-        target = f"{self.path}/v{self.version + 1}"
-        postings.write.parquet(f"{target}/postings")
-        filters.write.parquet(f"{target}/filters")
-        self.version += 1
+    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
+        self.spark, self.path = spark, path or work_dir(spark, "lines")
+        self.version, self.shards, self.n_held, self.entries = 0, 1, 0, []
+        self._held: DataFrame | None = None
+        log = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/log")
+        if log.getFileSystem(spark._jsc.hadoopConfiguration()).exists(log):
+            rows = spark.read.schema(_LOG).parquet(f"{self.path}/log")
+            newest = rows.agg(F.max("version")).first()[0] or 0
+            rows = rows.where(F.col("version") == newest).orderBy("seq").collect()
+            if len({r["token"] for r in rows}) > 1:
+                raise RuntimeError(f"two changes made version {newest} of {self.path}")
+            if rows:
+                self.version, self.shards, self.n_held = newest, rows[0]["shards"], rows[0]["held"]
+                self.entries = [(r["seq"], r["kind"], r["name"]) for r in rows if r["kind"] != "none"]
+
+    def _new(self, df: DataFrame, kind: str) -> str:
+        name = f"{kind}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{name}")
+        return name
+
+    def _commit(self, entries: list[tuple[int, str, str]], shards: int, n_held: int) -> None:
+        token, version = uuid.uuid4().hex, self.version + 1
+        rows = [(version, seq, kind, name, shards, n_held, token) for seq, kind, name in entries or [(0, "none", "")]]
+        self.spark.createDataFrame(rows, _LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+        self.version, self.entries, self.shards, self.n_held, self._held = version, entries, shards, n_held, None
+
+    def _read(self, kind: str, schema: str, entries=None) -> DataFrame:
+        """The rows of all deltas of a kind, each with its ``seq``."""
+        out = self.spark.createDataFrame([], f"{schema}, seq int")
+        for n, (seq, name) in enumerate((s, x) for s, k, x in (entries or self.entries) if k == kind):
+            df = self.spark.read.schema(schema).parquet(f"{self.path}/{name}").withColumn("seq", F.lit(seq))
+            out = df if n == 0 else out.unionByName(df)
+        return out
+
+    def _postings(self, entries: list | None = None) -> DataFrame:
+        entries = self.entries if entries is None else entries
+        rows = self._read("postings", "hi long, lo long, doc_id long", entries)
+        kinds = [k for _, k, _ in entries]
+        if "gone" in kinds:
+            gone = self._read("gone", "doc_id long", entries).groupBy("doc_id").agg(F.max("seq").alias("gone"))
+            rows = rows.join(gone, "doc_id", "left").where("gone is null or gone < seq")
+        rows = rows.select("hi", "lo", "doc_id")
+        return rows if kinds.count("postings") <= 1 else rows.distinct()
 
     @property
     def postings(self) -> DataFrame:
-        return self.spark.read.schema("hi long, lo long, doc_id long").parquet(self._at("postings"))
-
-    @property
-    def filters(self) -> DataFrame:
-        return self.spark.read.schema("shard int, filter binary").parquet(self._at("filters"))
+        return self._postings()
 
     @property
     def refs(self) -> DataFrame:
-        return self.postings.groupBy("hi", "lo").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n_docs"))
-
-    def _change(self, postings: DataFrame) -> None:
-        postings = cut(postings, "postings")
-        now = postings.groupBy("hi", "lo").agg(F.count("*").alias("now"))
-        was = self.refs.select("hi", "lo", F.col("n_docs").alias("was"))
-        both = now.join(was, ["hi", "lo"], "full").select("hi", "lo", F.coalesce("now", F.lit(0)).alias("now"), F.coalesce("was", F.lit(0)).alias("was"))
-        crossed = both.where("(now >= 2) <> (was >= 2)").select(_shard(self.n_shards), F.lit(1).cast("long").alias("op"), "lo", (F.col("now") >= 2).alias("add"))
-        old = self.filters.select("shard", "filter", F.lit(None).cast("array<long>").alias("add"), F.lit(None).cast("array<long>").alias("del"))
-        new = crossed.groupBy("shard").agg(F.lit(None).cast("binary").alias("filter"), F.collect_list(F.when(F.col("add"), F.col("lo"))).alias("add"), F.collect_list(F.when(~F.col("add"), F.col("lo"))).alias("del"))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            state: dict[int, list] = {}
-            for batch in batches:
-                for r in batch.to_pylist():
-                    s = state.setdefault(r["shard"], [None, [], []])
-                    s[0] = r["filter"] if r["filter"] is not None else s[0]
-                    s[1] += r["add"] or []
-                    s[2] += r["del"] or []
-            for shard, (raw, add, gone) in sorted(state.items()):
-                add_h = np.array(add, np.int64).view(np.uint64)
-                if raw is None:
-                    f = CuckooFilter.of(add_h)
-                else:
-                    f = CuckooFilter.from_bytes(raw)
-                    f.delete(np.array(gone, np.int64).view(np.uint64))
-                    f = grown(f, add_h)
-                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([None if f is None else f.to_bytes()], pa.binary())], names=["shard", "filter"])
+        return reference_counts(self.postings)
 
-        filters = cut(old.union(new).repartition("shard").mapInArrow(run, "shard int, filter binary"), "filters")
-        full = filters.where("filter is null").select("shard")
-        held = postings.groupBy("hi", "lo").agg(F.count("*").alias("n")).where("n >= 2").select("hi", "lo", _shard(self.n_shards)).join(full, "shard", "left_semi")
-        filters = filters.where("filter is not null").union(build_filters(held, self.n_shards))
-        self._write(postings, filters)
-
-    def insert(self, docs: DataFrame) -> None:
-        """Takes in documents; a doc_id that is there already gains the new lines' keys."""
-        self._change(self.postings.union(line_keys(docs)).distinct())
+    @property
+    def filters(self) -> DataFrame:
+        return self._read("filters", _FILTERS).groupBy("shard").agg(F.max_by("filter", "seq").alias("filter"))
+
+    def _held_keys(self) -> DataFrame:
+        if self._held is None:
+            self._held = cut(self.refs.where("n_docs >= 2"), "held")
+        return self._held
+
+    def _change(self, kind: str, name: str, touched: DataFrame) -> None:
+        """Takes the written delta into the log, with the filters that follow from the keys ``touched(hi, lo)``."""
+        seq = 1 + max([0, *(s for s, _, _ in self.entries)])
+        entries = [*self.entries, (seq, kind, name)]
+        if not self.entries:
+            held = cut(reference_counts(self._postings(entries)).where("n_docs >= 2"), "held")
+            n_held = held.count()
+            shards = _shards_for(n_held)
+            filters = self._new(build_filters(held, shards), "filters")
+            self._commit([*entries, (seq, "filters", filters)], shards, n_held)
+            self._held = held
+            return
+        touched = cut(touched.select("hi", "lo").distinct(), "touched")
+        was, now = (reference_counts(self._postings(e).join(touched, ["hi", "lo"], "left_semi")).where("n_docs >= 2").select("hi", "lo") for e in (None, entries))
+        was, now = cut(was, "was"), cut(now, "now")
+        up, down = now.join(was, ["hi", "lo"], "left_anti"), was.join(now, ["hi", "lo"], "left_anti")
+        n_held = self.n_held + up.count() - down.count()
+        if len(entries) > DELTAS or _shards_for(n_held) > self.shards:
+            self._merge(entries, seq)
+            return
+        none = F.lit(None).cast("binary").alias("filter")
+        ops = up.select(_shard(self.shards), F.lit(2).alias("op"), "lo", none).union(down.select(_shard(self.shards), F.lit(1).alias("op"), "lo", none))
+        old = self.filters.join(ops.select("shard").distinct(), "shard", "left_semi").select("shard", F.lit(0).alias("op"), F.lit(None).cast("long").alias("lo"), "filter")
+        patched = cut(_patched(old.union(ops)), "filters")
+        full = patched.where("filter is null").select("shard")
+        again = reference_counts(self._postings(entries)).where("n_docs >= 2").select("hi", "lo", _shard(self.shards)).join(full, "shard", "left_semi")
+        filters = patched.where("filter is not null")
+        filters = self._new(filters if full.isEmpty() else filters.union(build_filters(again, self.shards)), "filters")
+        self._commit([*entries, (seq, "filters", filters)], self.shards, n_held)
+
+    def _merge(self, entries: list[tuple[int, str, str]], seq: int) -> None:
+        """One delta in place of many, and all filters anew."""
+        name = self._new(self._postings(entries), "postings")
+        held = cut(reference_counts(self._postings([(seq, "postings", name)])).where("n_docs >= 2"), "held")
+        n_held = held.count()
+        shards = _shards_for(n_held)
+        self._commit([(seq, "postings", name), (seq, "filters", self._new(build_filters(held, shards), "filters"))], shards, n_held)
+        self._held = held
+
+    def insert(self, docs: DataFrame) -> DataFrame:
+        """Takes in documents and returns their keys; a doc_id that is there already gains the new lines' keys."""
+        name = self._new(line_keys(docs).distinct(), "postings")
+        keys = self.spark.read.schema("hi long, lo long, doc_id long").parquet(f"{self.path}/{name}")
+        self._change("postings", name, keys)
+        return keys
 
     def delete(self, doc_ids: DataFrame) -> None:
         """Takes out the documents of ``doc_ids(doc_id)``; keys fall back to their next smallest holder."""
-        self._change(self.postings.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti").select("hi", "lo", "doc_id"))
-
-    def dedup(self, docs: DataFrame) -> DataFrame:
-        """``docs`` (taken in before) with n_lines, n_dropped and kept_text as the current version has it."""
-        held = self.refs.where("n_docs >= 2")
-        return rewrite(docs, dropped_keys(docs, held, load_filters(self.filters, self.n_shards)))
+        name = self._new(doc_ids.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct(), "gone")
+        gone = self.spark.read.schema("doc_id long").parquet(f"{self.path}/{name}")
+        self._change("gone", name, self.postings.join(gone, "doc_id", "left_semi"))
+
+    def dedup(self, docs: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+        """``docs`` (taken in before) with n_lines, n_dropped and kept_text as the current version has it.
+
+        ``keys`` are those that :meth:`insert` returned for the same documents, if they are still at hand.
+        """
+        if keys is None:
+            keys = cut(line_keys(docs).distinct(), "keys")
+        return rewrite(docs, dropped_keys(probe(keys, self.filters, self.shards), self._held_keys()))
 
 
 def grown(f: CuckooFilter, add: np.ndarray) -> CuckooFilter | None:

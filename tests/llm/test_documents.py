@@ -81,26 +81,62 @@ def test_line_dedup(edge_docs, edge_rows, empty_docs):
     assert linededup.apply(edge_docs).columns == edge_docs.columns
 
 
-def test_line_dedup_without_broadcast_is_the_same(edge_docs, edge_rows, monkeypatch):
-    monkeypatch.setattr(linededup, "BROADCAST_BYTES", -1)
+def test_line_dedup_with_many_shards_and_parts_is_the_same(edge_docs, edge_rows, monkeypatch):
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 2)
+    monkeypatch.setattr(linededup, "PROBE_ROWS", 3)
     out = linededup.dedup(edge_docs)
     assert by_row(out, "doc_id", "n_lines", "n_dropped", "kept_text") == lines_brute([r[:2] for r in edge_rows])
 
 
-def test_line_store_is_reversible(spark, tmp_path):
+def test_probing_keeps_what_is_held_and_little_else(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "PROBE_ROWS", 100)
+    rng = np.random.default_rng(6)
+    keys = [tuple(x) for x in rng.integers(-(2**63), 2**63 - 1, (4000, 2)).tolist()]
+    held = spark.createDataFrame(keys[:1000], "hi long, lo long")
+    all_ = spark.createDataFrame([(*k, d) for d, k in enumerate(keys)], "hi long, lo long, doc_id long")
+    may = {r["doc_id"] for r in linededup.probe(all_, linededup.build_filters(held, 4), 4).collect()}
+    assert set(range(1000)) <= may and len(may) < 1020
+
+
+def test_line_store_is_reversible_and_reopens(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 4)
+    monkeypatch.setattr(linededup, "DELTAS", 5)
     rows = [(k, f"a line shared by all of them\nown line number {k} of this\nshared by pairs {k // 2} only") for k in range(12)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    store = linededup.LineStore(spark, str(tmp_path / "store"), n_shards=2)
+    path = str(tmp_path / "store")
+
+    def told(ids):
+        """What a store opened anew says of the documents, and what it should say."""
+        own = docs.where(F.col("doc_id").isin(list(ids)))
+        found = by_row(linededup.LineStore(spark, path).dedup(own), "doc_id", "n_lines", "n_dropped", "kept_text")
+        return found == lines_brute([r for r in rows if r[0] in ids])
+
+    store = linededup.LineStore(spark, path)
     store.insert(docs.where("doc_id < 6"))
-    first = by_row(store.dedup(docs.where("doc_id < 6")), "doc_id", "n_lines", "n_dropped", "kept_text")
-    store.insert(docs.where("doc_id >= 6"))
-    assert by_row(store.dedup(docs), "doc_id", "n_lines", "n_dropped", "kept_text") == lines_brute(rows)
+    assert told(range(6)) and store.shards == 1
+    linededup.LineStore(spark, path).insert(docs.where("doc_id >= 6"))
+    assert told(range(12)) and linededup.LineStore(spark, path).shards == 2
+    store = linededup.LineStore(spark, path)
     store.delete(docs.where("doc_id in (0, 3)").select("doc_id"))
-    left = [r for r in rows if r[0] not in (0, 3)]
-    assert by_row(store.dedup(docs.where("doc_id not in (0, 3)")), "doc_id", "n_lines", "n_dropped", "kept_text") == lines_brute(left)
+    assert told([k for k in range(12) if k not in (0, 3)])
+
+    # A change that fails half way leaves the version whole, and can be tried again.
+    with monkeypatch.context() as m:
+        m.setattr(linededup.LineStore, "_commit", lambda *_: (_ for _ in ()).throw(OSError("no space")))
+        with pytest.raises(OSError, match="no space"):
+            store.insert(docs.where("doc_id in (0, 3)"))
+    assert told([k for k in range(12) if k not in (0, 3)])
     store.insert(docs.where("doc_id in (0, 3)"))
+    assert told(range(12))
     store.delete(docs.where("doc_id >= 6").select("doc_id"))
-    assert by_row(store.dedup(docs.where("doc_id < 6")), "doc_id", "n_lines", "n_dropped", "kept_text") == first
+    assert told(range(6))
+    assert sum(k != "filters" for _, k, _ in linededup.LineStore(spark, path).entries) <= 5
+
+    other = linededup.LineStore(spark, path)
+    store.delete(docs.where("doc_id = 1").select("doc_id"))
+    other.delete(docs.where("doc_id = 2").select("doc_id"))
+    with pytest.raises(RuntimeError, match="two changes"):
+        linededup.LineStore(spark, path)
 
 
 @pytest.mark.parametrize("n", [0, 1, 5, 64, 5000])
