@@ -18,9 +18,11 @@ all that reaches the driver, and the weights (some 200 KB) travel with the tasks
 whole; pages are batched by their number of blocks.
 
 Defined cases: null html is empty (text empty, n_chars 0); markup without a block gives an empty text;
-unclosed, crossed or cut-off tags are tolerated, an unfinished tag at the end is dropped; repeated rows get a
-row each; with an empty table (nothing to train on) the made layouts alone train the network; extra columns
-are kept by ``extract``.
+unclosed, crossed or cut-off tags are tolerated, in time linear in the page; a tag, comment, script or style
+without an end is dropped with what follows it; texts of mathematics, drawings, noscript and the like are blocks
+as any other; repeated rows get a row each; with an empty table (nothing to train on) the made layouts alone train
+the network; extra columns are kept by ``extract``, but for those named as its own (text, n_chars), which it
+replaces.
 """
 
 from __future__ import annotations
@@ -49,11 +51,13 @@ EPOCHS = 10
 SEED = 11
 
 #: HTML's own element names, by what they mean to this reader (fixed values).
-RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "title"}
+RAW = {"script", "style", "iframe", "textarea", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark",
     "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+    "math", "semantics", "annotation", "mi", "mn", "mo", "ms", "mtext", "mspace", "mrow", "mfrac", "msqrt", "mroot", "msup", "msub", "msubsup", "munder", "mover",
+    "munderover", "mtable", "mtr", "mtd", "svg", "g", "defs", "use", "path", "rect", "circle", "line", "polygon", "text", "tspan",
 }
 CLOSES_P = {
     "address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5",
@@ -62,10 +66,14 @@ CLOSES_P = {
 MAIN = {"article", "main"}
 ASIDE = {"nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)/?>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+_TAG_END = re.compile(r"(?>[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_RAW_END = {t: re.compile(rf"</{t}\b", re.I) for t in RAW}
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
+DEPTH = 256  # elements nested deeper are read, but not named in paths
+_QUOTE_FAULTS = 100  # tags of a page whose quotes don't pair up; after so many, quotes are no longer heeded
 
 
 def _bucket(name: str) -> int:
@@ -93,44 +101,76 @@ def _names(tag: str, attrs: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def _markup(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text before, tag, closing, attributes) for each tag, and what is left with tag "": in time linear in the page.
+
+    A tag ends at the first ``>`` outside quotes, or at the first of all if its quotes don't pair up.  A tag
+    without an end is dropped with all after it, as comments, scripts and styles without one are.
+    """
+    at = begun = 0
+    faults, without_end = 0, set()
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            stop = page.find("-->", at + 4)
+            end = stop + 3
+        elif page.startswith(("<!", "<?"), at):
+            stop = page.find(">", at)
+            end = stop + 1
+        elif (m := _TAG.match(page, at)) is None:
+            at += 1
+            continue
+        else:
+            found = _TAG_END.match(page, m.end()) if faults < _QUOTE_FAULTS else None
+            faults += found is None
+            stop = page.find(">", m.end()) if found is None else found.end() - 1
+            end = stop + 1
+        if stop < 0:
+            yield page[begun:at], "", False, ""
+            return
+        if page[at + 1] in "!?":
+            yield page[begun:at], "!", False, ""
+            at = begun = end
+            continue
+        tag, closing = m.group(1).lower(), page[at + 1] == "/"
+        before, begun = page[begun:at], end
+        at = end
+        if tag in RAW and not closing and tag not in without_end:
+            close = _RAW_END[tag].search(page, end)
+            if close is not None:
+                at = begun = close.start()
+            elif tag in ("script", "style"):
+                yield before, tag, False, ""
+                return
+            else:
+                without_end.add(tag)
+        yield before, tag, closing, page[m.end() : stop]
+    yield page[begun:], "", False, ""
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order; what stands in scripts, styles and other unread elements is left out."""
     out: list[Block] = []
     stack: list[_Open] = []
     parts: list[str] = []
-    linked, in_link, at, n = 0, 0, 0, len(page)
+    linked, in_link, path = 0, 0, None
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, path
         if parts:
             text = _SPACE.sub(" ", html_lib.unescape("".join(parts))).strip()
             if text:
-                path = tuple(x for o in stack if o.tag not in INLINE for x in o.names)
+                if path is None:
+                    path = tuple(x for o in stack for x in o.names)
                 out.append(Block(text, path, min(1.0, linked / len(text))))
             parts.clear()
         linked = 0
 
-    while at < n:
-        m = _TOKEN.search(page, at)
-        cut = n if m is None else m.start()
-        if cut > at:
-            text = page[at:cut]
-            if m is None and (tail := text.rfind("<")) >= 0 and re.match(r"</?[a-zA-Z!?]|<$", text[tail:]):
-                text = text[:tail]
+    for text, tag, closing, attrs in _markup(page):
+        if text:
             parts.append(text)
             if in_link:
                 linked += len(text)
-        if m is None:
-            break
-        at = m.end()
-        tag = m.group(2) or m.group(5)
-        if tag is None:
-            continue
-        tag, closing, attrs = tag.lower(), bool(m.group(1) or m.group(4)), m.group(3) or m.group(6) or ""
-        if tag in RAW and not closing:
-            flush()
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = n if end is None else end.end()
+        if tag in ("", "!"):
             continue
         if tag == "a":
             in_link = 0 if closing else 1
@@ -140,8 +180,9 @@ def blocks(page: str) -> list[Block]:
         if tag in INLINE:
             continue
         flush()
-        if tag in VOID:
+        if tag in VOID or tag in RAW:
             continue
+        path = None
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k].tag == tag:
@@ -156,7 +197,8 @@ def blocks(page: str) -> list[Block]:
             stack.pop()
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1].tag == tag:
             stack.pop()
-        stack.append(_Open(tag, _names(tag, attrs)))
+        if len(stack) < DEPTH and (tag in CLOSES_P or not attrs.endswith("/")):
+            stack.append(_Open(tag, _names(tag, attrs)))
     flush()
     return out
 
@@ -228,24 +270,30 @@ class BiLSTM:
         x = np.concatenate((self._pool(self.p["path"], pf, pr, n), self._pool(self.p["word"], wf, wr, n) / wn[:, None], figures.astype(np.float32)), 1)
         return x, (pf, pr, wf, wr, wn)
 
-    def _scan(self, x: np.ndarray, mask: np.ndarray, d: str):
-        """x: (pages, steps, width); steps past a page's end pass the state on unchanged."""
+    def _scan(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool):
+        """x: (pages, steps, width); steps past a page's end pass the state on unchanged.
+
+        What back-propagation needs of each step is kept only if ``keep``.
+        """
         n, steps, _ = x.shape
         h = np.zeros((n, HIDDEN), np.float32)
         c = np.zeros((n, HIDDEN), np.float32)
-        gx = x @ self.p["wx" + d] + self.p["bh" + d]
         hs = np.zeros((n, steps, HIDDEN), np.float32)
         kept = []
-        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            g = gx[:, t] + h @ self.p["wh" + d]
-            i, f, o = (_sigmoid(g[:, k * HIDDEN : (k + 1) * HIDDEN]) for k in range(3))
-            u = np.tanh(g[:, 3 * HIDDEN :])
-            m = mask[:, t : t + 1]
-            c2 = f * c + i * u
-            tc = np.tanh(c2)
-            kept.append((t, h, c, i, f, o, u, tc, m))
-            h, c = np.where(m, o * tc, h), np.where(m, c2, c)
-            hs[:, t] = h
+        spans = [(s, min(steps, s + 2048)) for s in range(0, steps, 2048)]
+        for low, high in spans if d == "f" else spans[::-1]:
+            gx = x[:, low:high] @ self.p["wx" + d] + self.p["bh" + d]
+            for t in range(low, high) if d == "f" else range(high - 1, low - 1, -1):
+                g = gx[:, t - low] + h @ self.p["wh" + d]
+                i, f, o = (_sigmoid(g[:, k * HIDDEN : (k + 1) * HIDDEN]) for k in range(3))
+                u = np.tanh(g[:, 3 * HIDDEN :])
+                m = mask[:, t : t + 1]
+                c2 = f * c + i * u
+                tc = np.tanh(c2)
+                if keep:
+                    kept.append((t, h, c, i, f, o, u, tc, m))
+                h, c = np.where(m, o * tc, h), np.where(m, c2, c)
+                hs[:, t] = h
         return hs, kept
 
     def _scan_back(self, x: np.ndarray, dhs: np.ndarray, kept: list, d: str, grad: dict) -> np.ndarray:
@@ -268,17 +316,17 @@ class BiLSTM:
         grad["bh" + d] = flat.sum(0)
         return dg_all @ self.p["wx" + d].T
 
-    def _forward(self, pages: list, seen_only: bool):
+    def _forward(self, pages: list, training: bool):
         lens = np.array([len(p[0]) for p in pages])
         steps = int(lens.max())
         mask = np.arange(steps) < lens[:, None]
-        x, parts = self._inputs([a for p in pages for a in p[0]], [a for p in pages for a in p[1]], np.concatenate([p[2] for p in pages]), seen_only)
+        x, parts = self._inputs([a for p in pages for a in p[0]], [a for p in pages for a in p[1]], np.concatenate([p[2] for p in pages]), not training)
         grid = np.zeros((len(pages), steps, x.shape[1]), np.float32)
         grid[mask] = x
-        hf, kf = self._scan(grid, mask, "f")
-        hb, kb = self._scan(grid, mask, "b")
-        top = np.concatenate((hf, hb, grid), 2)
-        return top @ self.p["out"] + self.p["bias"][0], mask, grid, top, (kf, kb), parts
+        hf, kf = self._scan(grid, mask, "f", training)
+        hb, kb = self._scan(grid, mask, "b", training)
+        f, b, own = np.split(self.p["out"], [HIDDEN, 2 * HIDDEN])
+        return hf @ f + hb @ b + grid @ own + self.p["bias"][0], mask, grid, (hf, hb), (kf, kb), parts
 
     def probabilities(self, pages: list) -> list[np.ndarray]:
         """For each page (its :func:`features`) the probability of every block being main text."""
@@ -290,7 +338,7 @@ class BiLSTM:
             while end < len(order) and (end == at or (end - at + 1) * len(pages[order[end]][0]) <= 4096):
                 end += 1
             own = order[at:end]
-            z, mask, *_ = self._forward([pages[k] for k in own], True)
+            z, mask, *_ = self._forward([pages[k] for k in own], False)
             for r, k in enumerate(own):
                 out[k] = _sigmoid(z[r][mask[r]])
             at = end
@@ -308,10 +356,11 @@ class BiLSTM:
             order = rng.permutation(len(pages))
             for s in range(0, len(order), batch):
                 own = order[s : s + batch]
-                z, mask, grid, top, (kf, kb), (pf, pr, wf, wr, wn) = self._forward([pages[k] for k in own], False)
+                z, mask, grid, (hf, hb), (kf, kb), (pf, pr, wf, wr, wn) = self._forward([pages[k] for k in own], True)
                 y = np.zeros(mask.shape, np.float32)
                 y[mask] = np.concatenate([labels[k] for k in own])
                 dz = np.where(mask, _sigmoid(z) - y, 0).astype(np.float32) / max(1, mask.sum())
+                top = np.concatenate((hf, hb, grid), 2)
                 grad = {"out": np.einsum("nt,ntk->k", dz, top), "bias": np.array([dz.sum()], np.float32)}
                 dtop = dz[:, :, None] * self.p["out"]
                 dx = dtop[:, :, 2 * HIDDEN :].copy()

@@ -2,6 +2,8 @@
 
 import math
 import re
+import time
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -175,6 +177,34 @@ def test_blocks_read_markup():
     assert [b.text for b in html.blocks("<p>a < b and c > d</p>")] == ["a < b and c > d"]
 
 
+def test_blocks_of_odd_markup():
+    texts = lambda page: [b.text for b in html.blocks(page)]
+    assert texts("<p>see <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here</p>") == ["see x=2 here"]
+    assert texts("<p>a <svg width='1'/> b <svg><text>c</text></svg></p><p>d</p>") == ["a b c", "d"]
+    assert texts("<noscript><p>one</p></noscript><canvas>two</canvas><object/><p>three</p>") == ["one", "two", "three"]
+    assert texts("<p>a<textarea>never closed<p>b") == ["a", "never closed", "b"]
+    assert texts("<p>a</p><script>if (a < b) '</p>' <p>c") == ["a"] and texts("<style>x</style>y<SCRIPT>z</Script >w") == ["y", "w"]
+    assert texts("<p title='a > b'>c</p><p title='d>e</p><p>f</p>") == ["c", "e", "f"]
+    assert texts("<!-- a --> b <!-- c") == ["b"] and texts("<?php x ?>a<!DOCTYPE b>c") == ["ac"]
+
+
+def test_broken_markup_takes_linear_time():
+    for unit in ("<a ", '<a "', "<a '>\" ", "<!-", "<textarea>", "<b", "</", "<p>x<svg", "<a b='>\"'"):
+        page = unit * (1_000_000 // len(unit))
+        start = time.perf_counter()
+        html.blocks(page)
+        assert time.perf_counter() - start < 5, unit
+
+
+def test_long_pages_take_bounded_memory(net):
+    feats = html.features(html.blocks("<p>some words</p>" * 100_000))
+    tracemalloc.start()
+    p = net.probabilities([feats])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(p) == 100_000 and peak < 100e6
+
+
 def test_main_text(net):
     assert html.extract_text([PAGE], net) == ["A title & more First paragraph with bold text ét é and so on, quite long enough. Second one, unclosed Third one ends."]
 
@@ -199,7 +229,7 @@ def test_gradients_are_right():
     labels = [rng.integers(0, 2, len(p[0])).astype(float) for p in pages]
 
     def loss(model):
-        z, mask, *_ = model._forward(pages, False)
+        z, mask, *_ = model._forward(pages, True)
         y = np.zeros(mask.shape)
         y[mask] = np.concatenate(labels)
         z = z.astype(float)
