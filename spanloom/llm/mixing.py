@@ -5,13 +5,13 @@ last), share the total; a target stops at three times its source's size and the
 weight among the others.  Each document of a source is to be copied ``target / source_size`` times: the whole
 part is certain, the fraction is rounded at random so that the source keeps its total.
 
-Rounding is pivotal: two units with fractions p and q meet; if p + q < 1 one takes p + q and the other
-none, else one takes 1 and the other p + q - 1, each with the chance that keeps everyone's expectation.
-Units meet in chunks of about ``CHUNK`` documents of like size (so that what is exchanged weighs about the
-same), by a fold over each chunk's sorted array; every chunk leaves at most one unit undecided, and these
-meet again, ``FAN`` chunks at a time, level by level (a reduction tree) until each source has one, which is
-drawn.  Fractions are integers of 2**-30, so no mass is lost by rounding, and draws are hashes of the seed
-and the two units: reruns agree.
+Rounding is pivotal: two units with fractions p and q meet, and words (fraction times size) pass from one to the
+other, this way or that, until one is all in or all out, each way with the chance that keeps everyone's
+expectation.  Words are kept, so a source's total is right but for its last unit.  Units meet in chunks of
+about ``CHUNK`` documents of like size, by a fold over each chunk's sorted array; every chunk leaves at most one
+unit undecided, and these meet again, ``FAN`` chunks at a time, level by level (a reduction tree) until each
+source has one, which is drawn.  Words are integers of 2**-20, so none are lost by rounding, and draws are hashes
+of the seed and the two units: reruns agree.  Documents without words are drawn each for itself.
 
 Scale: words are counted in the scan; what is shuffled is (source, size, doc_id), without texts.  A source
 that holds a third of all rows is spread over its chunks from the start.  The per-source and per-size-class
@@ -27,13 +27,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shielded, table
+from .common import cut, hash_fraction, shielded, table
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 CHUNK = 128
 FAN = 128
-ONE = 1 << 30
+ONE = 1 << 20  # parts of a word
 SEED = 20
 
 
@@ -72,39 +72,31 @@ def targets(sizes: DataFrame, rounds_most: int = 1_000_000) -> DataFrame:
     return w.select("source", "source_size", target.alias("target"))
 
 
-_UNIT = "struct<uid: bigint, p: bigint, took: boolean>"
+_OPEN = "struct<uid: bigint, mass: bigint, room: bigint>"
 
 
 def _fold(units: Column, level: int) -> Column:
-    """A fold over a chunk's array of (uid, p): (undecided unit or null, units decided).
+    """A fold over a chunk's array of (uid, mass, room): (undecided unit or null, units decided to be in).
 
-    The undecided unit carries a fraction strictly between 0 and 1 (in ``ONE``); a decided one ``took`` or not.
+    ``room`` is a unit's size in ``ONE`` and ``mass`` its fraction of it; the undecided unit's is neither none nor all.
     """
-    start = F.struct(F.lit(None).cast("struct<uid: bigint, p: bigint>").alias("open"), F.array().cast(f"array<{_UNIT}>").alias("done"))
+    start = F.struct(F.lit(None).cast(_OPEN).alias("open"), F.array().cast("array<bigint>").alias("won"))
 
-    def done(uid: Column, took: Column) -> Column:
-        return F.array(F.struct(uid.alias("uid"), F.lit(0).cast("long").alias("p"), took.alias("took")))
+    def unit(x: Column, mass: Column) -> Column:
+        return F.struct(x["uid"].alias("uid"), mass.alias("mass"), x["room"].alias("room"))
 
-    def unit(uid: Column, p: Column) -> Column:
-        return F.struct(uid.alias("uid"), p.alias("p"))
+    def step(acc: Column, b: Column) -> Column:
+        a = acc["open"]
+        up, down = F.least(a["room"] - a["mass"], b["mass"]), F.least(a["mass"], b["room"] - b["mass"])
+        draw = F.pmod(F.xxhash64(a["uid"], b["uid"], F.lit(SEED + level)), F.lit(1 << 40)).cast("double") / float(1 << 40)
+        pass_ = F.when(draw * (up + down) < down, up).otherwise(-down)  # words that go from b to a
+        a, b = unit(a, a["mass"] + pass_), unit(b, b["mass"] - pass_)
+        both = F.array(a, b)
+        won = F.transform(F.filter(both, lambda x: x["mass"] == x["room"]), lambda x: x["uid"])
+        rest = F.get(F.filter(both, lambda x: (x["mass"] > 0) & (x["mass"] < x["room"])), F.lit(0))
+        return F.struct(rest.alias("open"), F.concat(acc["won"], won).alias("won"))
 
-    def step(acc: Column, x: Column) -> Column:
-        a, p, b, q = acc["open"]["uid"], acc["open"]["p"], x["uid"], x["p"]
-        draw = F.pmod(F.xxhash64(a, b, F.lit(SEED + level)), F.lit(1 << 40)).cast("double") / float(1 << 40)
-        s = p + q
-        first_wins = F.when(s < ONE, draw * s < p).otherwise(draw * (2 * ONE - s) < (ONE - q))
-        # s < 1: the winner carries s on, the loser is out.  s >= 1: the winner is in, the loser carries s - 1 on.
-        low = s < ONE
-        on = F.when(low == first_wins, a).otherwise(b)
-        off = F.when(low == first_wins, b).otherwise(a)
-        rest = F.when(low, s).otherwise(s - ONE)
-        met = F.struct(
-            F.when(rest > 0, unit(on, rest)).alias("open"),
-            F.when(rest > 0, F.concat(acc["done"], done(off, ~low))).otherwise(F.concat(acc["done"], done(off, ~low), done(on, F.lit(False)))).alias("done"),
-        )
-        return F.when(acc["open"].isNull(), F.struct(unit(b, q).alias("open"), acc["done"].alias("done"))).otherwise(met)
-
-    return F.aggregate(units, start, step)
+    return F.aggregate(units, start, lambda acc, x: F.when(acc["open"].isNull(), F.struct(unit(x, x["mass"]).alias("open"), acc["won"].alias("won"))).otherwise(step(acc, x)))
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -116,50 +108,53 @@ def mix(docs: DataFrame) -> DataFrame:
     per_source = plan.select(
         F.col("source").alias("s"), "source_size", "target",
         F.floor(ratio).cast("int").alias("whole"),
-        F.round((ratio - F.floor(ratio)) * ONE).cast("long").alias("fraction"),
+        (ratio - F.floor(ratio)).alias("fraction"),
     )
 
     # Units and their size classes: about eight to the octave, so that a chunk's members weigh alike.
     group = F.floor(F.log2(F.col("size") + 1.0) * 8).cast("int")
     units = rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("times"))
-    units = units.select(F.xxhash64(F.lit(SEED), "doc_id", "source", "size").alias("uid"), "source", "size", group.alias("class"))
+    uid = F.xxhash64(F.lit(SEED), "doc_id", "source", "size")
+    units = units.select(uid.alias("uid"), "source", "size", (F.col("size") * F.col("times") * ONE).alias("room"), group.alias("class")).where("size > 0")
     classes = units.groupBy("source", "class").agg(F.count("*").alias("n"))
     chunks = F.ceil(F.col("n") / CHUNK)
     before = Window.partitionBy("source").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
     classes = cut(classes.select("source", "class", chunks.alias("chunks"), F.coalesce(F.sum(chunks).over(before), F.lit(0)).alias("offset")), "classes")
     most = classes.agg(F.max(F.col("chunks") + F.col("offset"))).first()[0] or 0
 
-    fractions = per_source.where("fraction > 0 and fraction < %d" % ONE).select("s", "fraction")
     c = classes.select(F.col("source").alias("cs"), F.col("class").alias("cc"), "chunks", "offset")
     open_units = (
-        units.join(fractions, F.col("source").eqNullSafe(F.col("s")))
+        units.join(per_source.select("s", "fraction"), F.col("source").eqNullSafe(F.col("s")))
         .join(c, F.col("source").eqNullSafe(F.col("cs")) & (F.col("class") == F.col("cc")))
-        .select("source", (F.col("offset") + F.pmod("uid", "chunks")).alias("chunk"), F.struct("size", "uid", F.col("fraction").alias("p")).alias("u"))
+        .withColumn("mass", F.round(F.col("fraction") * F.col("room")).cast("long"))
     )
+    # A fraction so near to none or all that it rounds to it is decided from the start.
+    certain = open_units.where("mass = room").select("uid")
+    open_units = open_units.where("mass > 0 and mass < room")
+    open_units = open_units.select("source", (F.col("offset") + F.pmod("uid", "chunks")).alias("chunk"), F.struct("size", "uid", "mass", "room").alias("u"))
     folded = open_units.groupBy("source", "chunk").agg(F.array_sort(F.collect_list("u")).alias("us"))
-    taken: list[DataFrame] = []
+    taken: list[DataFrame] = [certain]
     level = 0
     while True:
         folded = cut(folded.select("source", "chunk", _fold(F.col("us"), level).alias("r")), f"level{level}")
-        taken.append(folded.select(F.inline("r.done")).where("took").select("uid"))
+        taken.append(folded.select(F.explode("r.won").alias("uid")))
         left = folded.where("r.open is not null").select("source", "chunk", "r.open")
         if most <= 1:
             break
         most = -(-most // FAN)
         level += 1
         # A unit keeps its place: chunks are in order of size class, and so are their residuals.
-        folded = left.select("source", F.floor(F.col("chunk") / FAN).alias("to"), F.struct("chunk", "open.uid", "open.p").alias("u")).groupBy("source", F.col("to").alias("chunk")).agg(F.array_sort(F.collect_list("u")).alias("us"))
-    last = F.pmod(F.xxhash64(F.lit(SEED), "open.uid"), F.lit(ONE)) < F.col("open.p")
+        folded = left.select("source", F.floor(F.col("chunk") / FAN).alias("to"), F.struct("chunk", "open.uid", "open.mass", "open.room").alias("u")).groupBy("source", F.col("to").alias("chunk")).agg(F.array_sort(F.collect_list("u")).alias("us"))
+    last = hash_fraction(F.col("open.uid"), SEED) < F.col("open.mass") / F.col("open.room")
     taken.append(left.where(last).select("open.uid"))
     won = taken[0]
     for more in taken[1:]:
         won = won.union(more)
 
-    uid = F.xxhash64(F.lit(SEED), "doc_id", "source", "size")
     won = won.select(F.col("uid").alias("won_uid"), F.lit(1).alias("more"))
     out = rows.withColumn("uid", uid).join(won, F.col("uid") == F.col("won_uid"), "left").join(per_source, F.col("source").eqNullSafe(F.col("s")))
-    full = F.when(F.col("fraction") >= ONE, 1).otherwise(0)
-    copies = (F.col("whole") + full + F.coalesce("more", F.lit(0))).cast("int")
+    drawn = F.when((F.col("size") == 0) & (hash_fraction(F.col("uid"), SEED) < F.col("fraction")), 1).otherwise(0)
+    copies = (F.col("whole") + drawn + F.coalesce("more", F.lit(0))).cast("int")
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
