@@ -1,20 +1,23 @@
 """Quality rules: base counts of a text, and a calibrated logistic regression over hashed n-grams.
 
 ``base_counts`` counts words, symbols, repeated lines and repeated eight-word windows of whole texts.
-``fit`` trains a logistic regression on labelled rows: hashed word unigrams and bigrams and hashed byte
-n-grams (3 and 4), each family as relative frequencies, so that a text's length plays no part.  It is then
+``fit`` trains a logistic regression on labelled rows: hashed word unigrams and bigrams and hashed character
+n-grams (3 and 4 code points), each family as relative frequencies, so that a text's length plays no part.  It is then
 calibrated (Platt scaling on a held-out fold, weighted back to the labels' class shares).  ``score`` runs
 both in Arrow batches and decides by a fixed threshold.
 
 Cost and scale: one scan of the documents, no shuffle, memory bounded by ``SLICE_BYTES``.  Fitting reads a
-bounded sample (``fit_rows`` labelled documents of each class, chosen by a hash of doc_id); the sample's
-ids (bounded likewise) are the only broadcast, and the model's two tables (0.5 MB) travel with the tasks.
+bounded sample: of each class at most ``fit_rows`` labelled doc_ids, by a hash; of these the texts of at most
+``FIT_CHARS`` code points, one for each doc_id, up to ``FIT_TOTAL`` code points in sum.  The sample's ids are the
+only broadcast, and the model's two tables (0.5 MB) travel with the tasks.
 
 Defined cases: a null text counts as empty; an empty or blank text has no words and fails the base rule
 (``n_words < 20``); a document whose doc_id is null is scored as any other; repeated rows are scored each;
 an empty table gives no rows; with no usable labels (none, or one class only) the model's verdict is "keep"
 for every text that passes the base rule, with probability null.  Labels with a null quality or doc_id, or
-a quality other than 0 and 1, are not used; a doc_id with several labels counts once, by the smallest.
+a quality other than 0 and 1, are not used; a doc_id with several labels counts once, by the smallest, and one
+with several texts by the smallest of them.  Extra columns are kept, but for those named as the operator's own
+(``_OUT``), which ``score`` replaces and ``apply`` leaves as they were.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, hash_fraction, mix, prefix_hash, shielded, span_hash, spread, table, text_slices, without, words
+from .common import IS_SPACE, cut, hash_fraction, mix, prefix_hash, shielded, span_hash, spread, table, text_slices, without, words
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -36,6 +39,8 @@ MAX_REPEAT_SHARE = 30
 KEEP_AT = 0.5
 BITS = 15
 FIT_ROWS = 1000
+FIT_CHARS = 20_000
+FIT_TOTAL = 8_000_000
 
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
@@ -129,13 +134,26 @@ def _word_features(s: Slice) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((s.hashes >> top, two)).astype(np.int32), np.concatenate((s.row, s.row[pair]))
 
 
-def _byte_features(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For n = 3 and 4: buckets of the slice's byte n-grams, and which row's each is (by offsets)."""
-    if len(data) < 4:
+def _code_points(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each code point of a slice (its bytes), and the rows' offsets in them."""
+    heads = np.flatnonzero(_IS_HEAD[data])
+    value = data[heads].astype(np.uint32)
+    if len(heads) < len(data):
+        length = np.diff(np.r_[heads, len(data)])
+        for k in (1, 2, 3):
+            more = np.flatnonzero(length > k)
+            value[more] |= data[heads[more] + k].astype(np.uint32) << np.uint32(8 * k)
+    return value, np.searchsorted(heads, offs)
+
+
+def _char_features(chars: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For n = 3 and 4: n and the buckets of the n-grams of code points, one for each place."""
+    if len(chars) < 4:
         return
-    wide = data.astype(np.uint32)
-    three = wide[:-2] | (wide[1:-1] << np.uint32(8)) | (wide[2:] << np.uint32(16))
-    four = three[:-1] | (wide[3:] << np.uint32(24))
+    h = chars * np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(15)
+    three = (h[:-2] * np.uint32(31) + h[1:-1]) * np.uint32(31) + h[2:]
+    four = three[:-1] * np.uint32(31) + h[3:]
     for n, gram in ((3, three), (4, four)):
         yield n, ((gram * np.uint32(0x9E3779B1)) ^ ((gram * np.uint32(0x85EBCA6B)) >> np.uint32(15))) >> np.uint32(32 - BITS)
 
@@ -151,7 +169,7 @@ class Model:
     """Weights by bucket (two families), and the calibration p = sigmoid(a * z + b)."""
 
     word_w: np.ndarray
-    byte_w: np.ndarray
+    char_w: np.ndarray
     bias: float
     a: float
     b: float
@@ -162,10 +180,11 @@ class Model:
         n = np.maximum(1, np.bincount(row, minlength=n_rows))
         z = np.bincount(row, self.word_w[bucket], minlength=n_rows) / n + self.bias
         total, count = np.zeros(n_rows), np.zeros(n_rows)
-        for n_gram, bucket in _byte_features(data, offs):
-            lows = np.minimum(offs[:-1], len(bucket))
-            highs = np.maximum(np.minimum(offs[1:] - n_gram + 1, len(bucket)), lows)
-            total += _sums(self.byte_w[bucket], lows, highs)
+        chars, at = _code_points(data, offs)
+        for n_gram, bucket in _char_features(chars):
+            lows = np.minimum(at[:-1], len(bucket))
+            highs = np.maximum(np.minimum(at[1:] - n_gram + 1, len(bucket)), lows)
+            total += _sums(self.char_w[bucket], lows, highs)
             count += highs - lows
         z = z + total / np.maximum(1, count)
         return 1 / (1 + np.exp(-np.clip(self.a * z + self.b, -40, 40)))
@@ -175,7 +194,7 @@ _FEATURES = "doc_id long, quality int, buckets binary, counts binary"
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each labelled text as distinct buckets with relative frequencies (words first, then bytes)."""
+    """Each labelled text as distinct buckets with relative frequencies (words first, then characters)."""
     for batch in batches:
         ids, quality = batch.column("doc_id").to_pylist(), batch.column("quality").to_pylist()
         out: list[tuple] = []
@@ -185,26 +204,32 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 o = np.array([0, len(d)])
                 s = read_slice(d, o)
                 word, _ = _word_features(s)
-                parts = [b.astype(np.int64) for _, b in _byte_features(d, o)]
-                byte = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+                parts = [b.astype(np.int64) for _, b in _char_features(_code_points(d, o)[0])]
+                char = np.concatenate(parts) if parts else np.zeros(0, np.int64)
                 ub, cb = np.unique(word, return_counts=True)
-                uc, cc = np.unique(byte, return_counts=True)
+                uc, cc = np.unique(char, return_counts=True)
                 bucket = np.concatenate((ub, uc + (1 << BITS))).astype("<u4")
-                value = np.concatenate((cb / max(1, len(word)), cc / max(1, len(byte)))).astype("<f4")
+                value = np.concatenate((cb / max(1, len(word)), cc / max(1, len(char)))).astype("<f4")
                 out.append((ids[r], quality[r], bucket.tobytes(), value.tobytes()))
         names = ("doc_id", "quality", "buckets", "counts")
         types = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names=list(names))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """About ``fit_rows`` labelled documents of each class, by a hash of doc_id; at most 1.5 times as many."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, total: int = FIT_TOTAL) -> DataFrame:
+    """(doc_id, quality, text): at most ``fit_rows`` labelled documents of each class, and ``total`` code points."""
     good = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    share = {r["quality"]: min(1.0, fit_rows / r["n"]) for r in good.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    bar = F.when(F.col("quality") == 0, share.get(0, 0.0)).otherwise(share.get(1, 0.0))
-    ids = good.where(hash_fraction(F.col("doc_id"), 3) < bar)
-    # Bounded by the shares: about 2 * fit_rows rows of 12 bytes.
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    order = hash_fraction(F.col("doc_id"), 3)
+    ids = [good.where(F.col("quality") == k).orderBy(order, "doc_id").limit(fit_rows) for k in (0, 1)]
+    # At most 2 * fit_rows rows of 12 bytes.
+    found = docs.select("doc_id", "text").where(F.length("text") <= FIT_CHARS).join(F.broadcast(ids[0].union(ids[1])), "doc_id")
+    found = cut(found.groupBy("doc_id", "quality").agg(F.min("text").alias("text")), "sample")
+    left, some = {0: total // 2, 1: total // 2}, []
+    for r in found.select("doc_id", "quality", F.length("text").alias("n")).orderBy(order, "doc_id").collect():
+        if r["n"] <= left[r["quality"]]:
+            left[r["quality"]] -= r["n"]
+            some.append((r["doc_id"],))
+    return found.join(F.broadcast(docs.sparkSession.createDataFrame(some, "doc_id long")), "doc_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, epochs: int = 120, rate: float = 0.5) -> Model | None:

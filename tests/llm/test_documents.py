@@ -57,6 +57,25 @@ def test_quality_model_learns(spark, edge_docs, empty_docs):
     assert quality.score(edge_docs, model).count() == edge_docs.count()
 
 
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    rows = [(k % 2 if k < 3000 else k, f"text {k} of words " * (2000 if k % 50 == 0 else 3)) for k in range(3400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), *((k, k % 2) for k in range(3000, 3400))], "doc_id long, quality int")
+    sample = quality.labelled_sample(docs, labels, 100).collect()
+    ids = Counter(r["doc_id"] for r in sample)
+    assert max(ids.values()) == 1 and all(90 < n <= 100 for n in Counter(r["quality"] for r in sample).values())
+    assert all(len(r["text"]) <= quality.FIT_CHARS for r in sample)
+    small = quality.labelled_sample(docs, labels, 100, total=2000).collect()
+    assert 0 < sum(len(r["text"]) for r in small) <= 2000 and len({r["quality"] for r in small}) == 2
+
+
+def test_quality_grams_are_of_code_points():
+    text = "aé中🙂b"
+    chars, at = quality._code_points(np.frombuffer((text + "xyzé").encode(), np.uint8), np.array([0, len(text.encode()), len((text + "xyzé").encode())]))
+    assert at.tolist() == [0, 5, 9] and chars[1] == chars[8] and len(set(chars.tolist())) == 8
+    assert [len(b) for _, b in quality._char_features(chars)] == [7, 6]
+
+
 def lines_brute(rows):
     def key(line):
         return line.strip(SPACE).translate(LOWER)
@@ -264,14 +283,32 @@ def test_mixing(edge_docs, edge_rows, empty_docs):
     assert out.count() == sum(r["copies"] for r in rows)
 
 
-def test_mixing_keeps_totals(spark):
-    docs = spark.createDataFrame([(k, "w " * (k % 40 + 1), "abc"[k % 3]) for k in range(3000)], "doc_id long, text string, source string")
-    rows = mixing.mix(docs).collect()
-    per = defaultdict(lambda: [0, 0.0])
-    for r in rows:
+@pytest.mark.parametrize("skewed", [False, True])
+def test_mixing_keeps_totals(spark, skewed):
+    rng = np.random.default_rng(3)
+    sizes = np.minimum(20_000, rng.pareto(0.9, 1500) * 20 + 1).astype(int) if skewed else np.arange(1500) % 40 + 1
+    docs = spark.createDataFrame([(k, "w " * int(n), "abc"[k % 3] if k % 2 else "a") for k, n in enumerate(sizes)], "doc_id long, text string, source string")
+    per = defaultdict(lambda: [0, 0.0, 0])
+    for r in mixing.mix(docs).collect():
         per[r["source"]][0] += r["taken"]
         per[r["source"]][1] = r["target"]
-    assert all(abs(t - want) / want < 0.01 for t, want in per.values())
+        per[r["source"]][2] = max(per[r["source"]][2], r["size"])
+    # Words are kept but for the last unit, which is drawn.
+    assert all(abs(t - want) <= largest + 1 for t, want, largest in per.values())
+    assert skewed or all(abs(t - want) / want < 0.01 for t, want, _ in per.values())
+
+
+def test_mixing_keeps_expectations(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "w " * (1 + k % 7 * 5), "ab"[k % 2]) for k in range(60)], "doc_id long, text string, source string")
+    copies = Counter()
+    for seed in range(40):
+        monkeypatch.setattr(mixing, "SEED", 100 * seed)
+        for r in mixing.mix(docs).collect():
+            copies[r["doc_id"]] += r["copies"]
+            want = r["target"] / r["source_size"]
+            copies["off", r["source"], r["size"]] += r["copies"] - want
+    # 40 draws of some ten documents of a source and size: the mean is within 5 standard errors.
+    assert all(abs(v) < 5 * 0.5 * (40 * 5) ** 0.5 for k, v in copies.items() if isinstance(k, tuple))
 
 
 def test_bpe_is_exact(edge_docs, edge_rows, empty_docs):
