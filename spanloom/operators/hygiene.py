@@ -26,8 +26,12 @@ def shared_table(df: DataFrame, label: str) -> DataFrame:
 
 
 def ensure_folder(spark: SparkSession) -> None:
+    """Names a checkpoint folder where the session has none; only a local master may use the machine's own."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/spanloom-checkpoints/{uuid.uuid4().hex}")
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(shared or f"/tmp/spanloom-checkpoints/{uuid.uuid4().hex}")
 
 
 def shingles(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -60,6 +64,28 @@ def reuse_pairs(docs: DataFrame, n: int = 8) -> DataFrame:
     return j.select("a", "b", "shared", (F.col("shared") / F.least("na", "nb")).alias("containment"), (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
 
 
+def contained_pairs(docs: DataFrame, least: float, n: int = 8) -> DataFrame:
+    """As :func:`reuse_pairs`, but only pairs whose smaller one is contained to ``least`` or more; nothing is lost.
+
+    Of any order of its shingles the smaller document must share one of the first size - ceil(least * size) + 1.
+    The order puts rare shingles first, so one that many documents hold meets only documents that have little
+    else.  Shingles of one document alone stay out of the join; pairs are checked on whole sets.
+    """
+    s = shingles(docs, n)
+    df = s.groupBy("sh").agg(F.count("*").alias("df"))
+    ranked = s.join(df, "sh").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("df") == 1).alias("alone"), F.array_sort(F.collect_list(F.when(F.col("df") > 1, F.struct("df", "sh")))).alias("held"))
+    need = F.col("n") - F.ceil(F.col("n") * least) + 1 - F.col("alone")
+    ranked = shared_table(ranked.where("n > alone").select("doc_id", "n", need.cast("int").alias("need"), F.col("held.sh").alias("sh")), "shingles")
+    small = ranked.where("need > 0").select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.explode(F.slice("sh", F.lit(1), F.col("need"))).alias("sh"))
+    large = ranked.select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.explode("sh").alias("sh"))
+    met = small.join(large, "sh").where("nx < ny or (nx = ny and x < y)").select("x", "y").distinct()
+    one, two = (ranked.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("sh").alias(f"s{k}")) for k in ("x", "y"))
+    shared = F.size(F.array_intersect("sx", "sy")).cast("long")
+    j = met.join(one, "x").join(two, "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), shared.alias("shared"), "nx", "ny")
+    j = j.withColumns({"containment": F.col("shared") / F.least("nx", "ny"), "jaccard": F.col("shared") / (F.col("nx") + F.col("ny") - F.col("shared"))})
+    return j.where(F.col("containment") >= least).select("a", "b", "shared", "containment", "jaccard")
+
+
 def text_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id): the smallest doc_id with the same normalised text."""
     key = F.sha2(X.normalize_for_match(F.coalesce("text", F.lit(""))), 256)
@@ -91,6 +117,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         edges = new
         if settled:
             break
+    else:
+        raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("doc_id"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
 
 
@@ -162,6 +190,8 @@ def greedy_keep(docs: DataFrame, bar: float = 0.8, most: int = 10_000) -> DataFr
         state = shared_table(state.join(seen, "doc_id", "left").select("doc_id", decide.alias("kept")), "kept")
         if state.where("kept is null").isEmpty():
             break
+    else:
+        raise RuntimeError("documents are left undecided")
     return docs.join(state.where("not kept"), "doc_id", "left_anti")
 
 
@@ -175,22 +205,32 @@ def qa_overlap(turns: DataFrame) -> DataFrame:
     return a.select("conv_id", X.jaccard(x, y).alias("jaccard"), F.when(least > 0, F.size(F.array_intersect(x, y)) / F.when(least > 0, least).otherwise(1)).otherwise(0.0).alias("overlap"))
 
 
-def set_cover(features: DataFrame, rounds: int = 15, rare: int = 5) -> DataFrame:
-    """(round, doc_id, gain) of ``features(doc_id, feature)``: greedy picks, rare new features worth three, others one.
+def set_cover(features: DataFrame, docs: DataFrame, names: list[str], rare: list[str], target: int = 15) -> DataFrame:
+    """(round, doc_id, gain): ``target`` of ``docs(doc_id, chars)`` that cover ``features(doc_id, feature)``.
 
-    Ties go to documents with more features, then to smaller ids.  A round is one aggregate; only its winner
-    reaches the driver.
+    Greedy picks while one of ``names`` is not covered: a new rare feature is worth three, any other one; ties go to
+    more features, then to smaller ids.  Then the documents with most features, shorter and smaller ids first.
+    A round is one aggregate; only its winner reaches the driver.
     """
-    f = shared_table(features.distinct().join(features.groupBy("feature").agg(F.count_distinct("doc_id").alias("df")), "feature"), "features")
+    f = features.where(F.col("feature").isin(names)).distinct()
     total = f.groupBy("doc_id").agg(F.count("*").alias("n_all"))
-    left, picks = f, []
-    for k in range(rounds):
-        gain = left.groupBy("doc_id").agg(F.sum(F.when(F.col("df") <= rare, 3).otherwise(1)).alias("gain")).join(total, "doc_id")
-        best = gain.select("doc_id", (F.col("gain") * 100 + F.col("n_all")).alias("score"), "gain").orderBy(F.desc("score"), "doc_id").first()
+    pool = shared_table(docs.select("doc_id", "chars").distinct().join(total, "doc_id", "left").fillna(0, ["n_all"]), "pool")
+    f = shared_table(f.join(pool.select("doc_id"), "doc_id", "left_semi"), "features")
+    left, picks, picked = set(names), [], []
+    while left and len(picks) < target:
+        worth = F.when(F.col("feature").isin(rare), 3).otherwise(1)
+        gain = f.where(F.col("feature").isin(sorted(left))).groupBy("doc_id").agg(F.sum(worth).alias("gain"))
+        rest = pool.where(~F.col("doc_id").isin(picked)) if picked else pool
+        best = rest.join(gain, "doc_id", "left").fillna(0, ["gain"]).orderBy(F.desc("gain"), F.desc("n_all"), "doc_id").first()
         if best is None:
             break
-        picks.append((k, best["doc_id"], int(best["gain"])))
-        left = left.join(f.where(F.col("doc_id") == best["doc_id"]).select("feature"), "feature", "left_anti")
+        picks.append((len(picks), best["doc_id"], int(best["gain"])))
+        picked.append(best["doc_id"])
+        left -= {r["feature"] for r in f.where(F.col("doc_id") == best["doc_id"]).collect()}
+    if len(picks) < target:
+        rest = pool.where(~F.col("doc_id").isin(picked)) if picked else pool
+        more = rest.orderBy(F.desc("n_all"), "chars", "doc_id").limit(target - len(picks)).collect()
+        picks += [(len(picks) + k, r["doc_id"], 0) for k, r in enumerate(more)]
     return features.sparkSession.createDataFrame(picks, "round int, doc_id long, gain long")
 
 

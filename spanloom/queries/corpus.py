@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import hygiene as H
+from ..operators import profile as P
 from ..operators import lines as L
 from ..operators import synth as S
 from . import views as V
@@ -38,7 +39,7 @@ def text_classes(spark, d):
 
 
 def reuse_pairs(spark, d):
-    return H.reuse_pairs(_distinct_docs(spark, d)).where("containment >= 0.45").select("a", "b", "shared", F.round("containment", 6).alias("containment"), F.round("jaccard", 6).alias("jaccard"))
+    return H.contained_pairs(_distinct_docs(spark, d), 0.45).select("a", "b", "shared", F.round("containment", 6).alias("containment"), F.round("jaccard", 6).alias("jaccard"))
 
 
 def nearest_doc(spark, d):
@@ -46,7 +47,7 @@ def nearest_doc(spark, d):
 
 
 def reuse_components(spark, d):
-    return H.components(H.reuse_pairs(_distinct_docs(spark, d)).where("containment >= 0.45").select("a", "b"))
+    return H.components(H.contained_pairs(_distinct_docs(spark, d), 0.45).select("a", "b"))
 
 
 def repeated_lines(spark, d):
@@ -66,8 +67,11 @@ def qa_overlap(spark, d):
 
 
 def set_cover(spark, d):
-    f = V.load(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.explode(F.array(F.regexp_extract("url", "://([^/]*)", 1), F.regexp_extract("url", "://[^/]*/([a-z]*)", 1))).alias("feature"))
-    return H.set_cover(f, 10)
+    m = P.measures(V.spread(_docs(spark, d).select("doc_id", "text")))
+    told = P.flags(m)
+    names = [c for c in told.columns if c != "doc_id"]
+    features = told.select("doc_id", F.explode(F.array(*[F.when(F.col(c), c) for c in names])).alias("feature")).where("feature is not null")
+    return H.set_cover(features, m.select("doc_id", "chars"), names, list(P.RARE))
 
 
 def mined_frames(spark, d):

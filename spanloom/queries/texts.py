@@ -50,25 +50,56 @@ def length_quantiles(spark, d):
     return q.select(*[F.round(c, 4).alias(c) for c in q.columns])
 
 
+def _longs(df):
+    kinds = dict(df.dtypes)
+    return df.select(*[F.col(c).cast("long").alias(c) if kinds[c] == "int" else F.col(c) for c in df.columns])
+
+
+def _measured(spark, d):
+    return _longs(P.measures(V.spread(_docs(spark, d).select("doc_id", "text"))))
+
+
+def _structured(spark, d):
+    return _longs(P.structure(V.spread(_docs(spark, d).select("doc_id", "text")), P.PLAIN))
+
+
 def feature_matrix(spark, d):
-    m = P.measures(_docs(spark, d))
-    return m.select("doc_id", *[F.col(c).cast("long").alias(c) for c in m.columns if c not in ("doc_id", "mean_line")], "mean_line")
+    return _measured(spark, d).drop("phrase_repeat_hits")
 
 
 def feature_flags(spark, d):
-    return P.flags(P.measures(_docs(spark, d)))
+    return P.flags(_measured(spark, d)).drop("f_glue")
+
+
+def phrase_repeats(spark, d):
+    """What needs back references, which the other engine's expressions don't have."""
+    m = _measured(spark, d)
+    return m.select("doc_id", "phrase_repeat_hits").join(P.flags(m).select("doc_id", "f_glue"), "doc_id")
+
+
+#: Columns with look-around or back references.
+_NOISE = ("inline_bullet_count", "consecutive_word_repeat_hits", "concatenated_repeat_hits", "legacy_phrase_repeat_hits", "legacy_glue_or_repeat_proxy", "attached_number_unit_hits")
 
 
 def structure_profile(spark, d):
-    return P.structure(_docs(spark, d), P.PLAIN)
+    return _structured(spark, d).drop(*_NOISE)
+
+
+def structure_noise(spark, d):
+    return _structured(spark, d).select("doc_id", *_NOISE)
+
+
+def label_overlap(spark, d):
+    return _longs(P.label_overlap(V.spread(_docs(spark, d).select("doc_id", "text")), P.PLAIN))
 
 
 def genre_combinations(spark, d):
-    return P.genre_combinations(P.structure(_docs(spark, d), P.PLAIN))
+    return P.genre_combinations(_structured(spark, d))
 
 
 def structure_summary(spark, d):
-    return P.summary(P.structure(_docs(spark, d), P.PLAIN), ["qa", "clinical", "education", "mixed", "compact", "fragment", "redactions", "multispace", "word_repeats", "stitching"])
+    columns = ["genre_qa", "genre_clinical", "genre_health_education", "mixed_major_genre", "compacted_layout", "fragment_start", "redaction_runs", "multiple_space_runs", "stitching_signal_count"]
+    return P.summary(_structured(spark, d), columns)
 
 
 def repeated_words(spark, d):
@@ -110,22 +141,93 @@ QUERIES = {
     f.__name__: f
     for f in (
         norm_match, lines_offsets, finditer_spans, strip_span, item_split, line_kind, skeleton_headers, length_quantiles, feature_matrix, feature_flags,
-        structure_profile, genre_combinations, structure_summary, repeated_words, density_buckets, head_tokens, word_trigrams, token_windows, natural_names, tag_codec,
+        phrase_repeats, structure_profile, structure_noise, label_overlap, genre_combinations, structure_summary, repeated_words, density_buckets, head_tokens, word_trigrams, token_windows, natural_names, tag_codec,
     )
 }
 
 _NORM = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
 _EDGE = "chr(9) || chr(10) || chr(13) || ' .,;:*-–—•+()[]\"''' "
 _W = r"list_filter(string_split_regex(trim(line), '\s+'), lambda w: w <> '')"
-_MEASURES = r"""
-d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-f AS (SELECT *, list_filter(ls, lambda x: trim(x) <> '') AS fl FROM d),
-measures AS (SELECT doc_id, length(t) AS n_chars, len(list_filter(string_split_regex(t, '\s+'), lambda w: w <> '')) AS n_words, len(ls) AS n_lines, len(fl) AS n_full_lines,
-    round(coalesce(list_avg(list_transform(fl, lambda x: length(x)))::DOUBLE, 0.0), 4) AS mean_line, coalesce(list_max(list_transform(fl, lambda x: length(x))), 0) AS max_line,
-    len(list_filter(ls, lambda x: regexp_matches(x, '^\s*(?:[•●▪◦‣*+-]|–|—)\s+'))) AS n_bullets, len(list_filter(ls, lambda x: regexp_matches(x, '^\s*\d{1,2}\s*[.)]\s*\S'))) AS n_numbered,
-    len(list_filter(ls, lambda x: regexp_matches(x, '^[^:]{1,60}:\s*\S'))) AS n_labels, len(regexp_extract_all(t, '\d+(?:[.,]\d+)?')) AS n_numbers, len(regexp_extract_all(t, '\*{3,}')) AS n_redactions,
-    len(regexp_extract_all(t, '\[[^\]\n]{2,60}\]')) AS n_placeholders, len(regexp_extract_all(t, '[A-Za-z]+')) AS n_ascii_words, len(regexp_extract_all(t, '[.!?]')) AS n_stops,
-    len(regexp_extract_all(t, '[,;]')) AS n_commas, len(regexp_extract_all(t, '\(')) AS n_parens, len(regexp_extract_all(t, '[A-Z]{2,}')) AS n_capital_runs FROM f)
+#: Text with every character that is not part of a word doubled, so that neighbouring words don't share their bounds.
+_N = r"[^\p{L}\p{M}\p{N}_]"
+_UPPER = "A-ZÀÁẢÃẠĂẮẰẲẴẶÂẤẦẨẪẬÈÉẺẼẸÊẾỀỂỄỆÌÍỈĨỊÒÓỎÕỌÔỐỒỔỖỘƠỚỜỞỠỢÙÚỦŨỤƯỨỪỬỮỰỲÝỶỸỴĐ"
+_LOWER = _UPPER.replace("A-Z", "a-z").lower()
+_LINES = r"""
+d0 AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS ls0 FROM documents),
+d AS (SELECT doc_id, t, CASE WHEN ls0[-1] = '' THEN ls0[1:len(ls0) - 1] ELSE ls0 END AS ls FROM d0)"""
+_MEASURES = _LINES + rf""",
+u AS (SELECT *, ' ' || regexp_replace(t, '({_N})', '\1\1', 'g') || ' ' AS u FROM d),
+measures0 AS (SELECT doc_id, length(t) AS chars, len(ls) AS lines,
+    len(regexp_extract_all(t, '(?im)(?:^\s*\d\s*[.)]\s)|tiền sử|bệnh sử|lý do (?:nhập viện|khám)|đánh giá tại bệnh viện|triệu chứng')) AS section_hits,
+    len(regexp_extract_all(t, '(?i)tiền sử|trước khi nhập viện|thuốc trước|bệnh (?:lý )?(?:mạn|mãn) tính|trong quá khứ|tiền căn')) AS history_hits,
+    len(regexp_extract_all(t, '(?i)tiền sử gia đình|thành viên (?:trong )?gia đình|trong gia đình (?:có|bị)|cha mẹ|anh trai|chị gái|em trai|em gái|di truyền|người thân'))
+      + len(regexp_extract_all(u, '(?i){_N}(?:bố|mẹ){_N}')) AS family_subject_hits,
+    len(regexp_extract_all(t, '(?i)người nhà (?:kể|cho biết|nhận thấy|báo)|theo lời (?:kể của )?người nhà')) AS family_narrator_hits,
+    len(regexp_extract_all(u, '(?i){_N}\d+(?:[.,][.,]\d+)?(?:\s\s)?(?:mg|mcg|ml|g|iu|units?){_N}')) AS dosage_hits,
+    len(regexp_extract_all(u, '(?i){_N}(?:po|iv|im|sc|bid|tid|qid|qd|qhs|qam|q\d+h|prn|nebs?|daily){_N}')) AS route_hits,
+    len(regexp_extract_all(u, '(?i){_N}(?:wbc|neut|lymp|lymph|hgb|hct|plt|rbc|troponin|creatinin|creatinine|glucose|inr|alt|ast|ure|urea|bun|spo2|natri|kali|bạch  cầu|tiểu  cầu|men  gan|hồng  cầu){_N}')) AS lab_token_hits,
+    len(list_filter(ls, lambda x: regexp_matches(' ' || x || ' ', '(?i){_N}(?:wbc|neut|lymp|lymph|hgb|hct|plt|rbc|troponin|creatinin|creatinine|glucose|inr|alt|ast|ure|urea|bun|spo2|natri|kali|bạch cầu|tiểu cầu|men gan|hồng cầu){_N}')
+      AND regexp_matches(' ' || x || ' ', '{_N}\d+(?:[.,]\d+)?{_N}'))) AS lab_result_lines,
+    greatest(len(regexp_extract_all(u, '(?i){_N}(?:không|chưa|âm  tính|loại  trừ){_N}')) + len(regexp_extract_all(t, '\(-\)'))
+      - len(regexp_extract_all(t, '(?i)không xác định|không đặc hiệu|không rõ|không điển hình')), 0) AS neg_hits,
+    len(regexp_extract_all(t, '[{_LOWER}][{_UPPER}]')) AS camel_glue_hits, len(regexp_extract_all(u, '{_N}N//A{_N}')) AS na_hits,
+    len(regexp_extract_all(t, '(?m)\*\*|^\s*\*\s|^\s*\+\s')) AS markdown_hits,
+    len(regexp_extract_all(u, '{_N}[A-Za-z]{{4,}}{_N}')) AS eng_count, len(regexp_extract_all(u, '{_N}\p{{L}}+{_N}')) AS alpha FROM u),
+measures AS (SELECT * EXCLUDE (alpha), round(eng_count / greatest(alpha, 1), 3) AS eng_ratio FROM measures0)
+"""
+_HEAD = r"^\s*(\d{1,2})\s*[.)]\s*(.{1,140}?)\s*$"
+_STRUCTURE = _LINES + rf""",
+f AS (SELECT *, list_filter(ls, lambda x: regexp_matches(x, '\S')) AS fl, ' ' || regexp_replace(t, '({_N})', '\1\1', 'g') || ' ' AS u,
+    list_transform(list_filter(ls, lambda x: regexp_matches(x, '{_HEAD}')), lambda x: regexp_extract(x, '{_HEAD}', 1)::INT || ' ' || regexp_extract(x, '{_HEAD}', 2)) AS heads,
+    list_filter(list_transform(string_split_regex(t, '\n\s*\n'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS blocks,
+    list_transform(regexp_extract_all(t, '(?i)1\. the|2\. of|3\. in'), lambda x: x[1]) AS canonical FROM d),
+g AS (SELECT *, coalesce(fl[1], '') AS first, list_transform(fl, lambda x: length(x)) AS lens, list_transform(heads, lambda x: lower(x)) AS keys,
+    list_transform(list_filter(list_transform(ls, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: length(x) >= 30), lambda x: lower(x)) AS lk,
+    list_transform(list_filter(blocks, lambda x: length(x) >= 80), lambda x: lower(x)) AS bk FROM f),
+c AS (SELECT doc_id, length(t) AS chars, len(regexp_extract_all(t, '[\p{{L}}\p{{M}}\p{{N}}_]+')) AS tokens, len(ls) AS physical_lines, len(fl) AS nonempty_lines, len(blocks) AS paragraphs,
+    coalesce(list_max(lens), 0) AS max_line_chars, round(coalesce(list_max(lens), 0) / greatest(length(t), 1), 4) AS longest_line_share, coalesce(list_max(lens), 0) / greatest(length(t), 1) AS share_,
+    len(list_filter(lens, lambda x: x >= 300)) AS lines_ge_300_chars, len(list_filter(lens, lambda x: x >= 500)) AS lines_ge_500_chars, len(list_filter(lens, lambda x: x >= 600)) AS lines_ge_600_chars,
+    len(list_filter(lens, lambda x: x >= 1000)) AS lines_ge_1000_chars, round(length(t) / greatest(len(fl), 1), 2) AS mean_chars_per_nonempty_line,
+    len(list_filter(ls, lambda x: regexp_matches(x, '^\s*(?:[•●▪◦‣*+-]|–|—)\s+'))) AS bullet_line_count, len(list_filter(ls, lambda x: regexp_matches(x, '^\s*[-*+]\s+'))) AS dash_list_count,
+    len(list_filter(ls, lambda x: regexp_matches(x, '^\s*[•●▪◦‣]\s*'))) AS unicode_bullet_line_count, len(list_filter(ls, lambda x: regexp_matches(x, '^\s*\d{{1,2}}\s*[.)]\s*'))) AS numbered_line_start_count,
+    len(list_filter(ls, lambda x: regexp_matches(x, '^\s*\d{{1,2}}\s*[.)]\s*.*[•●▪◦‣]'))) AS heading_inline_bullet_count, len(heads) AS numbered_heading_count,
+    array_to_string(list_transform(heads, lambda x: string_split(x, ' ')[1]), ',') AS heading_numbers, len(keys) - len(list_distinct(keys)) AS duplicate_numbered_heading_extra,
+    len(list_filter(range(1, len(keys)), lambda i: keys[i] = keys[i + 1])) AS adjacent_duplicate_heading_count, array_to_string(canonical, ',') AS canonical_clinical_sequence, len(canonical) AS canonical_heading_count,
+    len(canonical) - len(list_distinct(canonical)) AS repeated_canonical_heading_extra, len(regexp_extract_all(t, '(?im)^the ')) AS clinical_history_hits, len(regexp_extract_all(t, '(?im)^of ')) AS clinical_present_illness_hits,
+    len(regexp_extract_all(t, '(?im)^(?:der|die) ')) AS clinical_assessment_hits, len(regexp_extract_all(t, '(?i)license|released')) AS clinical_field_hits, len(regexp_extract_all(t, '(?i) (?:her|his|elle) ')) AS patient_specific_hits,
+    regexp_matches(first, '(?i)^the ') AS case_opening, len(list_filter(heads, lambda x: regexp_matches(x, '(?i)tion|ment'))) AS education_heading_count, len(regexp_extract_all(t, '(?i)with the')) AS education_prose_hits,
+    len(list_filter(heads, lambda x: regexp_matches(x, '(?i)the\??$'))) > 0 OR regexp_matches(first, '(?i)the\??$') AS definition_title, len(regexp_extract_all(t, '(?im)^in ')) AS question_label_hits,
+    len(regexp_extract_all(t, '(?im)^to ')) AS answer_label_hits, len(regexp_extract_all(t, '(?i) this ')) AS doctor_greeting_hits, len(regexp_extract_all(t, '(?i) that ')) AS consultation_closing_hits,
+    len(regexp_extract_all(t, '\*{{3,}}')) AS redaction_runs, length(array_to_string(regexp_extract_all(t, '\*{{3,}}'), '')) AS redaction_chars, len(regexp_extract_all(t, '\[[^\]\n]{{2,60}}\]')) AS placeholder_hits,
+    len(list_filter(regexp_extract_all(t, '\*+'), lambda x: length(x) = 2)) + len(regexp_extract_all(t, '(?m)^\s*\*\s+|^\s*#{{1,6}}\s+')) AS markdown_hits, len(regexp_extract_all(t, '\x{{fffd}}|â€|Ã©|Ã¨|Ãª|Ä‘')) AS mojibake_hits,
+    len(regexp_extract_all(t, '\p{{Mn}}')) AS decomposed_codepoints, len(regexp_extract_all(t, '[{_LOWER}][{_UPPER}]')) AS lower_upper_glue_hits, len(regexp_extract_all(t, '[.!?][{_UPPER}]')) AS punct_upper_glue_hits,
+    len(regexp_extract_all(t, '(?:license|released)[A-Z]')) AS heading_glue_hits, len(regexp_extract_all(t, '[^\S\n]{{2,}}')) AS multiple_space_runs, len(list_filter(ls, lambda x: regexp_matches(x, '^[ \t]+\S'))) AS leading_indent_lines,
+    len(list_filter(ls, lambda x: regexp_matches(x, '[ \t]+$'))) AS trailing_space_lines, len(regexp_extract_all(t, '\t')) AS tab_count, len(regexp_extract_all(t, '\x{{200b}}')) AS zero_width_space_count,
+    len(regexp_extract_all(t, '\x{{a0}}')) AS nbsp_count, len(regexp_extract_all(t, '\r')) AS carriage_return_count, starts_with(t, chr(65279)) AS has_utf8_bom,
+    len(list_filter(list_distinct(lk), lambda k: len(list_filter(lk, lambda y: y = k)) > 1)) AS repeated_line_types, len(lk) - len(list_distinct(lk)) AS repeated_line_extra,
+    len(list_filter(list_distinct(bk), lambda k: len(list_filter(bk, lambda y: y = k)) > 1)) AS repeated_paragraph_types, len(bk) - len(list_distinct(bk)) AS repeated_paragraph_extra,
+    len(regexp_extract_all(u, '{_N}[A-Za-z]{{4,}}{_N}')) AS ascii_word_count, round(len(regexp_extract_all(u, '{_N}[A-Za-z]{{4,}}{_N}')) / greatest(len(regexp_extract_all(u, '{_N}\p{{L}}+{_N}')), 1), 4) AS ascii_word_ratio,
+    len(fl) = 0 OR regexp_matches(first, '^\s*(?:[•●▪◦‣*+-]|–|—)\s+') OR starts_with(lower(ltrim(first)), 'of ') OR starts_with(lower(ltrim(first)), 'and ') OR starts_with(lower(ltrim(first)), 'de ') AS fragment_start,
+    CASE WHEN regexp_matches(t, '(?im)^in ') THEN length(string_split_regex(t, '(?im)^in ')[1]) ELSE -1 END > 0.35 * length(t)
+      OR CASE WHEN regexp_matches(t, '(?im)^to ') THEN length(string_split_regex(t, '(?im)^to ')[1]) ELSE -1 END > 0.35 * length(t) AS abnormal_qa_label_position FROM g),
+e AS (SELECT *, round(bullet_line_count / greatest(nonempty_lines, 1), 4) AS bullet_line_ratio, dash_list_count + unicode_bullet_line_count + numbered_line_start_count AS list_marker_count,
+    canonical_clinical_sequence = '1,2,3' AS canonical_full_1_2_3, canonical_heading_count > 0 AND canonical_clinical_sequence <> '1,2,3' AS canonical_partial_or_malformed,
+    ((clinical_history_hits > 0)::INT + (clinical_present_illness_hits > 0)::INT + (clinical_assessment_hits > 0)::INT)::BIGINT AS clinical_section_count,
+    clinical_history_hits + clinical_present_illness_hits + clinical_assessment_hits AS clinical_heading_total, question_label_hits > 0 AND answer_label_hits > 0 AS qa_complete,
+    (question_label_hits > 0) <> (answer_label_hits > 0) AS qa_partial, question_label_hits + answer_label_hits = 0 AND doctor_greeting_hits > 0 AND consultation_closing_hits > 0 AS qa_implicit_without_marker,
+    share_ >= 0.72 OR (nonempty_lines <= 3 AND max_line_chars >= 500) AS compacted_layout FROM c),
+h AS (SELECT *, qa_complete OR (question_label_hits + answer_label_hits > 0 AND doctor_greeting_hits > 0) OR qa_implicit_without_marker AS genre_qa,
+    clinical_section_count >= 2 OR clinical_field_hits >= 3 OR case_opening OR (patient_specific_hits >= 3 AND clinical_field_hits >= 1) AS genre_clinical,
+    education_heading_count >= 2 OR definition_title OR (education_heading_count >= 1 AND education_prose_hits >= 2) AS genre_health_education FROM e),
+i AS (SELECT *, (genre_qa::INT + genre_clinical::INT + genre_health_education::INT)::BIGINT AS major_genre_count FROM h),
+j AS (SELECT *, major_genre_count >= 2 AS mixed_major_genre, genre_qa AND genre_clinical AS embedded_qa_clinical, genre_health_education AND genre_clinical AS embedded_article_clinical,
+    CASE WHEN genre_qa AND NOT compacted_layout THEN 'qa_dialogue' WHEN genre_health_education AND numbered_heading_count >= 2 AND NOT compacted_layout THEN 'numbered_health_article'
+      WHEN genre_clinical AND clinical_section_count >= 2 AND NOT compacted_layout THEN 'numbered_clinical_template' WHEN case_opening AND NOT compacted_layout THEN 'narrative_case'
+      WHEN compacted_layout OR (nonempty_lines <= 5 AND fragment_start) THEN 'fragment_or_compacted' ELSE 'freeform_or_hybrid' END AS layout_proxy,
+    genre_qa AND NOT genre_clinical AND clinical_field_hits > 0 AS clinical_field_intrusion,
+    clinical_heading_total > 0 AND clinical_section_count < 2 AND (genre_qa OR genre_health_education) AS clinical_heading_intrusion FROM i),
+structured AS (SELECT * EXCLUDE (share_), ((mixed_major_genre)::INT + clinical_heading_intrusion::INT + clinical_field_intrusion::INT + (duplicate_numbered_heading_extra > 0)::INT + (repeated_canonical_heading_extra > 0)::INT
+      + (heading_glue_hits > 0)::INT + (heading_inline_bullet_count > 0)::INT + (fragment_start AND major_genre_count >= 1)::INT)::BIGINT AS stitching_signal_count FROM j)
 """
 
 ORACLE_SQL = {
@@ -156,9 +258,16 @@ SELECT t AS header, count(*) AS freq FROM k WHERE t <> '' AND length(t) <= 60
     "length_quantiles": "SELECT round(min(n), 4) AS least, round(quantile_cont(n, 0.25), 4) AS p25, round(quantile_cont(n, 0.5), 4) AS median, round(quantile_cont(n, 0.75), 4) AS p75, round(max(n), 4) AS most FROM (SELECT length(text)::DOUBLE AS n FROM documents)",
     "feature_matrix": "WITH " + _MEASURES + " SELECT * FROM measures",
     "feature_flags": "WITH " + _MEASURES + """
-SELECT doc_id, n_chars < 500 AS is_short, n_chars > 4000 AS is_long, n_full_lines <= 3 AS few_lines, max_line >= 500 AS long_line, mean_line >= 150 AS prose_like, n_bullets >= 5 AS bulleted,
-  n_numbered >= 3 AS numbered, n_labels >= 3 AS labelled, n_numbers >= 10 AS numeric, n_redactions > 0 AS redacted, n_placeholders > 0 AS has_placeholders,
-  n_ascii_words / greatest(n_words, 1) >= 0.9 AS mostly_ascii, n_stops / greatest(n_words, 1) < 0.02 AS unpunctuated, n_capital_runs >= 5 AS shouting FROM measures""",
+SELECT doc_id, chars < 400 AS f_short, chars > 3000 AS f_long, section_hits >= 3 AS f_structured, section_hits < 3 AS f_freeform, dosage_hits + route_hits >= 2 AS f_drug, lab_result_lines >= 2 AS f_lab,
+  neg_hits >= 1 AS f_neg, family_subject_hits >= 1 AS f_family, family_narrator_hits >= 1 AS f_narrator, history_hits >= 1 AS f_history, eng_ratio >= 0.06 OR eng_count >= 10 AS f_codeswitch,
+  markdown_hits >= 1 AS f_markdown, na_hits >= 3 AS f_na FROM measures""",
+    "structure_profile": "WITH " + _STRUCTURE + " SELECT * FROM structured",
+    "genre_combinations": "WITH " + _STRUCTURE + """
+SELECT coalesce(nullif(concat_ws('+', CASE WHEN genre_qa THEN 'qa' END, CASE WHEN genre_clinical THEN 'clinical' END, CASE WHEN genre_health_education THEN 'health_education' END), ''), 'unclassified') AS genres,
+  count(*) AS n FROM structured GROUP BY 1""",
+    "structure_summary": "WITH " + _STRUCTURE + " SELECT count(*) AS n_docs, "
+    + ", ".join(f"count(*) FILTER (WHERE {c}) AS {c}" for c in ("genre_qa", "genre_clinical", "genre_health_education", "mixed_major_genre", "compacted_layout", "fragment_start")) + ", "
+    + ", ".join(f"round(avg({c}), 4) AS {c}_mean, max({c}) AS {c}_max" for c in ("redaction_runs", "multiple_space_runs", "stitching_signal_count")) + " FROM structured",
     "density_buckets": """
 WITH c AS (SELECT len(regexp_extract_all(text, '[,;]')) AS x FROM documents)
 SELECT CASE WHEN x = 0 THEN '0' WHEN x < 5 THEN '1-4' WHEN x < 10 THEN '5-9' WHEN x < 20 THEN '10-19' ELSE '20+' END AS bucket, count(*) AS n FROM c GROUP BY 1""",

@@ -1,6 +1,8 @@
 """Text functions, lines, sections, rules, spans and sources on literal rows."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,11 +136,6 @@ def test_greedy_keep_differs_from_components(spark):
     assert sorted(r["doc_id"] for r in hygiene.greedy_keep(docs, 0.75).collect()) == [1, 3, 4, 5]
 
 
-def test_set_cover(spark):
-    f = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "c")], "doc_id long, feature string")
-    assert [r["doc_id"] for r in hygiene.set_cover(f, 5, rare=0).collect()] == [1, 3]
-
-
 def test_templates_and_slots(spark):
     spans_ = F.array(F.struct(F.lit(0).alias("start"), F.lit(5).alias("end"), F.lit("S").alias("type")), F.struct(F.lit(10).alias("start"), F.lit(15).alias("end"), F.lit("D").alias("type")))
     assert one(spark, X.blank_spans(F.col("s"), spans_), s="fever and cough") == "{S} and {D}"
@@ -146,11 +143,85 @@ def test_templates_and_slots(spark):
     assert one(spark, X.residual_words(F.col("s")), s="{S} and {D} too") == 2
 
 
-def test_profile_flags_noise(spark):
-    docs = spark.createDataFrame([(1, "Câu hỏi: đau?\nTrả lời: khám.\n"), (2, "a***b ab  c\n- x\n1. y"), (3, None)], "doc_id long, text string")
-    r = {x["doc_id"]: x for x in profile.structure(docs, profile.MEDICAL_VI).collect()}
-    assert r[1]["qa_complete"] and r[1]["layout"] == "question_answer" and r[2]["redactions"] == 1 and r[2]["numbered"] == 1 and r[3]["fragment"]
-    assert profile.flags(profile.measures(docs)).count() == 3
+QA = "Câu hỏi: đau bụng kéo dài?\nBác sĩ trả lời:\nChào bạn, đau bụng kéo dài cần khám.\n"
+TEMPLATE = "1. Tiền sử bệnh\n- x\n2. Bệnh sử hiện tại\nđau***\n3. Đánh giá tại bệnh viện\n3. Đánh giá tại bệnh viện\nổn"
+ARTICLE = "1. Viêm gan là gì?\nmột\n2. Nguyên nhân của bệnh • do virus\nhai\nba bốn năm sáu"
+
+
+def test_structure_of_vietnamese_documents(spark):
+    rows = [(1, QA), (2, TEMPLATE), (3, None), (4, ARTICLE), (5, "Thêm. " + "a" * 600), (6, "Câu hỏi: đau?"), (7, "BN nam 45 tuổi vào viện\nđau\nsốt\nho\nmệt"), (8, "dài " * 20 + "\nTrả lời: a"), (9, QA + "lý do nhập viện")]
+    r = {x["doc_id"]: x for x in profile.structure(spark.createDataFrame(rows, "doc_id long, text string"), profile.MEDICAL_VI).collect()}
+    layouts = {1: "qa_dialogue", 2: "numbered_clinical_template", 3: "fragment_or_compacted", 4: "numbered_health_article", 5: "fragment_or_compacted", 7: "narrative_case"}
+    assert {k: r[k]["layout_proxy"] for k in layouts} == layouts
+    assert r[1]["qa_complete"] and r[1]["genre_qa"] and r[6]["qa_partial"] and not r[6]["genre_qa"]  # a label alone, without a greeting, is no dialogue
+    assert (r[2]["canonical_clinical_sequence"], r[2]["repeated_canonical_heading_extra"], r[2]["duplicate_numbered_heading_extra"], r[2]["adjacent_duplicate_heading_count"]) == ("1,2,3,3", 1, 1, 1)
+    assert r[2]["canonical_partial_or_malformed"] and r[2]["redaction_chars"] == 3 and r[2]["stitching_signal_count"] == 2 and r[2]["dash_list_count"] == 1
+    assert r[4]["definition_title"] and r[4]["genre_health_education"] and r[4]["heading_inline_bullet_count"] == 1 and r[4]["inline_bullet_count"] == 1 and r[4]["heading_numbers"] == "1,2"
+    assert r[5]["fragment_start"] and r[5]["compacted_layout"] and r[5]["lines_ge_600_chars"] == 1 and r[3]["fragment_start"]
+    assert r[7]["case_opening"] and r[8]["abnormal_qa_label_position"] and not r[1]["abnormal_qa_label_position"]
+    assert r[9]["clinical_field_intrusion"] and not r[9]["genre_clinical"] and r[9]["stitching_signal_count"] == 1
+
+
+def test_label_overlap(spark):
+    rows = [(1, QA), (2, "Trả lời: a\nCâu hỏi: b"), (3, None), (4, "Câu hỏi:\nTrả lời: gan")]
+    out = {r["doc_id"]: tuple(r)[1:] for r in profile.label_overlap(spark.createDataFrame(rows, "doc_id long, text string"), profile.MEDICAL_VI).collect()}
+    # đau bụng kéo dài; the answer adds khám.
+    assert out == {1: (0.8, 1.0, 4, 5), 2: (None, None, 0, 0), 3: (None, None, 0, 0), 4: (None, None, 0, 1)}
+
+
+def test_first_features(spark):
+    text = "1. Tiền sử gia đình: mẹ bị THA\nWBC 10.5, không sốt, không rõ\naspirin 81 mg po daily, iv 5ml\nN/A đauBụng ** liver liver disease disease"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "abcdef abcdef abcdef abcdef")], "doc_id long, text string")
+    m = profile.measures(docs)
+    r = {x["doc_id"]: x.asDict() for x in m.collect()}
+    want = {
+        "chars": len(text), "lines": 4, "section_hits": 2, "history_hits": 1, "neg_hits": 1, "family_subject_hits": 2, "family_narrator_hits": 0, "dosage_hits": 2, "route_hits": 3, "lab_token_hits": 1,
+        "lab_result_lines": 1, "camel_glue_hits": 1, "phrase_repeat_hits": len(re.findall(r"(.{6,}?)\1", text)), "eng_count": 6, "na_hits": 1, "markdown_hits": 1,
+    }
+    assert {k: r[1][k] for k in want} == want and r[3]["phrase_repeat_hits"] == len(re.findall(r"(.{6,}?)\1", "abcdef abcdef abcdef abcdef"))
+    f = {x["doc_id"]: x.asDict() for x in profile.flags(m).collect()}
+    assert f[1]["f_drug"] and f[1]["f_family"] and not f[1]["f_lab"] and f[2]["f_short"] and f[2]["f_freeform"] and not f[2]["f_codeswitch"]
+
+
+def test_noise_against_another_engine(spark):
+    texts = ["đau đau bụng bụng bụng", "abcdabcd xyzxyz", "a  - b   * c", "x • y\n• z • w", "5mg 3 mg 7ml/ngày 2,5g/l x9g", "Đau đau"]
+    out = {r["doc_id"]: r for r in profile.structure(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), profile.MEDICAL_VI).collect()}
+    for k, t in enumerate(texts):
+        inline = sum(bool(line[: m.start()].strip()) for line in t.split("\n") for m in re.finditer("[•●▪◦‣]", line)) + len(re.findall(r"(?<=\S)[^\S\n]{2,}[-*+][^\S\n]+", t))
+        units = r"(?i)(?<!\w)\d+(?:[.,]\d+)?(?:micromol/l|mmol/l|µmol/l|ml/ngày|mg/dl|mmhg|mcg|l/ph|l/p|g/l|u/l|mg|ml|cm|kg|fr|cc|g)(?!\w)"
+        want = (inline, len(re.findall(r"(?iu)\b(\w{2,})\s+\1\b", t)), len(re.findall(r"(?iu)(\w{4,})\1", t)), len(re.findall(units, t)))
+        assert tuple(out[k][c] for c in ("inline_bullet_count", "consecutive_word_repeat_hits", "concatenated_repeat_hits", "attached_number_unit_hits")) == want, t
+
+
+def test_set_cover_fills_up(spark):
+    rng = random.Random(2)
+    names = [f"f{k}" for k in range(9)]
+    has = {i: {x for x in names if rng.random() < 0.25} for i in range(40)}
+    chars, rare = {i: rng.randint(1, 6) for i in has}, names[:3]
+    for known in (names, [*names, "nowhere"]):
+        left, want = set(known), []
+        while left and len(want) < 12:
+            best = max((i for i in has if i not in want), key=lambda i: (sum(3 if x in rare else 1 for x in has[i] & left), len(has[i]), -i))
+            want.append(best)
+            left -= has[best]
+        want += sorted((i for i in has if i not in want), key=lambda i: (-len(has[i]), chars[i], i))[: 12 - len(want)]
+        features = spark.createDataFrame([(i, x) for i, own in has.items() for x in own], "doc_id long, feature string")
+        out = hygiene.set_cover(features, spark.createDataFrame(list(chars.items()), "doc_id long, chars int"), known, rare, 12)
+        assert [r["doc_id"] for r in out.orderBy("round").collect()] == want
+
+
+def test_contained_pairs_lose_nothing(spark):
+    rng = random.Random(8)
+    line = " ".join(f"common{k}" for k in range(12))
+    texts = []
+    for k in range(60):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.randint(5, 40))]
+        texts.append((line + " " if k % 3 == 0 else "") + " ".join(words))
+        if k % 4 == 0:
+            texts.append(" ".join([*words[: len(words) * 2 // 3], *(f"v{rng.randrange(400)}" for _ in range(6))]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {(r["a"], r["b"]): tuple(r)[2:] for r in hygiene.reuse_pairs(docs, 4).where("containment >= 0.3").collect()}
+    assert whole and {(r["a"], r["b"]): tuple(r)[2:] for r in hygiene.contained_pairs(docs, 0.3, 4).collect()} == whole
 
 
 def test_concept_files(spark, tmp_path):
