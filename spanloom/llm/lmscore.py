@@ -35,10 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, cut, mix, most_frequent, prefix_hash, span_hash, spread, table, text_slices, without, words
+from .common import IS_SPACE, cut, hash_fraction, mix, most_frequent, prefix_hash, span_hash, spread, table, text_slices, without, words
 
 SIDE = 2
-LEAST, GROWTH = 32, 1.4
+LEAST, GROWTH = 32, 1.25
 EMBED = 16
 HIDDEN = 24
 MASK = 8
@@ -185,8 +185,8 @@ class WindowNet:
         # What each place adds to the hidden layer, by slot: one product for the whole vocabulary.
         parts = self.p["hidden"].reshape(2 * SIDE, EMBED, HIDDEN)
         added = [self.p["embed"] @ m for m in parts] if len(target) > 4 * len(self.p["embed"]) else None
-        for s in range(0, len(target), 16384):
-            c, t = ctx[s : s + 16384], target[s : s + 16384]
+        for s in range(0, len(target), 32768):
+            c, t = ctx[s : s + 32768], target[s : s + 32768]
             inner = sum(a[c[:, k]] for k, a in enumerate(added)) if added else self.p["embed"][c].reshape(len(c), -1) @ self.p["hidden"]
             h = np.tanh(inner + self.p["hidden_b"])
             z = h @ self.p["cls"] + self.p["cls_b"]
@@ -197,7 +197,7 @@ class WindowNet:
                 w = h[own] @ self.p["word"][k] + self.p["word_b"][k]
                 top = w.max(1)
                 lp[own] += w[np.arange(len(own)), inner[own]] - top - np.log(np.exp(w - top[:, None]).sum(1))
-            out[s : s + 16384] = lp
+            out[s : s + 32768] = lp
         return out
 
     def step(self, ctx: np.ndarray, target: np.ndarray, rate: float) -> None:
@@ -310,12 +310,14 @@ def fit(docs: DataFrame, corpus: Corpus, start_rows: int = START_ROWS, shard_win
     kind, side = _kind(corpus), corpus.side
     found = cut(windows(docs, corpus), "windows")
     net = WindowNet(side)
-    # At most 40 KB a row, whatever the texts' lengths.
-    start = [bytes(r["w"]) for r in found.orderBy(F.xxhash64("key"), "w").limit(start_rows).collect()]
+    size = found.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("w")), F.lit(0)).alias("bytes")).first()
+    # At most 40 KB a row, whatever the texts' lengths; about twice start_rows rows come from all tasks together.
+    some = found.where(hash_fraction(F.col("key"), SEED) < min(1.0, 2 * start_rows / max(1, size["rows"])))
+    start = [bytes(r["w"]) for r in some.orderBy(F.xxhash64("key"), "w").limit(start_rows).collect()]
     if start:
         for epoch in range(START_EPOCHS):
             net.train(_rows(start, kind), 0.1 / (1 + epoch), salt=epoch)
-    total = (found.agg(F.sum(F.octet_length("w"))).first()[0] or 0) // ((2 * SIDE + 1) * np.dtype(kind).itemsize)
+    total = size["bytes"] // ((2 * SIDE + 1) * np.dtype(kind).itemsize)
     shards = max(1, -(-total // shard_windows))
     shared = docs.sparkSession.sparkContext.broadcast(net.pack())
 
