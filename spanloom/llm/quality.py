@@ -246,11 +246,14 @@ def fit_rows_to_model(rows: list, totals: dict[int, int], epochs: int, rate: flo
     """Full-batch AdaGrad (the result depends on no order), then Platt scaling by damped Newton steps."""
     y = np.array([r["quality"] for r in rows], np.float32)
     lens = np.array([len(r["buckets"]) // 4 for r in rows])
-    b = np.frombuffer(b"".join(r["buckets"] for r in rows), "<u4").astype(np.intp)
+    b = np.frombuffer(b"".join(r["buckets"] for r in rows), "<u4")
     v = np.frombuffer(b"".join(r["counts"] for r in rows), "<f4")
     rows.clear()
     upto = np.concatenate(([0], np.cumsum(lens)))
     size = 2 << BITS
+    # Runs of rows with about a million entries: temporaries stay small whatever the sample holds.
+    cuts = np.unique(np.searchsorted(upto, np.arange(0, upto[-1] + 1, 1 << 20))).tolist()
+    parts = [(lo, hi, slice(int(upto[lo]), int(upto[hi]))) for lo, hi in zip(cuts, [*cuts[1:], len(lens)], strict=True)]
     held = np.arange(len(y)) % 5 == 0
     for k in (0, 1):
         if not ((y == k) & ~held).any() or not ((y == k) & held).any():
@@ -262,14 +265,20 @@ def fit_rows_to_model(rows: list, totals: dict[int, int], epochs: int, rate: flo
         return np.where(of, np.where(y == 1, share[1] / n[1], share[0] / n[0]), 0.0)
 
     def scores(w: np.ndarray, bias: float) -> np.ndarray:
-        run = np.concatenate(([0.0], np.cumsum(v * w.astype(np.float32)[b], dtype=np.float64)))
-        return run[upto[1:]] - run[upto[:-1]] + bias
+        w, out = w.astype(np.float32), []
+        for lo, hi, part in parts:
+            run = np.concatenate(([0.0], np.cumsum(v[part] * w[b[part]], dtype=np.float64)))
+            at = upto[lo : hi + 1] - upto[lo]
+            out.append(run[at[1:]] - run[at[:-1]])
+        return np.concatenate(out) + bias
 
     weight = balanced(~held, {0: 0.5, 1: 0.5})
     w, bias, grad2, bias2 = np.zeros(size), 0.0, np.full(size, 1e-12), 1e-8
     for _ in range(epochs):
         g = (1 / (1 + np.exp(-np.clip(scores(w, bias), -40, 40))) - y) * weight
-        gw = np.bincount(b, v * np.repeat(g.astype(np.float32), lens), minlength=size) + 1e-7 * w
+        gw = 1e-7 * w
+        for lo, hi, part in parts:
+            gw += np.bincount(b[part], v[part] * np.repeat(g[lo:hi].astype(np.float32), lens[lo:hi]), minlength=size)
         grad2 += gw * gw
         w -= rate * gw / np.sqrt(grad2)
         bias2 += g.sum() ** 2
