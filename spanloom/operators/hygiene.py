@@ -74,7 +74,7 @@ def contained_pairs(docs: DataFrame, least: float, n: int = 8) -> DataFrame:
     s = shingles(docs, n)
     df = s.groupBy("sh").agg(F.count("*").alias("df"))
     ranked = s.join(df, "sh").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("df") == 1).alias("alone"), F.array_sort(F.collect_list(F.when(F.col("df") > 1, F.struct("df", "sh")))).alias("held"))
-    need = F.col("n") - F.ceil(F.col("n") * least) + 1 - F.col("alone")
+    need = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1 - F.col("alone")
     ranked = shared_table(ranked.where("n > alone").select("doc_id", "n", need.cast("int").alias("need"), F.col("held.sh").alias("sh")), "shingles")
     small = ranked.where("need > 0").select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.explode(F.slice("sh", F.lit(1), F.col("need"))).alias("sh"))
     large = ranked.select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.explode("sh").alias("sh"))
@@ -171,17 +171,39 @@ def lcs_leakage(docs: DataFrame, items: DataFrame) -> DataFrame:
     return joined.groupBy("item_id").agg(F.max("r").alias("best"), F.max(F.coalesce("run", F.lit(0))).cast("int").alias("longest_run"))
 
 
+def _alike(sets: DataFrame, bar: float) -> DataFrame:
+    """(a, b), a < b, of ``sets(doc_id, n, sh)`` whose Jaccard similarity reaches ``bar``; nothing is lost.
+
+    In one order of all shingles, rare ones first, both sets of such a pair hold a shingle in common among their
+    first n - ceil(bar * n) + 1; sets that meet there are checked whole.
+    """
+    s = sets.select("doc_id", "n", F.explode("sh").alias("g"))
+    df = s.groupBy("g").agg(F.count("*").alias("df"))
+    order = F.array_sort(F.collect_list(F.struct("df", "g")))
+    lead = F.slice(order, F.lit(1), (F.col("n") - F.ceil(F.col("n") * bar - 1e-9) + 1).cast("int"))
+    head = s.join(df, "g").groupBy("doc_id", "n").agg(lead.alias("o")).select("doc_id", "n", F.inline("o")).where("df > 1")
+    one, two = (head.select("g", F.col("doc_id").alias(k), F.col("n").alias(f"n{k}")) for k in ("a", "b"))
+    near = F.least("na", "nb") >= F.greatest("na", "nb") * bar - 1e-9
+    met = one.join(two, "g").where(F.col("a") < F.col("b")).where(near).select("a", "b").distinct()
+    x, y = (sets.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("sh").alias(f"s{k}")) for k in ("a", "b"))
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return met.join(x, "a").join(y, "b").where(shared / (F.col("na") + F.col("nb") - shared) >= bar).select("a", "b").distinct()
+
+
 def greedy_keep(docs: DataFrame, bar: float = 0.8, most: int = 10_000) -> DataFrame:
     """``docs(doc_id, text)`` kept in order of id: one goes if its trigram Jaccard with a kept one reaches ``bar``.
 
-    Pairs come from shared trigrams; the ordered decision runs in rounds over them: a document all of whose
-    smaller partners are decided is decided.  Empty texts are never duplicates.
+    Of documents with equal trigrams all but the first go: with it if it stays, with what it goes for if not.
+    The rest meet by prefixes (:func:`_alike`); the ordered decision runs in rounds over their pairs: a document
+    all of whose smaller partners are decided is decided.  Empty texts are never duplicates.
     """
-    s = docs.select("doc_id", F.explode(F.transform(X.word_trigrams(F.col("text")), lambda g: F.xxhash64(g))).alias("sh"))
-    sizes = s.groupBy("doc_id").agg(F.count("*").alias("n"))
-    shared = s.select("sh", F.col("doc_id").alias("a")).join(s.select("sh", F.col("doc_id").alias("b")), "sh").where("a < b").groupBy("a", "b").agg(F.count("*").alias("k"))
-    j = shared.join(sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb")), "b")
-    edges = shared_table(j.where(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")) >= bar).select("a", "b"), "near")
+    grams = F.array_sort(F.transform(X.word_trigrams(F.col("text")), lambda g: F.xxhash64(g)))
+    held = docs.select("doc_id", grams.alias("sh")).where("size(sh) > 0")
+    held = shared_table(held.withColumn("k", F.md5(F.array_join(F.col("sh").cast("array<string>"), ","))), "grams")
+    first = held.groupBy("k").agg(F.min("doc_id").alias("first"))
+    copies = held.select("doc_id", "k").join(first, "k").where("doc_id <> first").select("doc_id")
+    sets = held.join(first, "k").where("doc_id = first").select("doc_id", F.size("sh").alias("n"), "sh").distinct()
+    edges = shared_table(_alike(shared_table(sets, "sets"), bar), "near")
     state = edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).distinct().withColumn("kept", F.lit(None).cast("boolean"))
     for _ in range(most):
         known = state.select(F.col("doc_id").alias("a"), "kept")
@@ -192,7 +214,7 @@ def greedy_keep(docs: DataFrame, bar: float = 0.8, most: int = 10_000) -> DataFr
             break
     else:
         raise RuntimeError("documents are left undecided")
-    return docs.join(state.where("not kept"), "doc_id", "left_anti")
+    return docs.join(state.where("not kept").select("doc_id").union(copies), "doc_id", "left_anti")
 
 
 def qa_overlap(turns: DataFrame) -> DataFrame:

@@ -22,9 +22,14 @@ def bio_decode(tags: DataFrame, zero_width: Column | None = None) -> DataFrame:
 
 
 def bio_encode(tokens: DataFrame, spans: DataFrame) -> DataFrame:
-    """``tokens(doc_id, pos, ts, te)`` with the tag of the first span that overlaps each (B- where the span starts)."""
-    s = spans.select("doc_id", F.col("start").alias("s"), F.col("end").alias("e"), "type")
-    hit = tokens.join(s, "doc_id").where("ts < e and te > s").groupBy("doc_id", "pos").agg(F.min(F.struct("s", "e", "type")).alias("span"))
+    """``tokens(doc_id, pos, ts, te)`` with the tag of the first span that overlaps each (B- where the span starts).
+
+    Tokens and spans meet in the 64-character buckets that both touch, never by all pairs of a document.
+    """
+    buckets = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / 64), F.floor(F.greatest(F.col(e) - 1, F.col(s)) / 64))).alias("bucket")
+    s = spans.select("doc_id", F.col("start").alias("s"), F.col("end").alias("e"), "type", buckets("start", "end"))
+    near = tokens.select("doc_id", "pos", "ts", "te", buckets("ts", "te")).join(s, ["doc_id", "bucket"])
+    hit = near.where("ts < e and te > s").groupBy("doc_id", "pos").agg(F.min(F.struct("s", "e", "type")).alias("span"))
     out = tokens.join(hit, ["doc_id", "pos"], "left")
     tag = F.when(F.col("span").isNull(), "O").otherwise(F.concat(F.when(F.col("ts") <= F.col("span.s"), "B-").otherwise("I-"), F.col("span.type")))
     return out.withColumn("tag", tag).drop("span")

@@ -43,7 +43,9 @@ def reuse_pairs(spark, d):
 
 
 def nearest_doc(spark, d):
-    return H.nearest(H.reuse_pairs(_distinct_docs(spark, d))).withColumn("containment", F.round("containment", 6))
+    """For every document the nearest other text, by the smallest id that has it; copies share their class's row."""
+    near = H.nearest(H.reuse_pairs(_distinct_docs(spark, d))).withColumnRenamed("doc_id", "class_id")
+    return H.text_classes(_docs(spark, d)).join(near, "class_id").select("doc_id", "class_id", "other", F.round("containment", 6).alias("containment"), "n_strong")
 
 
 def reuse_components(spark, d):
@@ -59,7 +61,7 @@ def repeats_within(spark, d):
 
 
 def trigram_dedup(spark, d):
-    return H.greedy_keep(V.load(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text").union(V.load(spark, d, "conversations").select((1_000_000 + F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")), 0.5).select("doc_id")
+    return H.greedy_keep(_docs(spark, d).select("doc_id", "text")).select("doc_id")
 
 
 def qa_overlap(spark, d):
@@ -150,7 +152,19 @@ ORACLE_SQL = {
     "reuse_pairs": f"WITH {_PAIRS} SELECT a, b, shared, round(containment, 6) AS containment, round(jaccard, 6) AS jaccard FROM pairs WHERE containment >= 0.45",
     "nearest_doc": f"""WITH {_PAIRS}, u AS (SELECT a AS doc_id, b AS other, shared, containment FROM pairs UNION ALL SELECT b, a, shared, containment FROM pairs),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY containment DESC, other) AS n, count(*) FILTER (WHERE containment >= 0.3 AND shared >= 40) OVER (PARTITION BY doc_id) AS n_strong FROM u)
-SELECT doc_id, other, round(containment, 6) AS containment, n_strong FROM r WHERE n = 1""",
+SELECT c.doc_id, class_id, other, round(containment, 6) AS containment, n_strong FROM classes c JOIN r ON r.doc_id = class_id WHERE n = 1""",
+    "trigram_dedup": f"""
+WITH w AS (SELECT doc_id, list_filter(string_split({_NORM}, ' '), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) BETWEEN 1 AND 2 THEN [array_to_string(ws, ' ')]
+      ELSE list_transform(range(1, greatest(len(ws) - 1, 1)), lambda i: array_to_string(ws[i:i + 2], ' ')) END)) AS sh FROM w),
+sz AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN sz m ON m.doc_id = a JOIN sz n ON n.doc_id = b WHERE k / (m.n + n.n - k) >= 0.8),
+l AS (SELECT b, list(a) AS smaller FROM e GROUP BY b),
+f AS (SELECT list_reduce(list_prepend([]::STRUCT(b BIGINT, smaller BIGINT[])[], list([{{'b': b, 'smaller': smaller}}] ORDER BY b)),
+      lambda acc, x: CASE WHEN len(list_filter(x[1].smaller, lambda a: NOT list_contains(list_transform(acc, lambda y: y.b), a))) > 0 THEN list_concat(acc, x) ELSE acc END) AS gone FROM l),
+g AS (SELECT unnest(gone).b AS doc_id FROM f)
+SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM g)""",
     "reuse_components": f"""WITH RECURSIVE {_PAIRS}, e AS (SELECT a, b FROM pairs WHERE containment >= 0.45 UNION SELECT b, a FROM pairs WHERE containment >= 0.45),
 w AS (SELECT a AS doc_id, a AS r FROM e UNION SELECT w.doc_id, e.b FROM w JOIN e ON w.r = e.a)
 SELECT doc_id, min(r) AS component FROM w GROUP BY doc_id""",

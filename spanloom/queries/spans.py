@@ -158,6 +158,12 @@ sec AS (SELECT doc_id, line_no, start, line, last_value(h.top IGNORE NULLS) OVER
 """
 
 ORACLE_SQL = {
+    "concept_json": "WITH " + V.BASE + "," + V.GOLD + """,
+j AS (SELECT doc_id, start, "end", '{"text":' || to_json(text) || ',"type":' || to_json(type)
+      || CASE WHEN type IN ('CHẨN_ĐOÁN', 'THUỐC') THEN ',"candidates":' || to_json(codes) ELSE '' END
+      || CASE WHEN type IN ('CHẨN_ĐOÁN', 'THUỐC', 'TRIỆU_CHỨNG') THEN ',"assertions":' || to_json(assertions) ELSE '' END
+      || ',"position":[' || start || ',' || "end" || ']}' AS c FROM gold)
+SELECT doc_id, md5('[' || string_agg(c, ',' ORDER BY start, "end") || ']') AS json_md5 FROM j GROUP BY doc_id""",
     "bio_encode": _TOKENS + " SELECT doc_id, pos, tag FROM tags WHERE tag <> 'O'",
     "bio_decode": _TOKENS + """,
 k AS (SELECT *, CASE WHEN tag <> 'O' THEN tag[3:] END AS kind FROM tags),

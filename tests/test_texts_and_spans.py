@@ -136,6 +136,44 @@ def test_greedy_keep_differs_from_components(spark):
     assert sorted(r["doc_id"] for r in hygiene.greedy_keep(docs, 0.75).collect()) == [1, 3, 4, 5]
 
 
+def test_greedy_keep_is_brute_force_on_mixed_texts(spark):
+    draw = random.Random(5)
+    base = [[f"w{draw.randrange(30)}" for _ in range(draw.randrange(1, 25))] for _ in range(6)]
+    texts = []
+    for _ in range(80):
+        t = list(draw.choice(base))
+        for _ in range(draw.randrange(4)):
+            t[draw.randrange(len(t))] = f"x{draw.randrange(4)}"
+        texts.append(" ".join(t))
+    texts += ["", None, texts[0], "a b", "a b"]
+
+    def grams(t):
+        w = (t or "").split()
+        return {" ".join(w)} if 0 < len(w) < 3 else {" ".join(w[k : k + 3]) for k in range(len(w) - 2)}
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for bar in (0.5, 0.8, 1.0):
+        kept = []
+        for k, t in enumerate(texts):
+            g = grams(t)
+            if not any(g and len(g & grams(texts[o])) / len(g | grams(texts[o])) >= bar for o in kept):
+                kept.append(k)
+        assert sorted(r["doc_id"] for r in hygiene.greedy_keep(docs, bar).collect()) == kept
+    assert hygiene.greedy_keep(docs.limit(0)).collect() == []
+
+
+def test_bio_encode_is_brute_force_over_buckets(spark):
+    draw = random.Random(3)
+    spans_ = [(1, s, s + draw.choice((0, 1, 5, 64, 300)), "T") for s in draw.sample(range(900), 12)] + [(2, 0, 4, "U")]
+    tokens = [(1, k, s, s + draw.choice((0, 2, 9, 130))) for k, s in enumerate(draw.sample(range(1000), 150))] + [(3, 0, 0, 4)]
+    want = {}
+    for d, k, ts, te in tokens:
+        hit = min(((s, e, t) for o, s, e, t in spans_ if o == d and ts < e and te > s), default=None)
+        want[d, k] = "O" if hit is None else ("B-" if ts <= hit[0] else "I-") + hit[2]
+    told = spans.bio_encode(spark.createDataFrame(tokens, "doc_id long, pos long, ts long, te long"), spark.createDataFrame(spans_, "doc_id long, start long, end long, type string"))
+    assert {(r["doc_id"], r["pos"]): r["tag"] for r in told.collect()} == want
+
+
 def test_templates_and_slots(spark):
     spans_ = F.array(F.struct(F.lit(0).alias("start"), F.lit(5).alias("end"), F.lit("S").alias("type")), F.struct(F.lit(10).alias("start"), F.lit(15).alias("end"), F.lit("D").alias("type")))
     assert one(spark, X.blank_spans(F.col("s"), spans_), s="fever and cough") == "{S} and {D}"
