@@ -6,6 +6,7 @@ reduced to those that two documents or more hold.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import pyarrow as pa
@@ -29,7 +30,7 @@ def ensure_folder(spark: SparkSession) -> None:
     """Names a checkpoint folder where the session has none; only a local master may use the machine's own."""
     if not spark.sparkContext.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not spark.sparkContext.master.startswith("local["):
+        if shared is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(shared or f"/tmp/spanloom-checkpoints/{uuid.uuid4().hex}")
 
