@@ -106,7 +106,7 @@ class Index:
 
     def __init__(self, rows: DataFrame) -> None:
         rows = cut(rows, "vectors")
-        most = F.coalesce(F.greatest(F.array_max("w"), -F.array_min("w")), F.lit(0)).cast("double")
+        most = F.coalesce(F.greatest(F.array_max("w").cast("double"), -F.array_min("w").cast("double")), F.lit(0.0))
         n, width, top = rows.agg(F.count("*"), F.coalesce(F.max(F.size("w")), F.lit(0)), F.coalesce(F.max(most), F.lit(0.0))).first()
         self.width = max(1, int(width))
         #: Sums of products, and of squares for distances, stay whole numbers that doubles hold.
@@ -230,7 +230,8 @@ class Index:
         planned = queries.select("vec_id", "label", "w", "target", "high", "kth").mapInArrow(plan, "list int, q_ids binary, q_labels binary, q_w binary, target array<array<long>>, high array<array<long>>")
         last = F.element_at(F.lit(blocks_of.tolist()), F.col("list") + 1) - 1
         dealt = planned.withColumn("block", F.explode(F.sequence(F.lit(0), last.cast("int"))))
-        return dealt.join(self.blocks, ["list", "block"]).drop("list", "block").mapInArrow(score, "anchor_id long, target_id long, vec_id long, score long")
+        # A block is megabytes and compresses well: Spark would take the table for small and broadcast all of it.
+        return dealt.join(self.blocks.hint("merge"), ["list", "block"]).drop("list", "block").mapInArrow(score, "anchor_id long, target_id long, vec_id long, score long")
 
 
 def visits(w: np.ndarray, highs: list, kths: list, mid: np.ndarray, radius: np.ndarray, skip: int, take: int | None) -> np.ndarray:
