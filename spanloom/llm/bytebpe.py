@@ -31,6 +31,7 @@ import base64
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -44,35 +45,39 @@ from .common import spread, table, text_slices, without
 RANKS = "byte_bpe_50k.tiktoken"
 LONG = 256
 BATCH_BYTES = 1 << 20
-CACHE_PIECES = 250_000
+CACHE_PIECES = 300_000
 
-#: One piece's tokens stand at positions 0, 1, ...; ``it`` counts contractions, so a piece's last rows are its result.
+#: One piece's tokens stand at positions 0, 1, ...; a row has its right neighbour and what the two merge into, so a
+#: step looks up only pairs that are new.  ``it`` counts contractions: a piece's last rows are its result.
 MERGE = """
-WITH RECURSIVE step(it, piece, pos, tok) AS (
-    SELECT 0, piece, pos, tok FROM start
+WITH RECURSIVE step(it, piece, pos, tok, nxt, merged) AS (
+    SELECT 0, piece, pos, tok, nxt, m.merged FROM start LEFT JOIN merges m ON m.pair = (tok::BIGINT << 24) | nxt
     UNION ALL
     SELECT * FROM (
-        WITH pairs AS (
-            SELECT a.piece, a.pos, m.merged
-            FROM step a JOIN step b ON b.piece = a.piece AND b.pos = a.pos + 1
-            JOIN merges m ON m.pair = (a.tok::BIGINT << 24) | b.tok
-        ), best AS (
-            SELECT piece, min((merged::BIGINT << 20) | pos) AS least FROM pairs GROUP BY piece
+        WITH best AS (
+            SELECT piece, min((merged::BIGINT << 20) | pos) AS least FROM step WHERE merged IS NOT NULL GROUP BY piece
         ), win AS (
-            SELECT piece, (least & 1048575)::INTEGER AS at, (least >> 20)::INTEGER AS merged FROM best
+            SELECT b.piece, (least & 1048575)::INTEGER AS at, (least >> 20)::INTEGER AS made, r.nxt AS after
+            FROM best b JOIN step r ON r.piece = b.piece AND r.pos = (least & 1048575)::INTEGER + 1
+        ), moved AS (
+            SELECT s.it + 1 AS it, s.piece, (s.pos - (s.pos > w.at)::INTEGER)::INTEGER AS pos,
+                   CASE WHEN s.pos = w.at THEN w.made ELSE s.tok END AS tok,
+                   CASE WHEN s.pos = w.at THEN w.after WHEN s.pos = w.at - 1 THEN w.made ELSE s.nxt END AS nxt,
+                   s.merged, s.pos IN (w.at, w.at - 1) AS fresh
+            FROM step s JOIN win w USING (piece) WHERE s.pos <> w.at + 1
         )
-        SELECT s.it + 1, s.piece, (s.pos - (s.pos > win.at)::INTEGER)::INTEGER, CASE WHEN s.pos = win.at THEN win.merged ELSE s.tok END
-        FROM step s JOIN win USING (piece) WHERE s.pos <> win.at + 1
+        SELECT it, piece, pos, tok, nxt, CASE WHEN fresh THEN m.merged ELSE moved.merged END
+        FROM moved LEFT JOIN merges m ON m.pair = CASE WHEN fresh THEN (tok::BIGINT << 24) | nxt END
     )
 ), last AS (
     SELECT piece, max(it) AS it FROM step GROUP BY piece
 )
-SELECT piece, list(tok ORDER BY pos) AS ids FROM step JOIN last USING (piece, it) GROUP BY piece
+SELECT piece, pos, tok FROM step JOIN last USING (piece, it)
 """
 
 #: Ordered aggregation of the tokens' bytes (in hexadecimal) by row; ``known`` counts the ids that the vocabulary has.
 DECODE = """
-SELECT row, coalesce(string_agg(v.hex, '' ORDER BY pos), '') AS hex, count(*) AS n, count(v.id) AS known
+SELECT row, unhex(string_agg(v.hex, '' ORDER BY pos)) AS raw, count(*) AS n, count(v.id) AS known
 FROM tokens LEFT JOIN vocab v ON v.id = tok GROUP BY row
 """
 
@@ -137,19 +142,26 @@ class Ranks:
             if size >= BATCH_BYTES:
                 self._recurse(pieces, run, out)
                 size, run = 0, []
-        self._recurse(pieces, run, out)
+        if run:
+            self._recurse(pieces, run, out)
         return out
 
     def _recurse(self, pieces: list[bytes], run: list[int], out: list[list[int]]) -> None:
-        if not run:
-            return
         lens = np.array([len(pieces[k]) for k in run])
-        flat = np.frombuffer(b"".join([pieces[k] for k in run]), np.uint8)
+        tok = self.byte[np.frombuffer(b"".join([pieces[k] for k in run]), np.uint8)]
         piece = np.repeat(np.arange(len(run), dtype=np.int32), lens)
-        pos = (np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)).astype(np.int32)
-        got = self._ask(MERGE, start=pa.table({"piece": piece, "pos": pos, "tok": self.byte[flat]}))
-        for k, ids in zip(got["piece"].to_pylist(), got["ids"].to_pylist(), strict=True):
-            out[run[k]] = ids
+        ends = np.cumsum(lens)
+        pos = (np.arange(len(tok)) - np.repeat(ends - lens, lens)).astype(np.int32)
+        nxt = np.append(tok[1:], np.int32(-1))
+        nxt[ends - 1] = -1
+        got = self._ask(MERGE, start=pa.table({"piece": piece, "pos": pos, "tok": tok, "nxt": nxt}))
+        piece = got["piece"].to_numpy()
+        order = np.lexsort((got["pos"].to_numpy(), piece))
+        ids = got["tok"].to_numpy()[order].tolist()
+        at = 0
+        for k, n in zip(run, np.bincount(piece, minlength=len(run)).tolist(), strict=True):
+            out[k] = ids[at : at + n]
+            at += n
 
     def merge_long(self, piece: bytes) -> list[int]:
         """The ids of one long piece: its pairs in a heap by (rank, place), neighbours as a linked list."""
@@ -182,14 +194,14 @@ class Ranks:
                 size += len(rows[end])
                 end += 1
             lens = np.array([len(r) for r in rows[at:end]], np.int64)
-            flat = np.fromiter((i for r in rows[at:end] for i in r), np.int64, size)
+            flat = np.array(list(chain.from_iterable(rows[at:end])), np.int64)
             row = np.repeat(np.arange(at, end), lens)
             pos = np.arange(size) - np.repeat(np.cumsum(lens) - lens, lens)
             got = self._ask(DECODE, tokens=pa.table({"row": row, "pos": pos, "tok": flat}))
-            for k, text, n, known in zip(*(got[c].to_pylist() for c in ("row", "hex", "n", "known")), strict=True):
-                if n != known:
-                    raise ValueError("an id is not in the vocabulary")
-                out[k] = bytes.fromhex(text)
+            if not np.array_equal(got["n"].to_numpy(), got["known"].to_numpy()):
+                raise ValueError("an id is not in the vocabulary")
+            for k, raw in zip(got["row"].to_pylist(), got["raw"].to_pylist(), strict=True):
+                out[k] = raw
             at = end
         return out
 
