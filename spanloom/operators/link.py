@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.similarity import token_set_ratio, token_sort_ratio
+from ..functions.similarity import token_sort_ratio
+from .fuzzy import token_set_join
 
 BROADCAST_ROWS = 50_000
 VECTOR_BLOCK = 2048
@@ -51,18 +52,14 @@ def blocked(queries: DataFrame, terms: DataFrame, bar: float = 60.0) -> DataFram
 
 
 def fuzzy(queries: DataFrame, terms: DataFrame, bar: float = 78.0, most: int = 30) -> DataFrame:
-    """Of all names with a word in common, those whose token-set ratio is at least ``bar``; ``most`` names a query.
+    """Of all names those whose token-set ratio is at least ``bar``, ``most`` names a query, ties to smaller rows.
 
-    A token-set ratio over 50 takes a shared letter sequence, not a shared word; names without one that reach
-    78 are near-misspellings, which are found by sharing a letter trigram.
+    The join is exact (:mod:`spanloom.operators.fuzzy`): it equals scoring every name for every query.
     """
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
     t = terms.select("row_id", "code", "name", X.normalize_for_match(F.col("name")).alias("n"))
     q = queries.select("query_id", X.normalize_for_match(F.col("query")).alias("q"))
-    near = q.select("query_id", F.explode(grams(F.col("q"))).alias("g")).join(t.select("row_id", F.explode(grams(F.col("n"))).alias("g")), "g").select("query_id", "row_id").distinct()
-    scored = near.join(q, "query_id").join(t, "row_id").withColumn("score", token_set_ratio(F.col("q"), F.col("n"))).where(F.col("score") >= bar)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
-    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("query_id", "code", "name", "score")
+    best = token_set_join(q, t.select("row_id", "n"), bar, most)
+    return best.join(t, "row_id").select("query_id", "code", "name", "score")
 
 
 def bm25(queries: DataFrame, terms: DataFrame, most: int = 50, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
