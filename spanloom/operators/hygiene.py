@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.similarity import best_matches
+from ..functions.similarity import best_matches, longest_run_at
 
 
 def shared_table(df: DataFrame, label: str) -> DataFrame:
@@ -52,8 +52,8 @@ def reuse_ratio(docs: DataFrame, n: int) -> DataFrame:
 def reuse_pairs(docs: DataFrame, n: int = 8) -> DataFrame:
     """(a, b, shared, containment, jaccard) of all pairs of documents that share a shingle; a < b.
 
-    Exact copies meet through one representative: documents with the same text are one node here, and
-    ``copies`` of :func:`text_classes` tells which they are.
+    The number of pairs grows with the square of what a shingle's holders are: :func:`contained_pairs` and
+    :func:`nearest_documents` answer what is usually asked without listing them.
     """
     s = shingles(docs, n)
     sizes = s.groupBy("doc_id").agg(F.count("*").alias("n"))
@@ -65,6 +65,32 @@ def reuse_pairs(docs: DataFrame, n: int = 8) -> DataFrame:
     return j.select("a", "b", "shared", (F.col("shared") / F.least("na", "nb")).alias("containment"), (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
 
 
+def shared_shingles(docs: DataFrame, n: int = 8) -> DataFrame:
+    """(doc_id, n, sh): each document's number of distinct shingles and those that others hold too, rarest first."""
+    s = shingles(docs, n)
+    df = s.groupBy("sh").agg(F.count("*").alias("df"))
+    held = F.array_sort(F.collect_list(F.when(F.col("df") > 1, F.struct("df", "sh"))))
+    ranked = s.join(df, "sh").groupBy("doc_id").agg(F.count("*").alias("n"), held.alias("held")).where("size(held) > 0")
+    return shared_table(ranked.select("doc_id", "n", F.col("held.sh").alias("sh")), "shingles")
+
+
+def _contained(ranked: DataFrame, least: float, open_: DataFrame | None = None) -> DataFrame:
+    """(x, y, shared, nx, ny), nx <= ny, of ``ranked(doc_id, n, sh)`` with shared >= least * nx; one of them in ``open_``."""
+    need = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1 - (F.col("n") - F.size("sh"))
+    small = ranked.withColumn("need", need.cast("int")).where("need > 0").select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.explode(F.slice("sh", F.lit(1), F.col("need"))).alias("sh"))
+    large = ranked.select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.explode("sh").alias("sh"))
+    meet = lambda s, t: s.join(t, "sh").where("nx < ny or (nx = ny and x < y)").select("x", "y")
+    if open_ is None:
+        met = meet(small, large)
+    else:
+        own = lambda df, c: df.join(open_.select(F.col("doc_id").alias(c)), c, "left_semi")
+        met = meet(own(small, "x"), large).union(meet(small, own(large, "y")))
+    one, two = (ranked.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("sh").alias(f"s{k}")) for k in ("x", "y"))
+    shared = F.size(F.array_intersect("sx", "sy")).cast("long")
+    j = met.distinct().join(one, "x").join(two, "y").select("x", "y", shared.alias("shared"), "nx", "ny")
+    return j.where(F.col("shared") / F.col("nx") >= least)
+
+
 def contained_pairs(docs: DataFrame, least: float, n: int = 8) -> DataFrame:
     """As :func:`reuse_pairs`, but only pairs whose smaller one is contained to ``least`` or more; nothing is lost.
 
@@ -72,19 +98,27 @@ def contained_pairs(docs: DataFrame, least: float, n: int = 8) -> DataFrame:
     The order puts rare shingles first, so one that many documents hold meets only documents that have little
     else.  Shingles of one document alone stay out of the join; pairs are checked on whole sets.
     """
-    s = shingles(docs, n)
-    df = s.groupBy("sh").agg(F.count("*").alias("df"))
-    ranked = s.join(df, "sh").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("df") == 1).alias("alone"), F.array_sort(F.collect_list(F.when(F.col("df") > 1, F.struct("df", "sh")))).alias("held"))
-    need = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1 - F.col("alone")
-    ranked = shared_table(ranked.where("n > alone").select("doc_id", "n", need.cast("int").alias("need"), F.col("held.sh").alias("sh")), "shingles")
-    small = ranked.where("need > 0").select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.explode(F.slice("sh", F.lit(1), F.col("need"))).alias("sh"))
-    large = ranked.select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.explode("sh").alias("sh"))
-    met = small.join(large, "sh").where("nx < ny or (nx = ny and x < y)").select("x", "y").distinct()
-    one, two = (ranked.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("sh").alias(f"s{k}")) for k in ("x", "y"))
-    shared = F.size(F.array_intersect("sx", "sy")).cast("long")
-    j = met.join(one, "x").join(two, "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), shared.alias("shared"), "nx", "ny")
-    j = j.withColumns({"containment": F.col("shared") / F.least("nx", "ny"), "jaccard": F.col("shared") / (F.col("nx") + F.col("ny") - F.col("shared"))})
-    return j.where(F.col("containment") >= least).select("a", "b", "shared", "containment", "jaccard")
+    j = _contained(shared_shingles(docs, n), least)
+    pairs = j.withColumns({"containment": F.col("shared") / F.col("nx"), "jaccard": F.col("shared") / (F.col("nx") + F.col("ny") - F.col("shared"))})
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "shared", "containment", "jaccard")
+
+
+def longest_runs(pairs: DataFrame, docs: DataFrame, excerpt: int = 28) -> DataFrame:
+    """``pairs(a, b, ...)`` with run, run_a, run_b and excerpt: the longest run of words that both texts have.
+
+    Of several the first in ``a``, then in ``b``; run_a and run_b are its word places (-1 if there is none) and
+    ``excerpt`` its first words.  Texts meet as arrays of word hashes; a length is possible only if all shorter
+    ones are, so it is found by halving, each step one intersection of window hashes: a document that repeats a
+    word without end costs no more than any other.
+    """
+    hashed = F.coalesce(F.transform(X.word_tokens(F.col("text")), lambda w: F.xxhash64(w)), F.array().cast("array<bigint>"))
+    words = shared_table(docs.select("doc_id", hashed.alias("w")), "words")
+    side = lambda k: words.select(F.col("doc_id").alias(k), F.col("w").alias(f"w{k}"))
+    found = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("r", longest_run_at("wa", "wb")).drop("wa", "wb")
+    found = found.select(*pairs.columns, "r.run", F.col("r.a").alias("run_a"), F.col("r.b").alias("run_b"))
+    text = docs.select(F.col("doc_id").alias("a"), X.word_tokens(F.col("text")).alias("words"))
+    cut = F.when(F.col("run") > 0, F.array_join(F.slice("words", F.col("run_a") + 1, F.least("run", F.lit(excerpt))), " ")).otherwise("")
+    return found.join(text, "a").withColumn("excerpt", cut).drop("words")
 
 
 def text_classes(docs: DataFrame) -> DataFrame:
@@ -101,6 +135,59 @@ def nearest(pairs: DataFrame, strong: float = 0.30, least: int = 40) -> DataFram
     return both.groupBy("doc_id").agg(best.alias("m"), F.count_if((F.col("containment") >= strong) & (F.col("shared") >= least)).alias("n_strong")).select("doc_id", "m.other", (-F.col("m.c")).alias("containment"), "n_strong")
 
 
+def nearest_documents(docs: DataFrame, n: int = 8, strong: float = 0.30, least: int = 40, low: float = 0.10) -> DataFrame:
+    """(doc_id, other, containment, n_strong): as :func:`nearest` of :func:`reuse_pairs`, without listing the pairs.
+
+    Documents with the same number of shingles and the same shared ones are one class, for they are contained in
+    any other alike; a class is its size and its two smallest ids.  A line that a third of all documents holds
+    thus meets as many classes as there are sizes.  Classes meet in falling thresholds: at ``strong`` by prefixes
+    (which also counts strong partners), then at ``low``, for classes whose best isn't found yet; only what is
+    left meets on all shared shingles.  A best at or over a threshold beats all that the round leaves out.
+    """
+    ranked = shared_shingles(docs, n)
+    ids = F.array_sort(F.collect_list("doc_id"))
+    first, keys = Window.partitionBy("n", "sh").orderBy("doc_id"), ["n", "sh"]
+    two = ranked.withColumn("nth", F.row_number().over(first)).where("nth <= 2").groupBy(*keys).agg(ids.alias("ids"))
+    classes = two.join(ranked.groupBy(*keys).agg(F.count("*").alias("size")), keys).select(F.element_at("ids", 1).alias("doc_id"), "n", "sh", "ids", "size")
+    classes = shared_table(classes, "classes")
+    about = classes.select("doc_id", "ids", "size")
+    inner = classes.where("size > 1").select(F.col("doc_id").alias("x"), F.col("doc_id").alias("y"), F.size("sh").cast("long").alias("shared"), F.col("n").alias("nx"), F.col("n").alias("ny"))
+
+    def sides(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("x").alias("k"), F.col("y").alias("o"), "shared", (F.col("shared") / F.col("nx")).alias("c")).union(pairs.where("x <> y").select("y", "x", "shared", F.col("shared") / F.col("nx")))
+
+    def bests(both: DataFrame) -> DataFrame:
+        """(k, best): of each class the largest containment, and of classes with it the two smallest ids."""
+        top = both.groupBy("k").agg(F.max("c").alias("c"))
+        tied = both.join(top, ["k", "c"]).join(about.select(F.col("doc_id").alias("o"), F.col("ids").alias("o_ids")), "o")
+        w = Window.partitionBy("k", "c").orderBy("id")
+        return tied.select("k", "c", F.explode("o_ids").alias("id")).distinct().withColumn("nth", F.row_number().over(w)).where("nth <= 3").groupBy("k", "c").agg(F.array_sort(F.collect_list("id")).alias("best"))
+
+    pairs = shared_table(sides(_contained(classes, strong).union(inner.where(F.col("shared") / F.col("nx") >= strong))), "strong")
+    held = pairs.where(F.col("shared") >= least).join(about.select(F.col("doc_id").alias("o"), "size"), "o")
+    counted = held.groupBy("k").agg(F.sum(F.col("size") - F.when(F.col("k") == F.col("o"), 1).otherwise(0)).alias("n_strong"))
+    known = shared_table(bests(pairs), "best")
+    for bar in (low, None):
+        left = classes.join(known.select(F.col("k").alias("doc_id")), "doc_id", "left_anti")
+        if left.isEmpty():
+            break
+        inside = inner.join(left.select(F.col("doc_id").alias("x")), "x", "left_semi").select("x", "y", "shared", "nx", "ny")
+        if bar is not None:
+            found = _contained(classes, bar, left).union(inside.where(F.col("shared") / F.col("nx") >= bar))
+        else:
+            own, other = (df.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.explode("sh").alias("sh")) for df, k in ((left, "p"), (classes, "q")))
+            met = own.join(other, "sh").where("p <> q").groupBy("p", "q", "n_p", "n_q").agg(F.count("*").alias("shared"))
+            small = F.col("n_p") <= F.col("n_q")
+            met = met.select(F.when(small, F.col("p")).otherwise(F.col("q")).alias("x"), F.when(small, F.col("q")).otherwise(F.col("p")).alias("y"), "shared", F.least("n_p", "n_q").alias("nx"), F.greatest("n_p", "n_q").alias("ny"))
+            found = met.union(inside).distinct()
+        fresh = sides(found).join(left.select(F.col("doc_id").alias("k")), "k", "left_semi").select("k", "o", "shared", "c")
+        known = shared_table(known.union(bests(fresh)), "best")
+    member = ranked.join(classes.select(F.col("doc_id").alias("k"), *keys), keys).select("doc_id", "k")
+    out = member.join(known, "k").join(counted, "k", "left")
+    other = F.element_at(F.filter("best", lambda x: x != F.col("doc_id")), 1)
+    return out.select("doc_id", other.alias("other"), F.col("c").alias("containment"), F.coalesce("n_strong", F.lit(0)).cast("long").alias("n_strong"))
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(doc_id, component) for the nodes of ``edges(a, b)``: the smallest id each can reach.
 

@@ -42,9 +42,16 @@ def reuse_pairs(spark, d):
     return H.contained_pairs(_distinct_docs(spark, d), 0.45).select("a", "b", "shared", F.round("containment", 6).alias("containment"), F.round("jaccard", 6).alias("jaccard"))
 
 
+def reuse_runs(spark, d):
+    """Reused pairs with their longest common run of words, as digests of the excerpts."""
+    docs = _distinct_docs(spark, d)
+    pairs = H.contained_pairs(docs, 0.12).where("shared >= 40").select("a", "b", "shared", F.round("containment", 6).alias("containment"))
+    return H.longest_runs(pairs, docs).select("a", "b", "shared", "containment", "run", "run_a", F.md5("excerpt").alias("excerpt_md5"))
+
+
 def nearest_doc(spark, d):
     """For every document the nearest other text, by the smallest id that has it; copies share their class's row."""
-    near = H.nearest(H.reuse_pairs(_distinct_docs(spark, d))).withColumnRenamed("doc_id", "class_id")
+    near = H.nearest_documents(_distinct_docs(spark, d)).withColumnRenamed("doc_id", "class_id")
     return H.text_classes(_docs(spark, d)).join(near, "class_id").select("doc_id", "class_id", "other", F.round("containment", 6).alias("containment"), "n_strong")
 
 
@@ -118,7 +125,7 @@ def composed_drugs(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        ngram13_leakage, lcs_leakage, reuse_ratio, text_classes, reuse_pairs, nearest_doc, reuse_components, repeated_lines, repeats_within, trigram_dedup, qa_overlap,
+        ngram13_leakage, lcs_leakage, reuse_ratio, text_classes, reuse_pairs, reuse_runs, nearest_doc, reuse_components, repeated_lines, repeats_within, trigram_dedup, qa_overlap,
         set_cover, mined_frames, drug_catalog, weighted_frames, template_docs, mix_ratio, composed_drugs,
     )
 }
@@ -150,6 +157,15 @@ ORACLE_SQL = {
     "reuse_ratio": f"WITH s AS ({_grams('documents', 'doc_id', 7)}), f AS (SELECT sh FROM s GROUP BY sh HAVING count(*) > 1) SELECT doc_id, count(*) AS n_shingles, count(f.sh) AS n_reused, round(count(f.sh) / count(*), 6) AS ratio FROM s LEFT JOIN f USING (sh) GROUP BY doc_id",
     "text_classes": f"WITH {_CLASSES} SELECT * FROM classes",
     "reuse_pairs": f"WITH {_PAIRS} SELECT a, b, shared, round(containment, 6) AS containment, round(jaccard, 6) AS jaccard FROM pairs WHERE containment >= 0.45",
+    "reuse_runs": f"""WITH {_PAIRS}, k AS (SELECT * FROM pairs WHERE shared >= 40 AND containment >= 0.12),
+w AS (SELECT doc_id, {_TOK} AS ws FROM documents),
+g AS (SELECT doc_id, i, hash(array_to_string(ws[i:i + 7], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 6, 1))) AS i FROM w WHERE len(ws) >= 8)),
+m AS (SELECT k.a, k.b, x.i, y.i AS j FROM k JOIN g x ON x.doc_id = k.a JOIN g y ON y.doc_id = k.b AND y.h = x.h),
+o AS (SELECT *, i - row_number() OVER (PARTITION BY a, b, i - j ORDER BY i) AS island FROM m),
+r AS (SELECT a, b, i - j AS d, island, min(i) AS i, count(*) + 7 AS run FROM o GROUP BY ALL),
+f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY run DESC, i, d DESC) = 1)
+SELECT f.a, f.b, shared, round(containment, 6) AS containment, run::INTEGER AS run, (i - 1)::INTEGER AS run_a, md5(array_to_string(ws[i:i + least(run, 28) - 1], ' ')) AS excerpt_md5
+FROM f JOIN k ON k.a = f.a AND k.b = f.b JOIN w ON w.doc_id = f.a""",
     "nearest_doc": f"""WITH {_PAIRS}, u AS (SELECT a AS doc_id, b AS other, shared, containment FROM pairs UNION ALL SELECT b, a, shared, containment FROM pairs),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY containment DESC, other) AS n, count(*) FILTER (WHERE containment >= 0.3 AND shared >= 40) OVER (PARTITION BY doc_id) AS n_strong FROM u)
 SELECT c.doc_id, class_id, other, round(containment, 6) AS containment, n_strong FROM classes c JOIN r ON r.doc_id = class_id WHERE n = 1""",
