@@ -6,12 +6,16 @@ experiment) are given as ``keys``, of which the last is the document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.lexicon import ASSERTION_TYPES, CODE_TYPES
 from ..functions.similarity import word_levenshtein
+from .hygiene import shared_table
 
 
 def _pairs(gold: DataFrame, pred: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -20,6 +24,57 @@ def _pairs(gold: DataFrame, pred: DataFrame, keys: list[str]) -> tuple[DataFrame
     return g, p
 
 
+def _buckets(start: str, end: str) -> Column:
+    """The 64-character buckets that a span touches, one a row."""
+    return F.explode(F.sequence(F.floor(F.col(start) / 64), F.floor(F.greatest(F.col(end) - 1, F.col(start)) / 64))).alias("bucket")
+
+
+def dominant(edges: DataFrame, keys: list[str], *order: Column, rounds: int = 2) -> DataFrame:
+    """(*keys, gi, pi): what taking ``edges(*keys, gi, pi, ...)`` in ``order`` gives if no end is used twice.
+
+    An edge that comes first at both its ends is taken whatever the others are, and all that touch it go.  Such
+    rounds are windows by one end each, so a document with very many edges isn't one task's, and most documents
+    are done after the first.  Edges may hang together in chains that only their order settles, one edge a
+    round: what is left after ``rounds`` goes on sorted by document, with the ends taken so far at hand.
+    """
+    left = edges.select(*keys, F.col("gi").cast("long").alias("gi"), F.col("pi").cast("long").alias("pi"), F.struct(*order).alias("o"))
+    taken = None
+    for _ in range(rounds):
+        g, p = Window.partitionBy(*keys, "gi"), Window.partitionBy(*keys, "pi")
+        best = left.withColumn("og", F.min("o").over(g)).withColumn("op", F.min("o").over(p)).withColumn("hit", (F.col("o") == F.col("og")) & (F.col("o") == F.col("op")))
+        # A taken edge is the first of its end, so an edge touches one if the first of one of its ends is taken.
+        marked = best.withColumn("gone", F.max("hit").over(p)).withColumn("gone", F.col("gone") | F.max("hit").over(g))
+        marked = shared_table(marked.where("hit or not gone").select(*keys, "gi", "pi", "o", "hit"), "edges")
+        won, left = marked.where("hit").select(*keys, "gi", "pi"), marked.where("not hit").drop("hit")
+        taken = won if taken is None else taken.union(won)
+        if left.isEmpty():
+            return taken
+    rest = _in_order(left, keys)
+    return rest if taken is None else taken.union(rest)
+
+
+def _in_order(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """The ordered fold, as a stream over edges sorted by document; only the ends taken in one document are held."""
+    n = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, gs, ps = None, set(), set()
+        for batch in batches:
+            kept = []
+            for i, (*own, g, p) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if own != key:
+                    key, gs, ps = own, set(), set()
+                if g not in gs and p not in ps:
+                    gs.add(g)
+                    ps.add(p)
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int32()))
+
+    dealt = edges.repartition(*keys).sortWithinPartitions(*keys, "o").select(*keys, "gi", "pi")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields[:n])
+    return dealt.mapInArrow(run, f"{fields}, gi long, pi long")
+
+
 def greedy_match(gold: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
     """(*keys, gi, pi): one-to-one pairs of one type, best first: 2 for equal text, else overlap over one half.
 
@@ -29,18 +84,10 @@ def greedy_match(gold: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame
     g, p = _pairs(gold, pred, keys)
     same = g.withColumn("norm", X.normalize_for_match(F.col("g_text"))).join(p.withColumn("norm", X.normalize_for_match(F.col("p_text"))), [*keys, "norm"])
     same = same.where("g_type = p_type").select(*keys, F.col("g_idx").alias("gi"), F.col("p_idx").alias("pi"), F.lit(2.0).alias("s"))
-    buckets = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / 64), F.floor(F.greatest(F.col(e) - 1, F.col(s)) / 64))).alias("bucket")
-    near = g.select("*", buckets("g_start", "g_end")).join(p.select("*", buckets("p_start", "p_end")), [*keys, "bucket"])
+    near = g.select("*", _buckets("g_start", "g_end")).join(p.select("*", _buckets("p_start", "p_end")), [*keys, "bucket"])
     near = near.where("g_type = p_type").select(*keys, F.col("g_idx").alias("gi"), F.col("p_idx").alias("pi"), X.iou(F.col("g_start"), F.col("g_end"), F.col("p_start"), F.col("p_end")).alias("s")).where("s > 0.5")
     edges = same.union(near).groupBy(*keys, "gi", "pi").agg(F.max("s").alias("s"))
-    ordered = edges.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("s", "pi", "gi")), asc=False).alias("es"))
-    empty = F.expr("cast(array() as array<struct<pi:bigint,gi:bigint>>)")
-
-    def step(acc: Column, e: Column) -> Column:
-        one = F.struct(e["pi"].cast("long").alias("pi"), e["gi"].cast("long").alias("gi"))
-        return F.when(F.exists(acc, lambda a: (a["pi"] == e["pi"]) | (a["gi"] == e["gi"])), acc).otherwise(F.array_append(acc, one))
-
-    return ordered.select(*keys, F.inline(F.aggregate("es", empty, step))).select(*keys, "gi", "pi")
+    return dominant(edges, keys, -F.col("s"), -F.col("pi"), -F.col("gi"))
 
 
 def paired(gold: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
@@ -96,17 +143,9 @@ def max_overlap(gold: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
     """(*keys, gi, pi): gold spans in order take, of the unused predictions of any type, the one they overlap most."""
     g, p = _pairs(gold, pred, keys)
     inter = F.least("g_end", "p_end") - F.greatest("g_start", "p_start")
-    buckets = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / 64), F.floor(F.greatest(F.col(e) - 1, F.col(s)) / 64))).alias("bucket")
-    near = g.select("*", buckets("g_start", "g_end")).join(p.select("*", buckets("p_start", "p_end")), [*keys, "bucket"])
-    edges = near.select(*keys, "g_idx", "p_idx", inter.alias("o")).where("o > 0").distinct()
-    ordered = edges.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("g_idx").alias("gi"), (-F.col("o")).alias("o"), F.col("p_idx").alias("pi")))).alias("es"))
-    empty = F.expr("cast(array() as array<struct<pi:bigint,gi:bigint>>)")
-
-    def step(acc: Column, e: Column) -> Column:
-        one = F.struct(e["pi"].cast("long").alias("pi"), e["gi"].cast("long").alias("gi"))
-        return F.when(F.exists(acc, lambda a: (a["pi"] == e["pi"]) | (a["gi"] == e["gi"])), acc).otherwise(F.array_append(acc, one))
-
-    return ordered.select(*keys, F.inline(F.aggregate("es", empty, step))).select(*keys, "gi", "pi")
+    near = g.select("*", _buckets("g_start", "g_end")).join(p.select("*", _buckets("p_start", "p_end")), [*keys, "bucket"])
+    edges = near.select(*keys, F.col("g_idx").alias("gi"), F.col("p_idx").alias("pi"), inter.alias("o")).where("o > 0").distinct()
+    return dominant(edges, keys, F.col("gi"), -F.col("o"), F.col("pi"))
 
 
 def diagnose(gold: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
@@ -160,8 +199,6 @@ def token_confusion(tags: DataFrame) -> DataFrame:
 
 def numbered_tuples(tags: DataFrame, with_words: bool = True, dummy: str = "dum") -> DataFrame:
     """(sent_id, tag, word, nth): a sentence's tagged words, the n-th repeat of each told apart."""
-    from pyspark.sql import Window
-
     bare = F.regexp_replace("tag", "^[BI]-", "")
     t = tags.where(~F.col("tag").isin("0", "O", dummy)).select("sent_id", "pos", bare.alias("tag"), (F.col("word") if with_words else F.lit("dummy")).alias("word"))
     nth = F.row_number().over(Window.partitionBy("sent_id", "tag", "word").orderBy("pos")) - 1
