@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sweep import sweep as sweep
+from .tables import LocateInOrder, PlaceLongestFirst
+
 
 def bio_decode(tags: DataFrame, zero_width: Column | None = None) -> DataFrame:
     """(doc_id, type, start, end, conf) from ``tags(doc_id, pos, ts, te, tag, prob)``.
@@ -115,77 +118,21 @@ def mask_entities(tags: DataFrame, share: float, seed: int, mask: str = "[MASK]"
 def locate_in_order(items: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, k, start, end, error) of ordered items (doc_id, k, item, after, occ), found from a moving cursor.
 
-    ``after`` moves the cursor behind an anchor; ``occ`` takes the n-th occurrence; what isn't found ahead is
-    looked for in the whole text.  Order matters within a document, so each is one fold, in Arrow batches.
+    A document's text and its items are one partition of :class:`~spanloom.operators.tables.LocateInOrder`.
     """
-    import pandas as pd
-
-    def fold(key, own: pd.DataFrame) -> pd.DataFrame:
-        raw, cursor, out = own["raw"].iloc[0], 0, []
-        for r in own.sort_values("k").itertuples():
-            if isinstance(r.after, str) and r.after:
-                at = raw.find(r.after)
-                cursor = at + len(r.after) if at >= 0 else cursor
-            n = int(r.occ) if r.occ == r.occ and r.occ else 1
-            at = cursor - 1
-            for _ in range(n):
-                at = raw.find(r.item, at + 1)
-                if at < 0:
-                    break
-            if at < 0:
-                at = raw.find(r.item)
-            if at >= 0:
-                cursor = at + len(r.item)
-            out.append((r.doc_id, r.k, at, at + len(r.item) if at >= 0 else -1, at < 0))
-        return pd.DataFrame(out, columns=["doc_id", "k", "start", "end", "error"])
-
-    joined = items.select("doc_id", "k", "item", "after", "occ").join(docs.select("doc_id", F.col("text").alias("raw")), "doc_id")
-    return joined.groupBy("doc_id").applyInPandas(fold, "doc_id long, k long, start long, end long, error boolean")
+    asked = items.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("k").cast("long").alias("k"), "item", "after", F.col("occ").cast("int").alias("occ"))
+    text = docs.join(items.select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = asked.join(docs.select("doc_id"), "doc_id", "left_semi").unionByName(text, allowMissingColumns=True)
+    return LocateInOrder(rows.asTable().partitionBy("doc_id").orderBy(F.col("k").asc_nulls_first()))
 
 
 def locate_longest_first(phrases: DataFrame, docs: DataFrame, least: float = 0.6) -> DataFrame:
     """(doc_id, phrase, start, end): planned phrases placed longest first, each where it first fits beside the others.
 
-    Documents where fewer than ``least`` of their phrases are found give none.
+    Documents where fewer than ``least`` of their phrases are found give none.  A document's text and its phrases are
+    one partition of :class:`~spanloom.operators.tables.PlaceLongestFirst`.
     """
-    import pandas as pd
-
-    def fold(key, own: pd.DataFrame) -> pd.DataFrame:
-        raw, taken, out = own["raw"].iloc[0], [], []
-        low = raw.lower()
-        for p in sorted(own["phrase"], key=lambda x: (-len(x), x)):
-            at = low.find(p.lower())
-            while at >= 0 and any(at < e and at + len(p) > s for s, e in taken):
-                at = low.find(p.lower(), at + 1)
-            if at >= 0:
-                taken.append((at, at + len(p)))
-                out.append((own["doc_id"].iloc[0], p, at, at + len(p)))
-        found = out if len(out) >= least * len(own) else []
-        return pd.DataFrame(sorted(found, key=lambda x: x[2]), columns=["doc_id", "phrase", "start", "end"])
-
-    joined = phrases.select("doc_id", "phrase").join(docs.select("doc_id", F.col("text").alias("raw")), "doc_id")
-    return joined.groupBy("doc_id").applyInPandas(fold, "doc_id long, phrase string, start long, end long")
-
-
-def sweep(docs: DataFrame, phrases: list[str], occupied: DataFrame | None = None) -> DataFrame:
-    """(doc_id, start, end, text): whole-word hits of a phrase list, longest first, off occupied places.
-
-    The list is a parameter (a vocabulary dimension); hits are found in Arrow batches by one alternation.
-    """
-    import re
-
-    import pandas as pd
-
-    alternatives = "|".join(re.escape(p) for p in sorted(phrases, key=lambda x: (-len(x), x)))
-    pattern = re.compile(rf"(?<!\w)(?:{alternatives})(?!\w)", re.I)
-
-    def find(batches):
-        for pdf in batches:
-            rows = [(d, m.start(), m.end(), m.group()) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for m in pattern.finditer(t or "")]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "text"])
-
-    hits = docs.select("doc_id", "text").mapInPandas(find, "doc_id long, start long, end long, text string")
-    if occupied is None:
-        return hits
-    o = occupied.select(F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("end").alias("e"))
-    return hits.join(o, (F.col("doc_id") == F.col("d")) & (F.col("start") < F.col("e")) & (F.col("end") > F.col("s")), "left_anti")
+    asked = phrases.where("phrase is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "phrase", (-F.length("phrase")).alias("shorter"))
+    text = docs.join(phrases.select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = asked.join(docs.select("doc_id"), "doc_id", "left_semi").unionByName(text, allowMissingColumns=True)
+    return PlaceLongestFirst(rows.asTable().partitionBy("doc_id").orderBy(F.col("shorter").asc_nulls_first(), "phrase"), F.lit(float(least)))
