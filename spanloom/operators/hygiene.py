@@ -10,7 +10,7 @@ import re
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -35,8 +35,15 @@ def ensure_folder(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared or f"/tmp/spanloom-checkpoints/{uuid.uuid4().hex}")
 
 
+def composed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with composed text: marks joined to their letters.  Only rows that hold marks leave the JVM."""
+    marked = F.coalesce(F.col(text).rlike(r"\p{M}"), F.lit(False))
+    return docs.where(~marked).unionByName(docs.where(marked).withColumn(text, X.nfc(F.col(text))))
+
+
 def shingles(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, sh): the distinct n-word shingles of each document, hashed."""
+    """(key, sh): the distinct n-word shingles of each document's composed text, hashed."""
+    docs = composed(docs.select(key, text), text)
     grams = F.array_distinct(F.transform(X.ngrams(X.word_tokens(F.col(text)), n), lambda g: F.xxhash64(g)))
     return docs.select(key, F.explode(grams).alias("sh"))
 
@@ -111,6 +118,7 @@ def longest_runs(pairs: DataFrame, docs: DataFrame, excerpt: int = 28) -> DataFr
     ones are, so it is found by halving, each step one intersection of window hashes: a document that repeats a
     word without end costs no more than any other.
     """
+    docs = composed(docs.select("doc_id", "text"))
     hashed = F.coalesce(F.transform(X.word_tokens(F.col("text")), lambda w: F.xxhash64(w)), F.array().cast("array<bigint>"))
     words = shared_table(docs.select("doc_id", hashed.alias("w")), "words")
     side = lambda k: words.select(F.col("doc_id").alias(k), F.col("w").alias(f"w{k}"))
@@ -342,18 +350,3 @@ def set_cover(features: DataFrame, docs: DataFrame, names: list[str], rare: list
         more = rest.orderBy(F.desc("n_all"), "chars", "doc_id").limit(target - len(picks)).collect()
         picks += [(len(picks) + k, r["doc_id"], 0) for k, r in enumerate(more)]
     return features.sparkSession.createDataFrame(picks, "round int, doc_id long, gain long")
-
-
-def at_least(column: Column, *bars: float) -> list[Column]:
-    """Counts of rows at or over each bar."""
-    return [F.count_if(column >= b).alias(f"ge_{str(b).replace('.', '_')}") for b in bars]
-
-
-def upper_median(column: Column) -> Column:
-    """The element at place n // 2 of the sorted values."""
-    return F.element_at(F.array_sort(F.collect_list(column)), (F.floor(F.count(column) / 2) + 1).cast("int"))
-
-
-def cross_rank(df: DataFrame, key: str, value: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.desc(value))
-    return df.withColumn("rank", F.row_number().over(w) - 1)

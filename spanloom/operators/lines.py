@@ -117,10 +117,6 @@ def newline_pieces(spans: DataFrame) -> DataFrame:
     return flat.select(*rest, start.alias("start"), (start + F.length(kept)).alias("end"), kept.alias("text")).where("text <> ''")
 
 
-def has_cue(column: Column, pattern: str) -> Column:
-    return column.rlike(FLAGS + pattern)
-
-
 def sections(lines_: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``lines_`` with header (struct), label, top and sub carried forward per document.
 

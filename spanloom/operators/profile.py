@@ -331,10 +331,10 @@ def genre_combinations(structured: DataFrame) -> DataFrame:
     return structured.groupBy(F.when(g == "", "unclassified").otherwise(g).alias("genres")).agg(F.count("*").alias("n"))
 
 
-def files_where(structured: DataFrame, flag: str) -> DataFrame:
-    """(n, doc_ids) of the rows that satisfy a flag."""
-    hit = structured.where(F.col(flag))
-    return hit.agg(F.count("*").alias("n"), F.array_sort(F.collect_list("doc_id")).alias("doc_ids"))
+def files_where(structured: DataFrame, *flags: str) -> DataFrame:
+    """(flag, doc_id): the documents that satisfy each flag, a row each."""
+    held = F.array(*[F.when(F.col(f), F.lit(f)) for f in flags])
+    return structured.select(F.explode(held).alias("flag"), "doc_id").where("flag is not null")
 
 
 def summary(structured: DataFrame, columns: list[str]) -> DataFrame:

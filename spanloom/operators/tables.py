@@ -43,8 +43,9 @@ class SplitItems:
 class LocateInOrder:
     """Places of a document's items (doc_id, k, item, after, occ), found from a moving cursor.
 
-    The document's text comes first, as a row whose k is null.  ``after`` moves the cursor behind an anchor, ``occ``
-    takes the n-th occurrence, and what isn't found ahead is looked for in the whole text.
+    The document's text comes first, as a row whose k is null.  An item is looked for behind the one before, or
+    behind the first place of ``after`` if that is in the text, and if it isn't found there, in the whole text.
+    ``occ`` takes the n-th occurrence in the whole text instead.  Only what is found moves the cursor.
     """
 
     def __init__(self):
@@ -54,17 +55,19 @@ class LocateInOrder:
         if row["k"] is None:
             self.text = row["text"] or ""
             return
-        item = row["item"] or ""
+        item, start, at = row["item"] or "", self.cursor, -1
         if row["after"]:
-            at = self.text.find(row["after"])
-            self.cursor = at + len(row["after"]) if at >= 0 else self.cursor
-        at = self.cursor - 1
-        for _ in range(int(row["occ"] or 1)):
-            at = self.text.find(item, at + 1)
+            anchor = self.text.find(row["after"])
+            start = anchor + len(row["after"]) if anchor >= 0 else start
+        if row["occ"]:
+            for _ in range(int(row["occ"])):
+                at = self.text.find(item, at + 1)
+                if at < 0:
+                    break
+        else:
+            at = self.text.find(item, start)
             if at < 0:
-                break
-        if at < 0:
-            at = self.text.find(item)
+                at = self.text.find(item)
         if at >= 0:
             self.cursor = at + len(item)
         yield row["doc_id"], row["k"], at, at + len(item) if at >= 0 else -1, at < 0

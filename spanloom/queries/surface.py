@@ -22,7 +22,7 @@ def sql_locate(spark, d):
     return spark.sql(
         """
         WITH asked AS (
-            SELECT doc_id, cast(line_no AS BIGINT) AS k, element_at(split(line, ' '), -1) AS item, cast(null AS STRING) AS after, 1 AS occ, cast(null AS STRING) AS text FROM {lines} WHERE line <> '' AND line NOT LIKE '% '
+            SELECT doc_id, cast(line_no AS BIGINT) AS k, element_at(split(line, ' '), -1) AS item, cast(null AS STRING) AS after, cast(null AS INT) AS occ, cast(null AS STRING) AS text FROM {lines} WHERE line <> '' AND line NOT LIKE '% '
             UNION ALL SELECT doc_id, null, null, null, null, text FROM {docs}
         ) SELECT * FROM span_locate(TABLE(asked) PARTITION BY doc_id ORDER BY k NULLS FIRST)
         """,

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 import zipfile
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,9 +56,29 @@ def concept_json(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     return spans.groupBy(key).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", one.alias("c")))), lambda x: x["c"])).alias("json"))
 
 
-def write_concepts(spans: DataFrame, path: str, key: str = "doc_id") -> None:
-    """A folder for each document (``key=...``), each with its JSON line."""
-    concept_json(spans, key).write.partitionBy(key).mode("overwrite").text(path)
+def write_concepts(spans: DataFrame, path: str, key: str = "doc_id", docs: DataFrame | None = None) -> int:
+    """A file ``<key>.json`` in ``path`` for each document, written by the tasks; how many there are.
+
+    With ``docs``, documents without concepts get an empty list.  A file is written beside its place and moved there,
+    so a task that runs again leaves the same.  ``path`` is local or of a store that Arrow can open (hdfs, s3, gs).
+    """
+    told = concept_json(spans, key)
+    if docs is not None:
+        told = docs.select(key).distinct().join(told, key, "left").fillna("[]", ["json"])
+
+    def write(batches):
+        fs, root = FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), path)
+        fs.create_dir(root, recursive=True)
+        for batch in batches:
+            for stem, json in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                place = f"{root}/{stem}.json"
+                draft = f"{place}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(draft) as f:
+                    f.write(json.encode())
+                fs.move(draft, place)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return told.select(F.col(key).cast("string"), "json").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -87,11 +110,6 @@ def read_terminology(spark: SparkSession, path: str, vocabulary: str = "RXNORM")
     return raw.where(F.col("sab") == vocabulary).select(*CONSO_KEPT)
 
 
-def load_table(df: DataFrame, path: str) -> None:
-    """Truncate, then load."""
-    df.write.mode("overwrite").parquet(path)
-
-
 def clean_cells(df: DataFrame) -> DataFrame:
     """Nulls as empty strings, white space collapsed."""
     return df.select(*[F.coalesce(F.trim(F.regexp_replace(F.col(f"`{c}`").cast("string"), r"(?U)\s+", " ")), F.lit("")).alias(c) for c in df.columns])
@@ -117,12 +135,3 @@ def package(df: DataFrame, target: str, stem: str = "stem", json: str = "json")
             z.writestr(f"output/{r[stem]}.json", r[json])
             n += 1
     return n
-
-
-def vectors_once(spark: SparkSession, path: str, build) -> DataFrame:
-    """A table at ``path``, built on first use."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        build().write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
