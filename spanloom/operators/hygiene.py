@@ -241,29 +241,41 @@ def leakage(docs: DataFrame, items: DataFrame, n: int = 13) -> DataFrame:
     return hits.groupBy("doc_id").agg(F.count("*").alias("n_hits"), F.count_distinct("item_id").alias("n_items"))
 
 
-def lcs_leakage(docs: DataFrame, items: DataFrame) -> DataFrame:
+ITEM_WORDS = 200_000
+
+
+def lcs_leakage(docs: DataFrame, items: DataFrame, block_words: int = ITEM_WORDS) -> DataFrame:
     """(item_id, best, longest_run): over all documents, the largest LCS ratio and the longest common run of words.
 
-    Every item meets every document: the items, a test set, are shipped to the documents, which are read once.
-    Words are bits of a mask and documents are worked side by side.  Of a document the LCS reads up to three
-    times the item's words, the run reads all.  An item without words, or with none in common, has 0 and 0.
+    Every item meets every document.  Items, a test set, are dealt by hash into blocks of about ``block_words`` words
+    (counted first), so what is on the driver and shipped at a time is bounded; each block is one pass over the
+    documents, and all are one job.  Words are bits of a mask and documents are worked side by side.  Of a document
+    the LCS reads up to three times the item's words, the run reads all.  An item without words, or with none in
+    common, has 0 and 0.
     """
+    spark = docs.sparkSession
     hashes = lambda: F.coalesce(F.transform(X.word_tokens(F.col("text")), lambda w: F.xxhash64(w)), F.array().cast("array<bigint>"))
-    own = [(r["item_id"], r["w"]) for r in items.select("item_id", hashes().alias("w")).distinct().collect()]
-    shared = docs.sparkSession.sparkContext.broadcast([w for _, w in own])
-
-    def run(batches):
-        found = None
-        for batch in batches:
-            col = batch.column(0)
-            found = best_matches(shared.value, col.flatten().to_numpy(), col.value_lengths().to_numpy(), found)
-        if found is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(found))), pa.array([x for x, _ in found]), pa.array([y for _, y in found])], names=["k", "lcs", "run"])
-
-    seen = docs.select(hashes().alias("d")).mapInArrow(run, "k long, lcs long, run long").groupBy("k").agg(F.max("lcs").alias("lcs"), F.max("run").alias("run"))
-    key = items.schema["item_id"].dataType.simpleString()
-    named = items.sparkSession.createDataFrame([(k, i, len(w)) for k, (i, w) in enumerate(own)], f"k long, item_id {key}, n long")
-    joined = named.join(seen, "k", "left").withColumn("r", F.when(F.col("n") > 0, F.coalesce("lcs", F.lit(0)) / F.col("n")).otherwise(0.0))
+    own = shared_table(items.select("item_id", hashes().alias("w")).distinct().withColumn("k", F.xxhash64("item_id", "w")), "items")
+    many = max(1, -(-(own.agg(F.coalesce(F.sum(F.size("w") + 1), F.lit(0))).first()[0]) // block_words))
+    read = docs.select(hashes().alias("d"))
+    seen = None
+    for block in range(many):
+        held = own.where(F.pmod("k", F.lit(many)) == block).select("k", "w").collect()
+        shared = spark.sparkContext.broadcast(([r["k"] for r in held], [r["w"] for r in held]))
+
+        def run(batches, shared=shared):
+            found = None
+            for batch in batches:
+                col = batch.column(0)
+                found = best_matches(shared.value[1], col.flatten().to_numpy(), col.value_lengths().to_numpy(), found)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(shared.value[0], pa.int64()), pa.array([x for x, _ in found]), pa.array([y for _, y in found])], names=["k", "lcs", "run"])
+
+        one = read.mapInArrow(run, "k long, lcs long, run long")
+        seen = one if seen is None else seen.union(one)
+    best = seen.groupBy("k").agg(F.max("lcs").alias("lcs"), F.max("run").alias("run"))
+    n = F.size("w")
+    joined = own.join(best, "k", "left").withColumn("r", F.when(n > 0, F.coalesce("lcs", F.lit(0)) / F.when(n > 0, n).otherwise(1)).otherwise(0.0))
     return joined.groupBy("item_id").agg(F.max("r").alias("best"), F.max(F.coalesce("run", F.lit(0))).cast("int").alias("longest_run"))
 
 

@@ -2,7 +2,7 @@
 
 Candidates are rows (query_id, code, name, score); a terminology is (row_id, code, name).  Every retrieval has
 an equi-join at its core (name, head token, shared token, or vector block); only what that join leaves is
-scored.  A side is broadcast only if it has at most ``BROADCAST_ROWS`` rows, counted first.
+scored.  A side is broadcast only if it has at most ``BROADCAST_BYTES`` bytes, summed up first.
 """
 
 from __future__ import annotations
@@ -11,20 +11,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from ..functions import text as X
 from ..functions.similarity import token_sort_ratio
 from .fuzzy import token_set_join
+from .hygiene import shared_table
 
-BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 8 << 20
 VECTOR_BLOCK = 2048
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if a count bounds it; as it is otherwise."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """``df`` with a broadcast hint if its rows, as written out, are of bounded size; as it is otherwise.
+
+    The size is summed over all rows (strings as UTF-8), so wide rows count for what they are.
+    """
+    size = sum((F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0)) for f in df.schema if not isinstance(f.dataType, (ArrayType, MapType, StructType))), F.lit(16))
+    size += sum((F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0)) for f in df.schema if isinstance(f.dataType, (ArrayType, MapType, StructType))), F.lit(0))
+    return F.broadcast(df) if df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] <= BROADCAST_BYTES else df
 
 
 def top_k(candidates: DataFrame, k: int, *order) -> DataFrame:
@@ -88,12 +96,14 @@ def dense(queries: DataFrame, terms: DataFrame, most: int = 50, bar: float = -2.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
             for s in range(0, batch.num_rows, VECTOR_BLOCK):
-                part = batch.slice(s, VECTOR_BLOCK)
-                ids = np.asarray(part.column(0).cast(pa.int64()))
-                mat = np.array(part.column(1).to_pylist(), np.float64).reshape(len(ids), -1)
-                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([mat.tobytes()], pa.binary())], names=["ids", "mat"])
+                own = batch.slice(s, VECTOR_BLOCK)
+                ids = np.asarray(own.column(0).cast(pa.int64()))
+                mat = np.array(own.column(1).to_pylist(), np.float64).reshape(len(ids), -1)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([mat.tobytes()], pa.binary())], names=["part", "seq", "ids", "mat"])
+                seq += 1
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,11 +114,14 @@ def dense(queries: DataFrame, terms: DataFrame, most: int = 50, bar: float = -2.
                 best = np.take_along_axis(product, order, 1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, order.shape[1])), pa.array(t[order].ravel()), pa.array(np.round(best, 9).ravel())], names=["query_id", "row_id", "score"])
 
-    t = terms.select("row_id", "vector").where("vector is not null").mapInArrow(pack, "ids binary, mat binary").select(F.col("ids").alias("t_ids"), F.col("mat").alias("t_mat"))
-    q = queries.select("query_id", "vector").where("vector is not null").mapInArrow(pack, "ids binary, mat binary").select(F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"))
-    groups = max(1, -(-terms.count() // VECTOR_BLOCK))
-    dealt = t.withColumn("g", F.pmod(F.xxhash64("t_ids"), F.lit(groups)).cast("int"))
-    pairs = dealt.join(q.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))), "g").drop("g")
+    blocks = lambda df, key: df.select(key, "vector").where("vector is not null").mapInArrow(pack, "part long, seq long, ids binary, mat binary")
+    t = shared_table(blocks(terms, "row_id").select("part", "seq", F.col("ids").alias("t_ids"), F.col("mat").alias("t_mat")), "vectors")
+    # Blocks are numbered without gaps, by the counts of the partitions before, so that every group is one block's.
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = t.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("before"))
+    t = t.join(counts, "part").select((F.col("before") + F.col("seq")).alias("g"), "t_ids", "t_mat")
+    q = blocks(queries, "query_id").select(F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"))
+    pairs = t.join(q.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, t.count()) - 1).cast("long")))), "g").drop("g")
     found = pairs.mapInArrow(score, "query_id long, row_id long, score double").where(F.col("score") >= bar)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).join(terms.drop("vector"), "row_id").drop("place")

@@ -86,15 +86,22 @@ def fallback_match(spark, d):
     return both.select("query_id", "code", F.round("score", 5).alias("score"))
 
 
-def retrieve_and_rerank(spark, d):
+def _named_vectors(spark, d):
+    """As :func:`_vectors`, with names: each row's is that of the part with its number, a query's is its first word."""
     q, t = _vectors(spark, d)
-    q = q.withColumn("query", F.concat(F.lit("v"), (F.col("query_id") % 10).cast("string")))
+    names = V.load(spark, d, "part").select(F.col("p_partkey").alias("row_id"), "p_name")
+    t = t.drop("name").join(names, "row_id", "left").withColumn("name", F.coalesce("p_name", F.lit(""))).drop("p_name")
+    own = names.select(F.col("row_id").alias("query_id"), F.substring_index("p_name", " ", 1).alias("query"))
+    return q.join(own, "query_id", "left").fillna("", ["query"]), t
+
+
+def retrieve_and_rerank(spark, d):
+    q, t = _named_vectors(spark, d)
     return K.retrieve_and_rerank(q, t, 0.4, 1).select("query_id", "code", F.round("score", 6).alias("score"))
 
 
 def hybrid_gate(spark, d):
-    q, t = _vectors(spark, d)
-    q = q.withColumn("query", F.concat(F.lit("v"), (F.col("query_id") % 10).cast("string")))
+    q, t = _named_vectors(spark, d)
     return K.hybrid(q, t, 0.4, 2).select("query_id", "rank", "code", F.round("score", 6).alias("score"))
 
 
@@ -147,7 +154,48 @@ c AS (SELECT query_id, code, max(score) AS score FROM r WHERE n <= 50 GROUP BY A
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, code)::INTEGER AS rank FROM c)
 """
 
+
+
+def _lcs(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two strings, one letter of ``a`` a row of the table."""
+    step = f"list_append(acc, CASE WHEN ord({b}[y[1]]) = x[1] THEN row[y[1]] + 1 ELSE greatest(row[y[1] + 1], acc[y[1]]) END)"
+    inner = f"list_reduce(list_prepend([0::BIGINT], list_transform(range(1, length({b}) + 1), lambda j: [j])), lambda acc, y: {step})"
+    return f"list_reduce(list_prepend(list_transform(range(0, length({b}) + 1), lambda j: 0::BIGINT), list_transform(string_split({a}, ''), lambda k: [ord(k)::BIGINT])), lambda row, x: {inner})[length({b}) + 1]"
+
+
+def _indel(a: str, b: str) -> str:
+    return f"CASE WHEN length({a}) + length({b}) = 0 THEN 100.0 WHEN length({a}) = 0 OR length({b}) = 0 THEN 0.0 ELSE 200.0::DOUBLE * {_lcs(a, b)} / (length({a}) + length({b})) END"
+
+
+_SETS = _Q + f""",
+pr AS (SELECT query_id, row_id, lower(query) AS q, lower(name) AS n, list_distinct(string_split(lower(query), ' ')) AS x, list_distinct(string_split(lower(name), ' ')) AS y FROM q, names),
+ps AS (SELECT *, array_to_string(list_sort(list_intersect(x, y)), ' ') AS c, array_to_string(list_sort(list_filter(x, lambda w: NOT list_contains(y, w))), ' ') AS a, array_to_string(list_sort(list_filter(y, lambda w: NOT list_contains(x, w))), ' ') AS b FROM pr),
+pu AS (SELECT *, trim(c || ' ' || a) AS u, trim(c || ' ' || b) AS v FROM ps),
+fz AS (SELECT query_id, row_id AS code, CASE WHEN c <> '' AND (a = '' OR b = '') THEN 100.0 ELSE greatest({_indel('u', 'v')}, CASE WHEN c <> '' THEN greatest({_indel('c', 'u')}, {_indel('c', 'v')}) ELSE 0.0 END) END AS score FROM pu),
+f AS (SELECT * FROM fz WHERE score >= 78 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, code) <= 30),
+hd AS (SELECT query_id, row_id AS code, array_to_string(list_sort(string_split(q, ' ')), ' ') AS q, array_to_string(list_sort(string_split(n, ' ')), ' ') AS n FROM pr WHERE regexp_extract(q, '[a-zà-ỹ]{{2,}}') = regexp_extract(n, '[a-zà-ỹ]{{2,}}')),
+bs AS (SELECT query_id, code, {_indel('q', 'n')} AS score FROM hd),
+bl AS (SELECT * FROM bs WHERE score >= 60),
+ex AS (SELECT query_id, row_id AS code, 100.0 AS score FROM pr WHERE q = n)
+"""
+
+
+def _top(source: str, k: int) -> str:
+    return f"SELECT query_id, rank, code, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, code)::INTEGER AS rank FROM ({source})) WHERE rank <= {k}"
+
+
 ORACLE_SQL = {
+    "fuzzy_topk": "WITH " + _SETS + _top("SELECT * FROM f", 3),
+    "blocked_topk": "WITH " + _SETS + _top("SELECT * FROM bl", 3),
+    "match_terms": "WITH " + _SETS + _top("SELECT * FROM ex UNION ALL SELECT * FROM f WHERE query_id NOT IN (SELECT query_id FROM ex)", 3),
+    "match_drugs": "WITH " + _SETS + _top("SELECT * FROM ex UNION ALL SELECT * FROM bl WHERE query_id NOT IN (SELECT query_id FROM ex)", 1),
+    "retrieve_and_rerank": "WITH " + _DENSE + """,
+nm AS (SELECT query_id, code, score, count(*) OVER (PARTITION BY query_id) AS n, max(score) OVER (PARTITION BY query_id) AS best,
+       [lower(string_split(coalesce(a.p_name, ''), ' ')[1])] AS x, list_distinct(list_filter(string_split(lower(coalesce(b.p_name, '')), ' '), lambda w: w <> '')) AS y
+       FROM r LEFT JOIN part a ON a.p_partkey = query_id LEFT JOIN part b ON b.p_partkey = row_id WHERE n <= 50),
+js AS (SELECT query_id, code, CASE WHEN n = 1 THEN score ELSE len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) END AS score FROM nm WHERE best >= 0.4),
+mx AS (SELECT query_id, code, max(score) AS score FROM js GROUP BY ALL)
+SELECT query_id, code, round(score, 6) AS score FROM mx QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, code) = 1""",
     "exact_lookup": "WITH " + _Q + " SELECT query_id, count(*) AS n, min(p_partkey) AS first_code, max(p_partkey) AS last_code FROM q JOIN part ON lower(p_name) = lower(query) GROUP BY query_id",
     "bm25_topk": "WITH " + _BM25 + " SELECT query_id, row_id, round(score, 5) AS score FROM rk WHERE n <= 5",
     "dense_topk": "WITH " + _DENSE + " SELECT query_id, row_id, round(score, 6) AS score FROM r WHERE n <= 5",
