@@ -13,7 +13,9 @@ from ..operators import profile as P
 from ..operators import score
 from ..operators import spans as S
 from ..operators import synth
+from ..plans import pipelines
 from . import linking, scoring, texts
+from . import spans as spans_
 from . import views as V
 
 
@@ -104,6 +106,18 @@ def piece_labels(spark, d):
     return S.first_piece_labels(pieces.union(marks)).groupBy("doc_id", "label").agg(F.count("*").alias("n"), F.sum("pos").alias("places"))
 
 
+def token_classifier(spark, d):
+    """Mentions of a made classifier: gold spans as tags, in windows of three lines that share one, with made confidences."""
+    docs = V.load(spark, d, "documents")
+    t = S.bio_encode(spans_._tokens(spark, d), V.gold_spans(spark, d))
+    line = F.floor(F.col("pos") / 100_000)
+    windows = F.array_distinct(F.array(F.floor(line / 2), F.floor((line - 1) / 2)))
+    prob = 0.9 + ((F.col("pos") + F.col("doc_id")) % 10) / 100
+    tokens = t.select("doc_id", F.explode(windows).alias("window"), "pos", "ts", "te", "tag", prob.alias("prob")).where("window >= 0")
+    found = pipelines.from_logits(tokens, docs, PLAIN, 0.94)
+    return found.select("doc_id", "text", "type", "start", "end", F.round("conf", 6).alias("conf"), "section")
+
+
 def flagged_files(spark, d):
     flags = texts.feature_flags(spark, d)
     return P.files_where(flags, *[c for c in flags.columns if c != "doc_id"])
@@ -117,7 +131,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         diagnosis_report, diagnosis_examples, gold_build, gold_report, dense_lexical_max, assertion_labels, garbage_items, forced_labels, clean_generated, described_concepts, slue_errors, piece_labels,
-        flagged_files, name_catalog,
+        token_classifier, flagged_files, name_catalog,
     )
 }
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import score
+from ..functions import text as X
+from ..operators import evaluate, score
+from ..plans import pipelines
 from . import views as V
 
 
@@ -30,7 +32,7 @@ def per_doc_report(spark, d):
 
 def final_score(spark, d):
     g, p = _both(spark, d)
-    return _r(score.dataset_score(score.document_scores(g, p, g.select("doc_id").distinct(), ["doc_id"])), *_SCORES)
+    return _r(pipelines.evaluate(g, p, g.select("doc_id").distinct()), *_SCORES)
 
 
 def rescore_all(spark, d):
@@ -39,7 +41,7 @@ def rescore_all(spark, d):
         g1, p1 = g.withColumn("exp", F.lit(e)), V.pred_spans(spark, d, e).withColumn("exp", F.lit(e))
         out, p = (g1, p1) if out is None else (out.union(g1), p.union(p1))
     keys = ["exp", "doc_id"]
-    return _r(score.dataset_score(score.document_scores(out, p, out.select(*keys).distinct(), keys), ["exp"]), *_SCORES)
+    return _r(pipelines.evaluate(out, p, out.select(*keys).distinct(), keys), *_SCORES)
 
 
 def boundary_diag(spark, d):
@@ -77,6 +79,29 @@ def slue(spark, d):
     return _r(score.tuple_scores(side("gold_tag"), side("pred_tag")), "precision", "recall", "f1")
 
 
+def seq2seq_eval(spark, d):
+    """Lines as a generator tags them: some lose their last two words, some gain one; scored with and without words."""
+    t = _tags(spark, d)
+    whole = t.where("line_no % 35 <> 0").groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "gold_tag", "pred_tag"))).alias("x")).where("not exists(x, y -> y.word = '' or y.word like '%*%')")
+    n, none = F.size("x"), F.array().cast("array<string>")
+    col = lambda c: F.transform("x", lambda y: y[c])
+    short = F.when(F.col("line_no") % 7 == 0, F.greatest(n - 2, F.lit(0))).otherwise(n)
+    more = lambda v: F.when(F.col("line_no") % 5 == 0, F.array(F.lit(v))).otherwise(none)
+    encoded = X.encode_tags(F.concat(F.slice(col("word"), F.lit(1), short), more("more")), F.concat(F.slice(col("pred_tag"), F.lit(1), short), more("B-A")))
+    rows = whole.select(F.concat_ws("-", "doc_id", "line_no").alias("sent_id"), col("word").alias("words"), col("gold_tag").alias("gold"), encoded.alias("encoded"))
+    tags = evaluate.sequence_tags(rows)
+    side = lambda c: tags.select("sent_id", "pos", "word", F.col(c).alias("tag"))
+    return _r(evaluate.both_scores(side("gold_tag"), side("pred_tag")), "precision", "recall", "f1")
+
+
+def asr_scores(spark, d):
+    """Tagged words against tagged hypotheses in which every fourth word is heard otherwise."""
+    t = _tags(spark, d).withColumn("sent_id", F.concat_ws("-", "doc_id", "line_no"))
+    heard = F.when(F.col("pos") % 4 == 3, F.concat("word", F.lit("x"))).otherwise(F.col("word"))
+    gold, hyp = t.select("sent_id", "pos", "word", F.col("gold_tag").alias("tag")), t.select("sent_id", "pos", heard.alias("word"), F.col("pred_tag").alias("tag"))
+    return _r(evaluate.both_scores(gold, hyp), "precision", "recall", "f1")
+
+
 def multilabel_prf(spark, d):
     docs = V.load(spark, d, "documents").select("doc_id", (F.length("text") > 600).cast("int").alias("pred_quality"), F.lower("text").rlike("idiot|moron|stupid|scum").cast("int").alias("pred_toxic"))
     rows = V.load(spark, d, "labels").select("doc_id", F.col("quality").alias("gold_quality"), F.col("toxic").alias("gold_toxic")).join(docs, "doc_id")
@@ -87,7 +112,7 @@ def label_balance(spark, d):
     return V.load(spark, d, "labels").agg(F.round(F.avg("quality"), 6).alias("quality"), F.round(F.avg("toxic"), 6).alias("toxic"))
 
 
-QUERIES = {f.__name__: f for f in (greedy_match, per_doc_report, final_score, rescore_all, boundary_diag, entity_prf, prf_averages, token_confusion, slue, multilabel_prf, label_balance)}
+QUERIES = {f.__name__: f for f in (greedy_match, per_doc_report, final_score, rescore_all, boundary_diag, entity_prf, prf_averages, token_confusion, slue, seq2seq_eval, asr_scores, multilabel_prf, label_balance)}
 
 _DIV = "CASE WHEN {b} = 0 THEN {a} ELSE {a} / {b} END"
 
@@ -123,7 +148,28 @@ SELECT {prefix} round(ts, 6) AS text_score, round(sa, 6) AS assertions_score, ro
 FROM (SELECT avg(text_score) AS ts, avg(assertions_score) AS sa, CASE WHEN sum(cand_weight) > 0 THEN sum(cand_sum) / sum(cand_weight) ELSE 1.0 END AS c FROM doc_scores)"""
 
 
+
+
+def _both_sql(source: str) -> str:
+    """Tuple scores of ``source(sent, pos, gold_word, gold_tag, pred_word, pred_tag)``, with words and without."""
+    parts = []
+    for kind, g, p in (("words", "gold_word", "pred_word"), ("dummy", "'dummy'", "'dummy'")):
+        parts.append(f"""(WITH gt AS (SELECT sent, gold_tag[3:] AS tag, {g} AS word, row_number() OVER (PARTITION BY sent, gold_tag[3:], {g} ORDER BY pos) AS nth, 1 AS g FROM {source} WHERE gold_tag NOT IN ('O', '0')),
+pt AS (SELECT sent, pred_tag[3:] AS tag, {p} AS word, row_number() OVER (PARTITION BY sent, pred_tag[3:], {p} ORDER BY pos) AS nth, 1 AS p FROM {source} WHERE pred_tag NOT IN ('O', '0')),
+counts AS (SELECT tag, count(*) FILTER (WHERE g = 1 AND p = 1) AS tp, count(*) FILTER (WHERE g IS NULL) AS fp, count(*) FILTER (WHERE p IS NULL) AS fn FROM gt FULL JOIN pt USING (sent, tag, word, nth) GROUP BY ROLLUP (tag)),
+rates AS (SELECT tag, {_prf()} FROM counts), full_ AS (SELECT *, {_F1} AS f1 FROM rates)
+SELECT '{kind}' AS kind, tag, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM full_ WHERE tag IS NOT NULL
+UNION ALL SELECT '{kind}', 'overall_micro', round(precision, 6), round(recall, 6), round(f1, 6) FROM full_ WHERE tag IS NULL
+UNION ALL SELECT '{kind}', 'overall_macro', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6) FROM full_ WHERE tag IS NOT NULL)""")
+    return " UNION ALL ".join(parts)
+
+
 ORACLE_SQL = {
+    "seq2seq_eval": _TAGS + """,
+ok AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (WHERE word = '' OR contains(word, '*')) OVER w AS bad FROM tags WHERE line_no % 35 <> 0 WINDOW w AS (PARTITION BY doc_id, line_no)),
+src AS (SELECT doc_id || '-' || line_no AS sent, pos, word AS gold_word, gold_tag, word AS pred_word, CASE WHEN line_no % 7 = 0 AND pos >= n - 2 THEN '0' ELSE pred_tag END AS pred_tag FROM ok WHERE bad = 0)
+""" + _both_sql("src"),
+    "asr_scores": _TAGS + ", src AS (SELECT doc_id || '-' || line_no AS sent, pos, word AS gold_word, gold_tag, word || CASE WHEN pos % 4 = 3 THEN 'x' ELSE '' END AS pred_word, pred_tag FROM tags) " + _both_sql("src"),
     "greedy_match": "WITH " + V.SPANS + "," + V.MATCH + " SELECT doc_id, gi, pi FROM matched",
     "per_doc_report": "WITH " + V.SPANS + "," + V.MATCH + "," + V.DOC_SCORES + " SELECT doc_id, round(text_score, 6) AS text_score, round(assertions_score, 6) AS assertions_score, round(cand_sum, 6) AS cand_sum, round(cand_weight, 6) AS cand_weight FROM doc_scores",
     "final_score": "WITH " + V.SPANS + "," + V.MATCH + "," + V.DOC_SCORES + _final(),
