@@ -196,6 +196,22 @@ nm AS (SELECT query_id, code, score, count(*) OVER (PARTITION BY query_id) AS n,
 js AS (SELECT query_id, code, CASE WHEN n = 1 THEN score ELSE len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) END AS score FROM nm WHERE best >= 0.4),
 mx AS (SELECT query_id, code, max(score) AS score FROM js GROUP BY ALL)
 SELECT query_id, code, round(score, 6) AS score FROM mx QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, code) = 1""",
+    "hybrid_gate": "WITH " + _DENSE + """,
+dn AS (SELECT query_id, code, coalesce(p_name, '') AS name, score, max(score) OVER (PARTITION BY query_id) AS best FROM r LEFT JOIN part ON p_partkey = row_id WHERE n <= 50),
+dv AS (SELECT query_id, code, name, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, code) - 1 AS rank FROM dn WHERE best >= 0.4),
+qs AS (SELECT DISTINCT d.query_id, lower(string_split(coalesce(p_name, ''), ' ')[1]) AS w FROM dv d LEFT JOIN part ON p_partkey = d.query_id),
+t AS (SELECT vec_id AS row_id, label::VARCHAR AS code, coalesce(p_name, '') AS name, list_filter(string_split(lower(coalesce(p_name, '')), ' '), lambda w: w <> '') AS ws FROM embeddings LEFT JOIN part ON p_partkey = vec_id),
+st AS (SELECT count(*) AS n, avg(len(ws)) AS avgdl FROM t),
+tf AS (SELECT row_id, dl, w, count(*) AS tf FROM (SELECT row_id, len(ws) AS dl, unnest(ws) AS w FROM t) GROUP BY ALL),
+raw AS (SELECT w, ln((n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, st GROUP BY w, n),
+idf AS (SELECT w, CASE WHEN idf < 0 THEN (SELECT avg(idf) * 0.25 FROM raw) ELSE idf END AS idf FROM raw),
+sc AS (SELECT query_id, row_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM qs JOIN idf USING (w) JOIN tf USING (w), st GROUP BY query_id, row_id),
+bm AS (SELECT * FROM sc WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id DESC) <= 50),
+bv AS (SELECT query_id, code, name, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, code) - 1 AS rank FROM bm JOIN t USING (row_id)),
+fu AS (SELECT query_id, code, sum(1.0::DOUBLE / (60 + rank)) AS score, min({'rank': rank, 'name': name}).name AS name FROM (SELECT * FROM dv UNION ALL SELECT * FROM bv) GROUP BY ALL),
+rr AS (SELECT query_id, code, count(*) OVER (PARTITION BY query_id) AS n, score, [w] AS x, list_distinct(list_filter(string_split(lower(name), ' '), lambda w: w <> '')) AS y FROM fu JOIN qs USING (query_id)),
+fs AS (SELECT query_id, code, CASE WHEN n = 1 THEN score ELSE len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) END AS score FROM rr)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, code)::INTEGER AS rank, code, round(score, 6) AS score FROM fs QUALIFY rank <= 2""",
     "exact_lookup": "WITH " + _Q + " SELECT query_id, count(*) AS n, min(p_partkey) AS first_code, max(p_partkey) AS last_code FROM q JOIN part ON lower(p_name) = lower(query) GROUP BY query_id",
     "bm25_topk": "WITH " + _BM25 + " SELECT query_id, row_id, round(score, 5) AS score FROM rk WHERE n <= 5",
     "dense_topk": "WITH " + _DENSE + " SELECT query_id, row_id, round(score, 6) AS score FROM r WHERE n <= 5",

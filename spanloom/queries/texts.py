@@ -231,6 +231,14 @@ structured AS (SELECT * EXCLUDE (share_), ((mixed_major_genre)::INT + clinical_h
 """
 
 ORACLE_SQL = {
+    "repeated_words": r"""
+WITH p AS (SELECT doc_id, unnest(string_split(text, ' ')) AS p, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents),
+e AS (SELECT doc_id, i, p, regexp_extract(p, '(?:^|[^\p{L}\p{N}_])([A-Za-z]{2,})$', 1) AS a, lead(regexp_extract(p, '^([A-Za-z]{2,})(?:$|[^\p{L}\p{N}_])', 1)) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM p),
+m AS (SELECT doc_id, i, regexp_matches(p, '^[A-Za-z]+$') AS whole FROM e WHERE a <> '' AND a = b),
+s AS (SELECT *, CASE WHEN whole AND lag(i) OVER (PARTITION BY doc_id ORDER BY i) = i - 1 THEN 0 ELSE 1 END AS begins FROM m),
+r AS (SELECT doc_id, sum(begins) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s),
+c AS (SELECT doc_id, run, (count(*) + 1) // 2 AS n FROM r GROUP BY ALL)
+SELECT doc_id, sum(n)::INTEGER AS n FROM c GROUP BY doc_id""",
     "norm_match": f"SELECT doc_id, md5(n) AS norm_md5, len(list_filter(string_split(n, ' '), lambda w: w <> ''))::INTEGER AS n_words FROM (SELECT doc_id, {_NORM} AS n FROM documents)",
     "lines_offsets": "WITH " + V.LINES + " SELECT doc_id, line_no, start, length(line)::INTEGER AS n_chars, md5(line) AS line_md5 FROM lines",
     "finditer_spans": r"""
