@@ -35,6 +35,7 @@ class Lexicon:
     narrative: str
     stop_spans: tuple[str, ...]
     skip_subs: tuple[str, ...] = ("narrative", "procedure", "imaging")
+    # List markers, numbers, doses and emphasis, the same in all lexicons.
     bullet: str = r"^(\s*(?:[-*+•]|\d+[.)]|\*\s*\d+[.)])\s+)"
     number: str = r"\d+([.,]\d+)?"
     dose: str = r"\b\d+([.,]\d+)?\s?(mg|mcg|ml|g|iu|units?)\b"

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from .lines import numbered_headings, lines as line_rows
 
+#: Letters of the language, lower and upper case (fixed values).
 LOWER = "a-zàáảãạăắằẳẵặâấầẩẫậèéẻẽẹêếềểễệìíỉĩịòóỏõọôốồổỗộơớờởỡợùúủũụưứừửữựỳýỷỹỵđ"
 UPPER = "A-ZÀÁẢÃẠĂẮẰẲẴẶÂẤẦẨẪẬÈÉẺẼẸÊẾỀỂỄỆÌÍỈĨỊÒÓỎÕỌÔỐỒỔỖỘƠỚỜỞỠỢÙÚỦŨỤƯỨỪỬỮỰỲÝỶỸỴĐ"
 
@@ -112,10 +113,13 @@ FEATURES = {
     "na_hits": r"(?U)\bN/A\b",
     "markdown_hits": r"(?mU)\*\*|^\s*\*\s|^\s*\+\s",
 }
+#: Negation cues, and what looks like one and isn't (fixed values).
 NEGATION = r"(?iuU)\bkhông\b|\bchưa\b|\bâm tính\b|\(-\)|\bloại trừ\b"
 NOT_NEGATION = r"(?iuU)không xác định|không đặc hiệu|không rõ|không điển hình"
+#: Features that are rare and so count more in a cover (fixed values).
 RARE = ("f_family", "f_narrator", "f_glue", "f_short", "f_long", "f_freeform", "f_lab", "f_codeswitch")
 
+#: Lines that begin with a list marker, and numbered headings (fixed values).
 BULLET_LINE = r"(?U)^\s*(?:[•●▪◦‣*+-]|–|—)\s+"
 NUMBERED_LINE = r"(?U)^\s*\d{1,2}\s*[.)]\s*"
 HEADING_LINE = r"(?U)^\s*(\d{1,2})\s*[.)]\s*(.{1,140}?)\s*$"
@@ -177,6 +181,7 @@ def _repeats(blocks: Column, least: int) -> tuple[Column, Column]:
 def structure(docs: DataFrame, signals: Signals) -> DataFrame:
     """One wide row for each document: lines, list markers, headings, signals, genres, layout, noise, stitching."""
     t, ls, full, c = F.col("text"), F.col("ls"), F.col("full"), F.col
+    # The patterns written in place below (markers, units, redaction, placeholders, markdown, broken encodings) are fixed values.
     n = lambda p: F.regexp_count(t, F.lit(p))
     some = lambda a: F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), line_array(F.col("text")).alias("ls"))
