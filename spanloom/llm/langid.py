@@ -14,7 +14,9 @@ worker keeps the vectors of ``CACHE`` trigrams; others are made anew when met.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; so is everything if nothing
 could be learned; rows with null doc_id are predicted, with ``held_out`` false, and never learned from;
-repeated rows count each; ties go to the first language by code point; an empty table gives no rows.
+repeated rows count each; ties go to the first language by code point; a very long text is read whole, as a
+slice of its own; an empty table gives no rows; extra columns are kept, but for those named ``lang_pred`` or
+``score`` in any letter case, which are replaced.
 """
 
 from __future__ import annotations

@@ -3,16 +3,16 @@
 A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` at both ends, A-Z lower-cased; keys of at least
 ``MIN_CHARS`` code points count.  The state of a corpus is
 
-* ``refs(hi, lo, first_doc, last_doc, n_docs)``: for every key (its 128-bit XXH3) the exact number of
-  documents holding it and the smallest and largest of them, and
+* ``refs(hi, lo, first_doc, n_docs)``: for every key (its 128-bit XXH3) the exact number of documents holding
+  it and the smallest of them, counted from the postings, and
 * ``filters(shard, filter)``: for every shard of keys a cuckoo filter of the keys that two or more
   documents hold.
 
 ``LineStore`` keeps that state under a path: postings (which document holds which key) and taken-out documents
 are deltas, written once and merged now and then; a log names the deltas of each version.  A change writes its
 deltas under fresh names and then adds its version to the log, so a failed change leaves the old version whole,
-can be tried again, and a store can be opened again by its path.  A change reads postings of the keys it touches
-and patches only the filters of shards whose keys crossed the bar of two documents; a deletion restores a key's
+can be tried again, and a store can be opened again by its path.  A change reads the postings and keeps those of
+the keys it touches, and patches only the filters of shards whose keys crossed the bar of two documents; a deletion restores a key's
 next smallest holder.  The number of shards grows with the keys held.
 
 ``dedup`` takes a table into a new store and probes the filters with each document's keys: the keys are dealt to

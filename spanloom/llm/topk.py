@@ -17,7 +17,8 @@ Defined cases: null vectors and vectors with a null or non-finite component take
 nor as candidate, and neither do rows with a null id; an empty vector has no terms and scores 0 with
 everything; vectors of different lengths are compared over the terms they share; rows repeated under one id
 are one row (of different vectors the smallest in array order counts); weights and scores outside the range
-of long saturate; fewer than k candidates give as many rows as there are; an empty table gives no rows.
+of long saturate; fewer than k candidates give as many rows as there are; an empty table gives no rows; columns
+beside vec_id and embedding, whatever their names, are not read.
 """
 
 from __future__ import annotations
