@@ -231,6 +231,14 @@ structured AS (SELECT * EXCLUDE (share_), ((mixed_major_genre)::INT + clinical_h
 """
 
 ORACLE_SQL = {
+    "label_overlap": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract(coalesce(text, ''), '(?im)^in ') AS m, string_split_regex(coalesce(text, ''), '(?im)^in ')[1] AS h FROM documents),
+r AS (SELECT doc_id, CASE WHEN m <> '' THEN 'x' || substr(text, length(h) + length(m) + 1) END AS rest FROM d),
+t AS (SELECT *, regexp_extract(rest, '(?im)^to ') AS m2, string_split_regex(rest, '(?im)^to ')[1] AS h2 FROM r),
+w AS (SELECT doc_id, CASE WHEN m2 <> '' THEN list_distinct(list_filter(regexp_extract_all(lower(substr(h2, 2)), '[\p{L}\p{N}\p{M}_]+'), lambda x: length(x) >= 2 AND x NOT IN ('the', 'of', 'and', 'in', 'to'))) END AS q,
+             CASE WHEN m2 <> '' THEN list_distinct(list_filter(regexp_extract_all(lower(substr(rest, length(h2) + length(m2) + 1)), '[\p{L}\p{N}\p{M}_]+'), lambda x: length(x) >= 2 AND x NOT IN ('the', 'of', 'and', 'in', 'to'))) END AS a FROM t),
+n AS (SELECT doc_id, coalesce(len(q), 0) AS nq, coalesce(len(a), 0) AS na, coalesce(len(list_intersect(q, a)), 0) AS nb FROM w)
+SELECT doc_id, CASE WHEN nq > 0 AND na > 0 THEN round(nb / (nq + na - nb), 4) END AS jaccard, CASE WHEN nq > 0 AND na > 0 THEN round(nb / least(nq, na), 4) END AS overlap, nq::BIGINT AS question_tokens, na::BIGINT AS answer_tokens FROM n""",
     "repeated_words": r"""
 WITH p AS (SELECT doc_id, unnest(string_split(text, ' ')) AS p, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents),
 e AS (SELECT doc_id, i, p, regexp_extract(p, '(?:^|[^\p{L}\p{N}_])([A-Za-z]{2,})$', 1) AS a, lead(regexp_extract(p, '^([A-Za-z]{2,})(?:$|[^\p{L}\p{N}_])', 1)) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM p),
