@@ -20,8 +20,10 @@ top down to the host: a template without evidence has its parent's purity.  It i
 All of it is DataFrame operations.  Scale: pages are reduced to distinct (host, segments) with map-side sums
 before anything else; every level is aggregates plus equi-joins on (name, prefix), with no window over a
 host's paths, so a host with a third of all pages is split like any large join.  A node whose pages are all
-blocked or none of them can't differ from its children: its paths are finished at once, and levels go on, to
-the deepest segment, only below mixed nodes.  Only whether there are such nodes reaches the driver.
+blocked or none of them, or that has one path, can't differ from what is below it: its paths are finished at
+once.  Below other nodes a step goes to where their paths part (the common beginning of the least and the
+greatest), so the steps are as many as the forks on a path, not its segments.  Only whether there are such nodes
+reaches the driver.
 
 Defined cases: null urls and urls without ``://`` have empty host and path, and no evidence but the prior; an
 empty path fits no rule; repeated rows are judged alike; an empty table gives no rows; extra columns are kept
@@ -86,42 +88,65 @@ def _levels(host: Column) -> Column:
     return F.filter(levels, lambda x: x["name"].isNotNull())
 
 
+def _common(a: Column, b: Column) -> Column:
+    """How many leading elements two arrays share."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    return F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same)).cast("int")
+
+
 def _grow(paths: DataFrame) -> DataFrame:
     """``paths(level, name, key, segs, n, blocked, told)`` with their template: the tree of every (level, name)."""
-    node = ["level", "name", "prefix"]
-    paths = paths.select("*", F.lit("").alias("prefix"), (F.size("segs") > 0).alias("open"))
+    node = ["level", "name", "prefix", "at"]
+    paths = paths.select("*", F.lit("").alias("prefix"), F.lit(0).alias("at"), (F.size("segs") > 0).alias("open"))
     done, open_ = paths.where("not open"), paths.where("open")
     sums = [F.sum(c).alias(c) for c in ("n", "blocked", "told")]
+    kept = ["level", "name", "key", "n", "blocked", "told", "segs"]
 
     def merged(s: Column) -> Column:
         # A class stays visible in the template whether or not it merged with its siblings.
         return F.when(s.startswith("{"), s).otherwise("*")
 
-    d = 0
+    def met(left: DataFrame, right: DataFrame, names: list[str], how: str) -> DataFrame:
+        """``left`` with the row of ``right`` of the same ``names``, whose columns are led by ``own_``."""
+        right = right.select(*[F.col(c).alias(f"own_{c}") for c in right.columns])
+        same = F.lit(True)
+        for c in names:
+            same &= F.col(c) == F.col(f"own_{c}")
+        return left.join(right, same, how)
+
+    step = 0
     while not open_.isEmpty():
-        seg = F.get("segs", F.lit(d))
-        kids = open_.groupBy(*node, seg.alias("seg")).agg(*sums)
-        nodes = kids.groupBy(*node).agg(F.sum("n").alias("all_n"), F.sum("blocked").alias("all_blocked"), F.sum("told").alias("all_told"), F.count("*").alias("fan"))
-        nodes = nodes.where("all_blocked > 0 and all_blocked < all_n")
+        # Of each node what its paths have in common: the first segments of the least and the greatest of them.
+        rest = F.slice("segs", F.col("at") + 1, F.size("segs"))
+        nodes = open_.groupBy(*node).agg(*sums, F.count("*").alias("rows"), F.min(rest).alias("low"), F.max(rest).alias("high"))
+        nodes = nodes.where("blocked > 0 and blocked < n and rows > 1").select(*node, *[F.col(c).alias(f"all_{c}") for c in ("n", "blocked", "told")], _common(F.col("low"), F.col("high")).alias("jump"))
+        nodes = cut(nodes, f"nodes{step}")
+        # A node without a row here can't differ from what is below it: its paths are finished.
+        told = met(open_, nodes, node, "left")
+        ends = told.where("own_at is null").select(*kept, F.concat_ws("/", "prefix", F.transform(rest, merged)).alias("prefix"), "at", F.lit(False).alias("open"))
+        # Along a chain all have their node's share: it merges in one step, however long it is.
+        further = F.col("at") + F.col("own_jump")
+        chain = F.transform(F.slice("segs", F.col("at") + 1, F.col("own_jump")), merged)
+        jumps = told.where("own_jump > 0").select(*kept, F.concat_ws("/", "prefix", chain).alias("prefix"), further.alias("at"), (F.size("segs") > further).alias("open"))
+        # Where paths part, a child keeps its name if its share differs.
+        forks = nodes.where("jump = 0")
+        seg = F.get("segs", F.col("at"))
+        kids = open_.join(forks.select(*node), node, "left_semi").groupBy(*node, seg.alias("seg")).agg(*sums)
+        fan = kids.groupBy(*node).agg(F.count("*").alias("fan"))
         differs = F.lit(False)
         for n in ("n", "told"):
             rate = F.col("all_blocked") / F.col(f"all_{n}")
             gap = F.abs(F.col("blocked") - F.col(n) * rate)
             differs |= gap > Z * F.sqrt(F.col(n) * rate * (1 - rate)) + 0.5
         named = (F.col("told") > 0) | (F.col("fan") <= FAN) | (F.col("n") > FAN) | (F.col("n") >= SHARE * F.col("all_n"))
-        own = kids.join(nodes, node).select(*[F.col(c).alias(f"own_{c}") for c in (*node, "seg")], (differs & named).alias("keeps"))
-        # A row of ``own`` is there for every child of a mixed node; the paths of other nodes are finished.
-        same = seg == F.col("own_seg")
-        for c in node:
-            same &= F.col(c) == F.col(f"own_{c}")
-        joined = open_.join(own, same, "left")
-        mixed = F.col("own_level").isNotNull()
-        rest = F.concat_ws("/", "prefix", F.transform(F.slice("segs", d + 1, F.size("segs")), merged))
-        prefix = F.when(mixed, F.concat_ws("/", "prefix", F.when(F.col("keeps"), seg).otherwise(merged(seg)))).otherwise(rest)
-        grown = cut(joined.select("level", "name", "key", "n", "blocked", "told", "segs", prefix.alias("prefix"), (mixed & (F.size("segs") > d + 1)).alias("open")), f"depth{d}")
+        kids = kids.join(forks, node).join(fan, node).select(*node, "seg", (differs & named).alias("keeps"))
+        forked = met(open_.withColumn("seg", seg), kids, [*node, "seg"], "inner")
+        prefix = F.concat_ws("/", "prefix", F.when(F.col("own_keeps"), F.col("seg")).otherwise(merged(F.col("seg"))))
+        parted = forked.select(*kept, prefix.alias("prefix"), (F.col("at") + 1).alias("at"), (F.size("segs") > F.col("at") + 1).alias("open"))
+        grown = cut(ends.unionByName(jumps).unionByName(parted), f"step{step}")
         done, open_ = done.unionByName(grown.where("not open")), grown.where("open")
-        d += 1
-    return done.withColumnRenamed("prefix", "template")
+        step += 1
+    return done.drop("at").withColumnRenamed("prefix", "template")
 
 
 def path_key(path: Column) -> Column:
