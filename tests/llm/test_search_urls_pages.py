@@ -249,3 +249,19 @@ def test_extract_over_rows(spark, net):
     assert max(r["n_chars"] for r in out) == len("long text here. " * 30_000) - 1
     assert html.extract(df.limit(0), net).count() == 0
     assert html.fit(df.limit(0)) is not None
+
+
+def test_very_long_paths_take_no_step_a_segment(spark):
+    """Paths of 2,000 segments, mixed in label, alone and with a common beginning: a step goes to where they part."""
+    import time
+
+    from spanloom.llm import urlfilter
+
+    long = "/".join(f"s{k}" for k in range(2000))
+    urls = [f"https://a.net/{long}", f"https://b.org/{long}", f"https://c.com/{long}", f"https://c.com/{long}/x", f"https://d.net/{long}/y", f"https://d.org/fr/{long}"]
+    start = time.time()
+    out = {r["page_id"]: r for r in urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert time.time() - start < 90
+    assert out[0]["verdict"] == out[4]["verdict"] == "block" and out[5]["verdict"] == "allow"
+    assert out[1]["template"] == "b.org/" + "/".join(["*"] * 2000) or out[1]["template"].startswith("b.org")
+    assert {out[k]["verdict"] for k in (1, 2, 3)} <= {"allow", "block"}
