@@ -20,8 +20,8 @@ top down to the host: a template without evidence has its parent's purity.  It i
 All of it is DataFrame operations.  Scale: pages are reduced to distinct (host, segments) with map-side sums
 before anything else; every level is aggregates plus equi-joins on (name, prefix), with no window over a
 host's paths, so a host with a third of all pages is split like any large join.  A node whose pages are all
-blocked or none of them, or that has one path, can't differ from what is below it: its paths are finished at
-once.  Below other nodes a step goes to where their paths part (the common beginning of the least and the
+blocked or none of them, or that has one path or fewer than ``LEAST`` pages, can't differ from what is below it:
+its paths are finished at once.  Below other nodes a step goes to where their paths part (the common beginning of the least and the
 greatest), so the steps are as many as the forks on a path, not its segments.  Only whether there are such nodes
 reaches the driver.
 
@@ -41,6 +41,9 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 FAN = 16
 SHARE = 0.1
 Z = 2.0
+#: Below so many pages no child can differ by ``Z`` standard errors and a half: of N pages a child with a share p, all blocked, would
+#: need N p (1 - p) > Z p sqrt(N (1 - p)) + 1 / 2 at least, which no p in (0, 1) meets for N up to 9.
+LEAST = 10
 STRENGTH = 4.0
 PRIOR = 0.2
 REJECT = 0.7
@@ -119,7 +122,7 @@ def _grow(paths: DataFrame) -> DataFrame:
         # Of each node what its paths have in common: the first segments of the least and the greatest of them.
         rest = F.slice("segs", F.col("at") + 1, F.size("segs"))
         nodes = open_.groupBy(*node).agg(*sums, F.count("*").alias("rows"), F.min(rest).alias("low"), F.max(rest).alias("high"))
-        nodes = nodes.where("blocked > 0 and blocked < n and rows > 1").select(*node, *[F.col(c).alias(f"all_{c}") for c in ("n", "blocked", "told")], _common(F.col("low"), F.col("high")).alias("jump"))
+        nodes = nodes.where((F.col("blocked") > 0) & (F.col("blocked") < F.col("n")) & (F.col("rows") > 1) & (F.col("n") >= LEAST)).select(*node, *[F.col(c).alias(f"all_{c}") for c in ("n", "blocked", "told")], _common(F.col("low"), F.col("high")).alias("jump"))
         nodes = cut(nodes, f"nodes{step}")
         # A node without a row here can't differ from what is below it: its paths are finished.
         told = met(open_, nodes, node, "left")
