@@ -5,8 +5,12 @@ A document's lines are exploded in the scan; their offsets are a running sum per
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions.lexicon import FLAGS, Lexicon
@@ -21,19 +25,27 @@ def lines(docs: DataFrame, *keep: str) -> DataFrame:
     return flat.select("doc_id", *keep, "line_no", start.alias("start"), "line")
 
 
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("match", T.StringType())])))
+def _placed(gaps: pa.Array, found: pa.Array) -> pa.Array:
+    """Each match with its start: running sums over the arrays, linear in their length, which a fold that appends isn't."""
+    sizes = found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    matched = found.flatten()
+    between = gaps.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    # A text has one gap more than matches (or none of either, where it is null): the last one is left out.
+    last = np.cumsum(gaps.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) - 1
+    kept = np.ones(len(between), bool)
+    kept[last[gaps.is_valid().to_numpy(zero_copy_only=False)]] = False
+    long = pc.utf8_length(matched).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = np.concatenate(([0], np.cumsum(between[kept] + long)))
+    ends = np.cumsum(sizes)
+    starts = upto[1:] - long - np.repeat(upto[ends - sizes], sizes)
+    rows = pa.StructArray.from_arrays([pa.array(starts.astype(np.int32)), matched], ["start", "match"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), rows)
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, match>> of all matches, in code points: gaps and matches alternate."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    grown = F.aggregate(
-        F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("match")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,match:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["match"])).alias("at"),
-            F.array_append(acc["out"], F.struct((acc["at"] + x["gap"]).alias("start"), x["match"].alias("match"))).alias("out"),
-        ),
-    )
-    return F.when(F.size(found) > 0, grown["out"]).otherwise(F.array().cast("array<struct<start:int,match:string>>"))
+    """array<struct<start, match>> of all matches, in code points: gaps and matches alternate; none of a null text."""
+    return _placed(F.transform(F.split(text, pattern, -1), F.length), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
 
 def items(lines_: DataFrame) -> DataFrame:

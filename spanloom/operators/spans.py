@@ -31,9 +31,10 @@ def bio_encode(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """
     buckets = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / 64), F.floor(F.greatest(F.col(e) - 1, F.col(s)) / 64))).alias("bucket")
     s = spans.select("doc_id", F.col("start").alias("s"), F.col("end").alias("e"), "type", buckets("start", "end"))
-    near = tokens.select("doc_id", "pos", "ts", "te", buckets("ts", "te")).join(s, ["doc_id", "bucket"])
-    hit = near.where("ts < e and te > s").groupBy("doc_id", "pos").agg(F.min(F.struct("s", "e", "type")).alias("span"))
-    out = tokens.join(hit, ["doc_id", "pos"], "left")
+    own = [c for c in tokens.columns if c not in ("doc_id", "pos")]
+    near = tokens.select("*", buckets("ts", "te")).join(s, ["doc_id", "bucket"], "left")
+    hit = F.min(F.when((F.col("ts") < F.col("e")) & (F.col("te") > F.col("s")), F.struct("s", "e", "type"))).alias("span")
+    out = near.groupBy("doc_id", "pos", *own).agg(hit)
     tag = F.when(F.col("span").isNull(), "O").otherwise(F.concat(F.when(F.col("ts") <= F.col("span.s"), "B-").otherwise("I-"), F.col("span.type")))
     return out.withColumn("tag", tag).drop("span")
 
