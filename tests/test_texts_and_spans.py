@@ -3,10 +3,12 @@
 import json
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom.functions import repeats
 from spanloom.functions import text as X
 from spanloom.functions.lexicon import CLINICAL_VI, DIAGNOSIS, DRUG, LAB_NAME, LAB_RESULT, SYMPTOM
 from spanloom.operators import hygiene, lines, link, profile, rules, spans, synth
@@ -296,3 +298,32 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert len(rows) == 9 and {r["top"] for r in rows if r["start"] >= NOTE.index("2. Bệnh")} == {"present"}
+
+
+def test_phrase_repeats_are_those_of_the_pattern():
+    rnd = random.Random(3)
+    plain = re.compile(r"([^\n\r\x85\u2028\u2029]{6,}?)\1")
+    for _ in range(300):
+        texts = ["".join(rnd.choice("ab\n é😀"[: rnd.randint(1, 6)]) for _ in range(rnd.randint(0, 90))) * rnd.randint(1, 3) for _ in range(rnd.randint(0, 4))]
+        assert repeats.count_repeats(texts) == [len(plain.findall(t)) for t in texts]
+
+
+def test_phrase_repeats_of_a_long_line(spark):
+    words = [f"{k:x}" for k in range(40_000)]
+    line = " ".join([*words, *words[-20_000:]])
+    start = time.perf_counter()
+    got = spark.createDataFrame([(1, line), (2, "a" * 100_000), (3, None)], "doc_id long, text string").select(repeats.phrase_repeats("text").alias("n")).collect()
+    assert [r["n"] for r in got] == [1, 8333, None] and time.perf_counter() - start < 60
+
+
+def test_matches_of_a_long_line(spark):
+    start = time.perf_counter()
+    rows = spark.createDataFrame([(1, "ab " * 200_000), (2, None), (3, "")], "doc_id long, text string").select("doc_id", F.posexplode(lines.matches(F.col("text"), r"\S+")).alias("k", "m"))
+    assert rows.agg(F.count("*"), F.sum(F.col("m.start") - 3 * F.col("k"))).first()[:] == (200_000, 0)
+    assert time.perf_counter() - start < 60
+
+
+def test_snapping_over_long_words(spark):
+    for s, a, b, want in ((f"a {'x' * 500} b", 200, 210, (2, 502)), (f"{'1.2' * 100} b", 150, 151, (0, 300)), (f"{'x' * 61} {'y' * 62}-", 100, 101, (62, 124))):
+        r = one(spark, X.snap_to_words(F.col("s"), F.lit(a), F.lit(b)), s=s)
+        assert (r["start"], r["end"]) == want
