@@ -167,3 +167,21 @@ def test_vectors_are_built_once(spark, tmp_path):
     assert ask("c", "abd") == {"abd": [3.0], "c": [1.0]}
     assert seen == [["ab", "c"], ["abd"]]
     assert ask("c", encoder="other") == {"c": [1.0]} and seen[2:] == [["c"]]
+
+
+def test_generation_is_dealt_over_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from spanloom.operators import generate
+
+    steps = generate.steps_of(spark.range(3 * generate.IDS).select(F.col("id").alias("doc_id")), 1, 5, F.lit(4))
+    assert steps.groupBy(F.spark_partition_id()).count().count() >= 3
+
+
+def test_parts_of_unknown_types_are_left_out(spark):
+    from spanloom.operators import generate
+
+    parts = spark.createDataFrame([(1, 100, 0, 0, "a ", None, None), (1, 100, 0, 1, None, "X", None), (1, 100, 0, 2, None, "Y", "l"), (1, 100, 1, 0, "b", None, None)], "doc_id long, target int, step int, at int, text string, type string, label string")
+    catalog = spark.createDataFrame([("Y", 0, "why", "c")], "type string, k long, name string, code string")
+    row = generate.assemble(parts, catalog, 1).first()
+    assert row["text"] == "a whyb" and [(c["text"], c["start"], c["assertions"], c["candidates"]) for c in row["concepts"]] == [("why", 2, ["l"], ["c"])]
