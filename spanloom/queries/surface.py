@@ -104,12 +104,18 @@ SELECT doc_id, md5(norm) AS norm_md5, len(ws)::INTEGER AS n_words, len(ts)::INTE
        len(ws) <= 40 AND NOT regexp_matches(text, '[\[\](){{}}†*]|[A-Z][0-9]{{2}}') AS natural, len(ws) > 500 AS long FROM w""",
     "dictionary_sweep": "WITH " + V.BASE + "," + V.GOLD + r""",
 b AS (SELECT string_split(regexp_replace(text, '[^\p{L}]+', ' ', 'g'), ' ') AS ws, lower(regexp_extract(text, '([A-Za-z]{5,})[^A-Za-z]*$', 1)) AS last FROM benchmark),
-v AS (SELECT DISTINCT lower(phrase) AS phrase, 'ITEM' AS type FROM (SELECT array_to_string(ws[1:n], ' ') AS phrase FROM b, range(1, 4) r(n)) WHERE length(phrase) >= 4 UNION SELECT p_name, 'PART' FROM part),
-h AS (SELECT doc_id, text, phrase, type, string_split(lower(text), phrase) AS ps FROM documents JOIN v ON contains(lower(text), phrase)),
-p AS (SELECT doc_id, text, phrase, type, unnest(range(1, len(ps))) AS i, list_transform(ps, lambda x: length(x)) AS ls FROM h),
-s AS (SELECT doc_id, text, phrase, type, (list_sum(ls[1:i]) + (i - 1) * length(phrase))::BIGINT AS start FROM p),
-q AS (SELECT doc_id, 1 AS stage, -length(phrase) AS shorter, phrase, start, start + length(phrase) AS stop, type FROM s
+v0 AS (SELECT lower(phrase) AS phrase, 'ITEM' AS type FROM (SELECT array_to_string(ws[1:n], ' ') AS phrase FROM b, range(1, 4) r(n)) WHERE length(phrase) >= 4 UNION SELECT lower(p_name), 'PART' FROM part WHERE p_name <> ''),
+v AS (SELECT phrase, type, list_filter(range(1, length(phrase)), lambda k: substr(phrase, k + 1) = substr(phrase, 1, length(phrase) - k)) AS shifts FROM (SELECT phrase, min(type) AS type FROM v0 GROUP BY phrase)),
+h AS (SELECT doc_id, text, phrase, type, shifts, string_split(lower(text), phrase) AS ps FROM documents JOIN v ON contains(lower(text), phrase)),
+p AS (SELECT doc_id, text, phrase, type, shifts, unnest(range(1, len(ps))) AS i, list_transform(ps, lambda x: length(x)) AS ls FROM h),
+s0 AS (SELECT doc_id, text, phrase, type, shifts, (list_sum(ls[1:i]) + (i - 1) * length(phrase))::BIGINT AS start FROM p),
+s AS (SELECT doc_id, text, phrase, type, start FROM s0
+      UNION SELECT doc_id, text, phrase, type, start + k FROM (SELECT *, unnest(shifts) AS k FROM s0) WHERE lower(substr(text, start + k + 1, length(phrase))) = phrase),
+q0 AS (SELECT doc_id, phrase, type, start FROM s
       WHERE NOT regexp_matches(substr(text, start, CASE WHEN start = 0 THEN 0 ELSE 1 END), '[\p{L}\p{M}\p{N}_]') AND NOT regexp_matches(substr(text, start + length(phrase) + 1, 1), '[\p{L}\p{M}\p{N}_]')),
+q1 AS (SELECT doc_id, phrase, type, list_reduce(list_prepend([]::STRUCT(start BIGINT, stop BIGINT)[], list([{'start': start, 'stop': start + length(phrase)}] ORDER BY start)),
+      lambda acc, y: CASE WHEN len(acc) > 0 AND acc[-1].stop > y[1].start THEN acc ELSE list_concat(acc, y) END) AS kept FROM q0 GROUP BY ALL),
+q AS (SELECT doc_id, 1 AS stage, -length(phrase) AS shorter, phrase, z.start AS start, z.stop AS stop, type FROM (SELECT doc_id, phrase, type, unnest(kept) AS z FROM q1)),
 m AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z][A-Za-z\-]{4,}') AS ms, string_split_regex(text, '[A-Za-z][A-Za-z\-]{4,}') AS gs FROM documents),
 n AS (SELECT doc_id, ms, list_transform(gs, lambda x: length(x)) AS gl, list_transform(ms, lambda x: length(x)) AS ml, unnest(range(1, len(ms) + 1)) AS i FROM m),
 x AS (SELECT doc_id, 2 AS stage, 0 AS shorter, lower(ms[i]) AS phrase, (list_sum(gl[1:i]) + coalesce(list_sum(ml[1:i - 1]), 0))::BIGINT AS start, length(ms[i]) AS len FROM n WHERE lower(ms[i]) IN (SELECT last FROM b)),

@@ -44,3 +44,20 @@ def test_same_as_sql(spark, duck, name):
     assert sorted(names) == columns
     want = sorted(repr([plain(r[names.index(c)]) for c in columns]) for r in cur.fetchall())
     assert sorted(repr([plain(r[c]) for c in columns]) for r in df.collect()) == want
+
+
+def test_sweep_of_phrases_that_overlap_themselves_equals_its_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    tables = {
+        "documents": [(1, "bathe the the sea"), (2, "so the the the the end, a b a b a")], "benchmark": [(1, "the the best"), (2, "a b a")], "part": [(1, "the the"), (2, "a b a")],
+    }
+    schemas = {"documents": "doc_id long, text string", "benchmark": "item_id long, text string", "part": "p_partkey long, p_name string"}
+    c = duckdb.connect()
+    for name, rows in tables.items():
+        spark.createDataFrame(rows, schemas[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    cur = c.execute(ORACLE_SQL["dictionary_sweep"])
+    names = [d[0] for d in cur.description]
+    df = QUERIES["dictionary_sweep"](spark, str(tmp_path))
+    want = sorted(repr([r[names.index(k)] for k in sorted(names)]) for r in cur.fetchall())
+    assert want and sorted(repr([r[k] for k in sorted(names)]) for r in df.collect()) == want
