@@ -193,3 +193,15 @@ def test_sweep_equals_the_literal_search(spark, shard_bytes):
         own = [(a, b) for k, a, b in occupied if k == d]
         assert sorted(by.get(d, [])) == _literal_sweep(text, vocabulary, own, words)
     assert not {500, 501} & set(by)
+
+
+def test_dense_keeps_the_smallest_rows_of_ties(spark):
+    vectors = [[float(k % 3), 1.0] for k in range(700)]
+    terms = spark.createDataFrame([(k, str(k), v) for k, v in enumerate(vectors)], "row_id long, code string, vector array<double>")
+    queries = spark.createDataFrame([(k, v) for k, v in enumerate(vectors)], "query_id long, vector array<double>")
+    got = {}
+    for r in link.dense(queries, terms, 4).collect():
+        got.setdefault(r["query_id"], []).append((-r["score"], r["row_id"]))
+    for k, v in enumerate(vectors):
+        want = sorted((-(v[0] * w[0] + 1.0), n) for n, w in enumerate(vectors))[:4]
+        assert sorted(got[k]) == want
