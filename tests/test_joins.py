@@ -6,7 +6,9 @@ import time
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
+from spanloom.functions import text as X
 from spanloom.functions.similarity import _token_set
 from spanloom.operators import hygiene, link, score, sweep
 
@@ -205,3 +207,28 @@ def test_dense_keeps_the_smallest_rows_of_ties(spark):
     for k, v in enumerate(vectors):
         want = sorted((-(v[0] * w[0] + 1.0), n) for n, w in enumerate(vectors))[:4]
         assert sorted(got[k]) == want
+
+
+def _shuffled(spark, run) -> int:
+    """Bytes that the stages of ``run()`` write for others."""
+    sc = spark.sparkContext
+    stages = lambda: {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in _listed(sc)}
+    before = stages()
+    run()
+    time.sleep(1)
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def _listed(sc):
+    found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return [found.apply(k) for k in range(found.size())]
+
+
+def _unlike(n_docs: int, n_words: int):
+    rng = random.Random(21)
+    return [(k, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n_words))) for k in range(n_docs)]
+
+
+def test_shingles_of_one_document_alone_are_shuffled_once_and_packed(spark):
+    docs = spark.createDataFrame(_unlike(150, 2000), "doc_id long, text string")
+    assert _shuffled(spark, lambda: hygiene.shared_shingles(docs).count()) < 14 * 150 * 2000
