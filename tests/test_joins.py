@@ -232,3 +232,11 @@ def _unlike(n_docs: int, n_words: int):
 def test_shingles_of_one_document_alone_are_shuffled_once_and_packed(spark):
     docs = spark.createDataFrame(_unlike(150, 2000), "doc_id long, text string")
     assert _shuffled(spark, lambda: hygiene.shared_shingles(docs).count()) < 14 * 150 * 2000
+
+
+def test_runs_write_words_of_documents_in_pairs_only(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "b c d e"), (3, "x y")], "doc_id long, text string")
+    written, real = {}, hygiene.shared_table
+    monkeypatch.setattr(hygiene, "shared_table", lambda df, label: written.setdefault(label, real(df, label)))
+    r = hygiene.longest_runs(spark.createDataFrame([(1, 2)], "a long, b long"), docs).first()
+    assert (r["run"], r["run_a"], r["excerpt"]) == (3, 1, "b c d") and sorted(x["doc_id"] for x in written["words"].collect()) == [1, 2]
