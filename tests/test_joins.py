@@ -240,3 +240,18 @@ def test_runs_write_words_of_documents_in_pairs_only(spark, monkeypatch):
     monkeypatch.setattr(hygiene, "shared_table", lambda df, label: written.setdefault(label, real(df, label)))
     r = hygiene.longest_runs(spark.createDataFrame([(1, 2)], "a long, b long"), docs).first()
     assert (r["run"], r["run_a"], r["excerpt"]) == (3, 1, "b c d") and sorted(x["doc_id"] for x in written["words"].collect()) == [1, 2]
+
+
+def test_texts_are_normalised_once_for_their_classes(spark):
+    docs = spark.createDataFrame([(1, "a  b"), (2, "A b "), (3, "c")], "doc_id long, text string")
+    classes = hygiene.text_classes(docs)
+    assert sorted(map(tuple, classes.collect())) == [(1, 1), (2, 1), (3, 3)]
+    assert "sha2" not in classes._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_single_spaces_stay_and_other_white_space_is_one_space(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(" a\t\n\r  \u0085　b") for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.trim(F.regexp_replace("t", r"(?U)\s+", " "))
+    assert df.where(~plain.eqNullSafe(X.squeeze(F.col("t")))).count() == 0
