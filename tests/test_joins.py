@@ -242,6 +242,18 @@ def test_runs_write_words_of_documents_in_pairs_only(spark, monkeypatch):
     assert (r["run"], r["run_a"], r["excerpt"]) == (3, 1, "b c d") and sorted(x["doc_id"] for x in written["words"].collect()) == [1, 2]
 
 
+def test_trigrams_of_one_document_alone_are_shuffled_once_and_packed(spark):
+    docs = spark.createDataFrame(_unlike(150, 2000), "doc_id long, text string")
+    # The texts go along once more, about eight bytes a word.
+    assert _shuffled(spark, lambda: hygiene.greedy_keep(docs).count()) < 24 * 150 * 2000
+
+
+def test_repeated_rows_are_no_duplicates_of_themselves(spark):
+    rows = [(1, "a b c d e"), (1, "a b c d e"), (2, "a b c d f g h"), (3, "a b"), (4, "A  b")]
+    kept = hygiene.greedy_keep(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 1, 2, 3]
+
+
 def test_texts_are_normalised_once_for_their_classes(spark):
     docs = spark.createDataFrame([(1, "a  b"), (2, "A b "), (3, "c")], "doc_id long, text string")
     classes = hygiene.text_classes(docs)
