@@ -327,3 +327,19 @@ def test_snapping_over_long_words(spark):
     for s, a, b, want in ((f"a {'x' * 500} b", 200, 210, (2, 502)), (f"{'1.2' * 100} b", 150, 151, (0, 300)), (f"{'x' * 61} {'y' * 62}-", 100, 101, (62, 124))):
         r = one(spark, X.snap_to_words(F.col("s"), F.lit(a), F.lit(b)), s=s)
         assert (r["start"], r["end"]) == want
+
+
+def test_patterns_are_read_in_short_where_no_marked_letter_is(spark):
+    from spanloom.operators import profile as P
+
+    rng = random.Random(8)
+    bits = ["tiền sử", "anh trai", "em GÁI", "EM TRAI", "lý do khám", "LÝ DO KHÁM", "không rõ", "KHÔNG", "âm tính", "(-)", "chưa", "\n 1. ", "\n2) x", "người nhà kể", "không", "a", "bố", " ", "éa", "aB", "đB", "bĐ", "eÀ", ".", "WBC 12", "x wbc", "\r\n", " "]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randint(0, 9))) for _ in range(600)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    plain = {k: F.regexp_count("text", F.lit(p)) for k, p in P.FEATURES.items()} | {"camel_glue_hits": F.regexp_count("text", F.lit(rf"[{P.LOWER}][{P.UPPER}]"))}
+    plain["neg_hits"] = F.greatest(F.regexp_count("text", F.lit(P.NEGATION)) - F.regexp_count("text", F.lit(P.NOT_NEGATION)), F.lit(0))
+    ls = F.split("text", r"\R|[\x1c-\x1e]")
+    plain["lab_result_lines"] = F.size(F.filter(ls, lambda x: x.rlike(P.FEATURES["lab_token_hits"]) & x.rlike(r"(?U)\b\d+(?:[.,]\d+)?\b")))
+    want = df.select("doc_id", *[c.alias(k) for k, c in plain.items()]).orderBy("doc_id").collect()
+    assert P.measures(df).select("doc_id", *plain).orderBy("doc_id").collect() == want
+    assert set(P.UNMARKED) < {*P.FEATURES.values(), P.NEGATION, P.NOT_NEGATION}
