@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .score import numbered_tuples, tuple_scores
+from .score import count_scores, counted_tuples
 
 
 def sequence_tags(rows: DataFrame, pad: str = "0") -> DataFrame:
@@ -26,9 +26,11 @@ def both_scores(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """(kind, tag, precision, recall, f1) of ``gold`` and ``pred(sent_id, pos, word, tag)``, the words of either side its own.
 
     ``words`` counts a tuple of tag and word, ``dummy`` the tag alone, so that mis-heard words still count as tagged.
+    Tuples are shuffled once, by sentence, and counted there; the counts without words are sums of those with them.
     """
-    out = None
-    for kind, with_words in (("words", True), ("dummy", False)):
-        one = tuple_scores(numbered_tuples(gold, with_words), numbered_tuples(pred, with_words)).withColumn("kind", F.lit(kind))
+    words, out = counted_tuples(gold, pred), None
+    bare = words.groupBy("sent_id", "tag").agg(F.sum("g").alias("g"), F.sum("p").alias("p")).withColumn("word", F.lit("dummy"))
+    for kind, counted in (("words", words), ("dummy", bare)):
+        one = count_scores(counted).withColumn("kind", F.lit(kind))
         out = one if out is None else out.union(one)
     return out.select("kind", "tag", "precision", "recall", "f1")

@@ -60,12 +60,17 @@ def prf_averages(spark, d):
     return _r(score.averages(score.set_prf(g, p, ["doc_id", "type", "start", "end"])), "precision", "recall", "f1")
 
 
+def _gold_pred(pos):
+    """The two tags of the word at place ``pos`` of a line."""
+    n = F.col("doc_id") + F.col("line_no") + pos
+    gold = F.when(pos == 0, "B-A").when((pos == 1) & (F.col("line_no") % 2 == 0), "I-A").when(pos == 4, "B-B").otherwise("O")
+    return gold, F.when(n % 11 == 0, "O").when((n % 13 == 0) & (pos < 6), "B-B").otherwise(gold)
+
+
 def _tags(spark, d):
     """Tags by word place: gold B on each line's first word, predictions by arithmetic."""
     words = V.all_lines(spark, d).select("doc_id", "line_no", F.posexplode(F.split("line", " ")).alias("pos", "word"))
-    n = F.col("doc_id") + F.col("line_no") + F.col("pos")
-    gold = F.when(F.col("pos") == 0, "B-A").when((F.col("pos") == 1) & (F.col("line_no") % 2 == 0), "I-A").when(F.col("pos") == 4, "B-B").otherwise("O")
-    pred = F.when(n % 11 == 0, "O").when((n % 13 == 0) & (F.col("pos") < 6), "B-B").otherwise(gold)
+    gold, pred = _gold_pred(F.col("pos"))
     return words.select("doc_id", "line_no", "pos", "word", gold.alias("gold_tag"), pred.alias("pred_tag"))
 
 
@@ -81,8 +86,8 @@ def slue(spark, d):
 
 def seq2seq_eval(spark, d):
     """Lines as a generator tags them: some lose their last two words, some gain one; scored with and without words."""
-    t = _tags(spark, d)
-    whole = t.where("line_no % 35 <> 0").groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "gold_tag", "pred_tag"))).alias("x")).where("not exists(x, y -> y.word = '' or y.word like '%*%')")
+    tagged = lambda w, pos: F.struct(w.alias("word"), *(c.alias(k) for c, k in zip(_gold_pred(pos), ("gold_tag", "pred_tag"), strict=True)))
+    whole = V.all_lines(spark, d).where("line_no % 35 <> 0").select("doc_id", "line_no", F.transform(F.split("line", " "), tagged).alias("x")).where("not exists(x, y -> y.word = '' or y.word like '%*%')")
     n, none = F.size("x"), F.array().cast("array<string>")
     col = lambda c: F.transform("x", lambda y: y[c])
     short = F.when(F.col("line_no") % 7 == 0, F.greatest(n - 2, F.lit(0))).otherwise(n)

@@ -156,3 +156,19 @@ def test_registered_functions_equal_the_columns(spark):
     assert [tuple(r) for r in named.collect()] == [tuple(r) for r in mine.collect()]
     ratios = df.where("s is not null").selectExpr("span_token_set_ratio(span_norm(s), span_norm(t)) a", "span_word_distance(span_words(s), span_words(t)) b").collect()
     assert ratios[2]["a"] == 100.0 and ratios[3]["b"] == 3
+
+
+def test_counted_tuples_score_as_numbered_ones_and_are_shuffled_once(spark):
+    import random
+
+    from spanloom.operators import score
+
+    rng = random.Random(4)
+    rows = lambda: [(rng.choice(["s1", "s2", None]), k, rng.choice(["a", "b", None]), rng.choice(["B-X", "I-X", "B-Y", "O", "0"])) for k in range(80)]
+    gold, pred = (spark.createDataFrame(rows(), "sent_id string, pos int, word string, tag string") for _ in "gp")
+    want = [("words", *r) for r in map(tuple, score.tuple_scores(score.numbered_tuples(gold), score.numbered_tuples(pred)).collect())]
+    want += [("dummy", *r) for r in map(tuple, score.tuple_scores(score.numbered_tuples(gold, False), score.numbered_tuples(pred, False)).collect())]
+    told = evaluate.both_scores(gold, pred)
+    assert sorted(map(tuple, told.collect())) == sorted(want)
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
