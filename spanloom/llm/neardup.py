@@ -1,10 +1,13 @@
-"""Near-duplicate texts by exact Jaccard similarity of word shingles, for the pipeline.
+"""Near-duplicate texts for the pipeline: SimHash fingerprints in BK-trees, and exact Jaccard similarity of word shingles.
 
 Two texts are near copies if their words (A-Z lower-cased) are the same, or if the Jaccard similarity of their
-sets of ``SHINGLE``-word shingles is at least ``NEAR`` (a shorter text is one shingle).  No fingerprint stands
-in for the similarity: at 0.8, SimHash fingerprints differ in about ten of 64 bits, and no radius is safe.
+sets of ``SHINGLE``-word shingles is at least ``NEAR`` (a shorter text is one shingle).
 
-1. Texts with the same words are one node (a 64-bit hash): copies cost nothing below.
+1. Texts with the same words are one node (a 64-bit hash): copies cost nothing below.  A node's fingerprint has
+   a bit where more than half of its shingles' hashes have it.  Fingerprints within ``RADIUS`` bits are found by
+   the BK-trees of :func:`simhash.links`; links whose sets are as near as ``NEAR`` make the first components.
+   At a similarity of 0.8 fingerprints differ in about ten bits, more than any blocks can deal, so steps 2 to 4
+   are the exact way for what the trees leave apart; pairs within a first component aren't looked at again.
 2. Prefix filter: in any one order of all shingles, two sets of similarity t share a shingle among the first
    n - ceil(t n) + 1 of each.  The order puts common shingles last.  Which are common is told by a sample of
    nodes, at most ``COMMON`` of them; a wrong guess there costs time, never a pair.
@@ -36,16 +39,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, most_frequent, prefix_hash, shielded, span_hash, text_slices, words
-from .simhash import components
+from .simhash import components, links, shard_links
 
 SHINGLE = 5
 NEAR = (4, 5)  # as a fraction: all comparisons are of whole numbers
+RADIUS = 4
 BIG = 32
 COMMON = 1 << 18
 SAMPLE = 8
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 20
 MAP_BITS = 512  # at least; a power of two
+_RUN = 1 << 16  # shingles whose hash bits are counted at once
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -89,6 +94,18 @@ def _long(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64))
 
 
+def prints(n_rows: int, own: np.ndarray, sh: np.ndarray) -> np.ndarray:
+    """The fingerprint of each row's shingles (``own`` ascends): bits that more than half of their hashes have."""
+    counts = np.zeros((n_rows, 64), np.int64)
+    for k in range(0, len(sh), _RUN):
+        row = own[k : k + _RUN]
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        bits = np.unpackbits(np.ascontiguousarray(sh[k : k + _RUN], "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts[row[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+    size = np.bincount(own, minlength=n_rows)
+    return np.packbits(2 * counts > size[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+
+
 def parity_maps(n_rows: int, own: np.ndarray, sh: np.ndarray) -> pa.Array:
     """The parity map of each row's shingles: as many bits as shingles, rounded up to a power of two."""
     size = np.maximum(MAP_BITS, np.bincount(own, minlength=n_rows))
@@ -115,14 +132,24 @@ def may_be_alike(x: bytes, y: bytes, n: int) -> bool:
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, size, map) for every row."""
+    """(doc_id, node, size, map, fp) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i, j, node, own, sh in _slices(batches, once=False):
             size = np.bincount(own, minlength=j - i).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), _long(node), pa.array(size), parity_maps(j - i, own, sh)], names=["doc_id", "node", "size", "map"])
+            columns = [batch.column("doc_id").slice(i, j - i), _long(node), pa.array(size), parity_maps(j - i, own, sh), _long(prints(j - i, own, sh))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "size", "map", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, node long, size int, map binary, fp long")
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, node long, size int, map binary")
+def close_prints(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): links between ``nodes(node, fp)`` whose fingerprints are equal or, by the BK-trees, within the radius."""
+    first = cut(nodes.groupBy("fp").agg(F.min("node").alias("first")), "prints")
+    equal = nodes.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    one, two = (first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node")) for c in ("a", "b"))
+    apart = links(first.select("fp"), radius=radius, forest=shard_links).join(one, "a").join(two, "b")
+    return equal.union(apart.select(F.least("a_node", "b_node"), F.greatest("a_node", "b_node")))
 
 
 def common_shingles(docs: DataFrame, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
@@ -295,16 +322,16 @@ def _links_apart(members: DataFrame, docs: DataFrame, block: int = BLOCK) -> Dat
 
 
 def _allowed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of ``pairs(a, b)`` that the maps of ``nodes(node, size, map)`` allow to be alike."""
+    """Those of ``pairs(a, b)`` of different roots that the maps of ``nodes(node, size, map, root)`` allow to be alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y, n = (batch.column(c).to_pylist() for c in ("x", "y", "n"))
             yield batch.select(["a", "b"]).filter(pa.array([may_be_alike(*row) for row in zip(x, y, n, strict=True)], pa.bool_()))
 
-    one = nodes.select(F.col("node").alias("a"), F.col("map").alias("x"), F.col("size").alias("n1"))
-    two = nodes.select(F.col("node").alias("b"), F.col("map").alias("y"), F.col("size").alias("n2"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", (F.col("n1") + F.col("n2")).alias("n"))
+    one = nodes.select(F.col("node").alias("a"), F.col("map").alias("x"), F.col("size").alias("n1"), F.col("root").alias("r1"))
+    two = nodes.select(F.col("node").alias("b"), F.col("map").alias("y"), F.col("size").alias("n2"), F.col("root").alias("r2"))
+    both = pairs.join(one, "a").join(two, "b").where("r1 <> r2").select("a", "b", "x", "y", (F.col("n1") + F.col("n2")).alias("n"))
     return both.mapInArrow(run, "a long, b long")
 
 
@@ -317,20 +344,33 @@ def _alike(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(sum(NEAR) * both >= NEAR[0] * (F.size("x") + F.size("y"))).select("a", "b")
 
 
-def near_texts(docs: DataFrame, big: int = BIG, block: int = BLOCK) -> DataFrame:
+def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``nodes`` with the root of each one's component."""
+    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def close_texts(docs: DataFrame, nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): links of :func:`close_prints` whose sets are as near as ``NEAR``."""
+    pairs = cut(_allowed(close_prints(nodes, radius), nodes.withColumn("root", F.col("node"))), "close")
+    return cut(_alike(pairs, docs), "alike")
+
+
+def near_texts(docs: DataFrame, big: int = BIG, block: int = BLOCK, radius: int = RADIUS) -> DataFrame:
     """(component_id): the smallest doc_id of each component of near copies among ``docs(doc_id, text)``."""
-    nodes = cut(marks(docs).groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("size").alias("size"), F.first("map").alias("map")), "nodes")
+    firsts = [F.first(c).alias(c) for c in ("size", "map", "fp")]
+    nodes = cut(marks(docs).groupBy("node").agg(F.min("doc_id").alias("first_doc"), *firsts), "nodes")
+    close = close_texts(docs, nodes, radius)
+    rooted = cut(_rooted(nodes.select("node", "size", "map"), components(close)), "rooted")
     met = cut(_meet(prefixes(docs, common_shingles(docs)), big), "met")
-    pairs = cut(_allowed(met.where("not big").select("a", "b").distinct(), nodes), "pairs")
-    edges = cut(_alike(pairs, docs), "alike")
+    pairs = cut(_allowed(met.where("not big").select("a", "b").distinct(), rooted), "pairs")
+    edges = close.union(cut(_alike(pairs, docs), "alike"))
     roots = components(edges)
     members = met.where("big").select(F.col("a").alias("sh"), F.col("b").alias("node"))
-    told = members.join(nodes.select("node", "size", "map"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    told = members.join(_rooted(nodes.select("node", "size", "map"), roots), "node")
     more = _links_apart(told, docs, block)
     if more is not None and not more.isEmpty():
         roots = components(edges.union(more))
-    labelled = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return labelled.groupBy("root").agg(F.min("first_doc").alias("component_id")).select("component_id")
+    return _rooted(nodes.select("node", "first_doc"), roots).groupBy("root").agg(F.min("first_doc").alias("component_id")).select("component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

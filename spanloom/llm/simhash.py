@@ -6,7 +6,7 @@
 2. Equal fingerprints are one node: everything below works on distinct fingerprints, so copies cost nothing.
 3. ``links`` deals each fingerprint to six shards, one for each pair of its four 16-bit blocks: two
    fingerprints within two bits differ in at most two blocks and so meet in at least one shard (the
-   pigeonhole principle; nothing is lost).  Each shard's fingerprints go into a BK-tree, children keyed by
+   pigeonhole principle; nothing is lost).  A wider radius takes that many blocks and two more.  Each shard's fingerprints go into a BK-tree, children keyed by
    their integer Hamming distance to the parent; a lookup follows only edges within the radius.  The trees
    are shipped to where their shard's fingerprints are dealt, not broadcast whole: their total size grows
    with the corpus, a shard's does not.  A shard with more than ``HOT`` fingerprints is dealt again by
@@ -122,10 +122,9 @@ class BKTree:
         return found
 
 
-def shard_forest(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
-    """(value, root) for every value of a shard that links to a smaller one; roots are their tree's smallest."""
-    values = sorted(set(values))
-    tree, parent = BKTree(), list(range(len(values)))
+def _joined(values: list[int], radius: int) -> tuple[list[int], list[tuple[int, int]]]:
+    """Of sorted values the place of each one's root, the smallest of its tree, and the links that join trees, nearest first."""
+    tree, parent, joins = BKTree(), list(range(len(values))), []
 
     def top(k: int) -> int:
         while parent[k] != k:
@@ -134,43 +133,65 @@ def shard_forest(values: list[int], radius: int = RADIUS) -> list[tuple[int, int
         return k
 
     for k, v in enumerate(values):
-        for m in tree.near(v, radius):
+        for m in sorted(tree.near(v, radius), key=lambda m: (tree.values[m] ^ v).bit_count()):
             a, b = top(m), top(k)
-            parent[max(a, b)] = min(a, b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                joins.append((v, values[m]))
         tree.add(v)
-    return [(v, values[top(k)]) for k, v in enumerate(values) if top(k) != k]
+    return [top(k) for k in range(len(values))], joins
+
+
+def shard_forest(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
+    """(value, root) for every value of a shard that links to a smaller one; roots are their tree's smallest."""
+    values = sorted(set(values))
+    return [(v, values[m]) for v, (k, m) in zip(values, enumerate(_joined(values, radius)[0]), strict=True) if m != k]
 
 
+def shard_links(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
+    """(value, smaller value): a spanning forest of the shard's links, each within the radius itself."""
+    return _joined(sorted(set(values)), radius)[1]
 
 
-def _block(fp, k: int):
-    return F.shiftrightunsigned(fp, 16 * k).bitwiseAND(F.lit(0xFFFF))
+def _cuts(width: int, n: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of ``n`` parts of ``width`` bits, as even as can be."""
+    ends = [-(-width * k // n) for k in range(n + 1)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
 
 
-_PAIRS = [(a, b) for a in range(4) for b in range(a)]
+def _bits(value, parts: list[tuple[int, int]]):
+    """The parts' bits side by side, as a long of its own (together they are fewer than 64)."""
+    out = None
+    for at, n in parts:
+        own = F.shiftrightunsigned(value, at).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
+        out = own if out is None else F.shiftleft(out, n).bitwiseOR(own)
+    return out
 
 
-def _shards(nodes: DataFrame) -> DataFrame:
-    """(fp, k, shard): six shards for each fingerprint."""
-    fp = F.col("fp")
-    keys = [F.struct(F.lit(n).alias("k"), F.shiftleft(_block(fp, a), 16).bitwiseOR(_block(fp, b)).alias("shard")) for n, (a, b) in enumerate(_PAIRS)]
+def _pairs(radius: int) -> list[tuple[list, list]]:
+    """For any two of ``radius + 2`` blocks of a fingerprint: the two, and the others."""
+    blocks = _cuts(64, radius + 2)
+    return [([blocks[a], blocks[b]], [x for k, x in enumerate(blocks) if k not in (a, b)]) for a in range(len(blocks)) for b in range(a)]
+
+
+def _shards(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, k, shard): a shard for any two blocks of each fingerprint."""
+    keys = [F.struct(F.lit(n).alias("k"), _bits(F.col("fp"), own).alias("shard")) for n, (own, _) in enumerate(_pairs(radius))]
     return nodes.select("fp", F.inline(F.array(*keys)))
 
 
-def _parts(hot: DataFrame) -> DataFrame:
-    """Fingerprints of hot shards dealt again by thirds of the 32 bits that their shard leaves open."""
-    fp = F.col("fp")
-    rest = None
-    for n, pair in enumerate(_PAIRS):
-        c, d = (x for x in range(4) if x not in pair)
-        both = F.shiftleft(_block(fp, c), 16).bitwiseOR(_block(fp, d))
+def _parts(hot: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Fingerprints of hot shards dealt again by ``radius + 1`` parts of the bits that their shard leaves open."""
+    rest, width = None, []
+    for n, (_, others) in enumerate(_pairs(radius)):
+        both = _bits(F.col("fp"), others)
         rest = F.when(F.col("k") == n, both) if rest is None else rest.when(F.col("k") == n, both)
-    cuts = ((0, 0x7FF), (11, 0x7FF), (22, 0x3FF))
-    keys = [F.struct(F.lit(n).alias("part"), F.shiftrightunsigned(rest, s).bitwiseAND(F.lit(m)).alias("bits")) for n, (s, m) in enumerate(cuts)]
+        width.append(sum(w for _, w in others))
+    keys = [F.struct(F.lit(n).alias("part"), _bits(rest, [c]).alias("bits")) for n, c in enumerate(_cuts(max(width), radius + 1))]
     return hot.select("fp", "k", "shard", F.inline(F.array(*keys)))
 
 
-def _link_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _link_shards(batches: Iterator[pa.RecordBatch], link) -> Iterator[pa.RecordBatch]:
     """Rows sorted by shard: gathers each shard's run of fingerprints, which may cross batches, and links it."""
     held: list[int] = []
     last: tuple | None = None
@@ -192,26 +213,33 @@ def _link_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = tuple(key[:, lo].tolist())
             if own != last:
                 if len(held) > 1:
-                    out += shard_forest(held)
+                    out += link(held)
                 held, last = [], own
             held += fps[lo:hi].tolist()
             if len(out) > 50_000:
                 yield pack()
     if len(held) > 1:
-        out += shard_forest(held)
+        out += link(held)
     yield pack()
 
 
-def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
-    """(a, b): a spanning set of links between distinct fingerprints ``nodes(fp)`` within two bits."""
-    spread = _shards(nodes)
+def links(nodes: DataFrame, hot: int = HOT, radius: int = RADIUS, forest=shard_forest) -> DataFrame:
+    """(a, b): a spanning set of links between distinct fingerprints ``nodes(fp)`` within the radius.
+
+    With :func:`shard_links` as ``forest`` every row is a link itself, else a value and its tree's root.
+    """
+    spread = _shards(nodes, radius)
     sizes = spread.groupBy("k", "shard").agg(F.count("*").alias("n")).where("n > 1")
     spread = spread.join(sizes, ["k", "shard"])
     plain = spread.where(F.col("n") <= hot).select("fp", "k", "shard", F.lit(-1).alias("part"), F.lit(0).cast("long").alias("bits"))
-    again = _parts(spread.where(F.col("n") > hot))
+    again = _parts(spread.where(F.col("n") > hot), radius)
     both = plain.union(again.select("fp", "k", "shard", "part", F.col("bits").cast("long")))
     keys = ["k", "shard", "part", "bits"]
-    return both.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_link_shards, "a long, b long").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _link_shards(batches, lambda held: forest(held, radius))
+
+    return both.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -110,3 +110,71 @@ def test_groups_are_cut_where_they_end(spark):
         groups = list(neardup._groups(iter(batches)))
         assert all(not set(x[0]) & set(y[0]) for x, y in zip(groups, groups[1:]))
         assert np.array_equal(np.concatenate(groups, axis=1), neardup._once(rows))
+
+
+def fingerprint(hashes):
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints_are_majorities_of_bits(monkeypatch):
+    monkeypatch.setattr(neardup, "_RUN", 7)
+    rng = np.random.default_rng(4)
+    own = np.repeat([0, 2, 3, 5], [1, 9, 30, 4])
+    sh = rng.integers(0, 2**63, len(own)).astype(np.uint64) * np.uint64(3)
+    assert neardup.prints(7, own, sh).tolist() == [fingerprint(sh[own == r].tolist()) for r in range(7)]
+
+
+@pytest.mark.parametrize("hot", [20_000, 3])
+@pytest.mark.parametrize("radius", [2, 4, 5])
+def test_trees_link_every_close_pair_by_links_that_are_close(spark, radius, hot):
+    from spanloom.llm import simhash
+
+    rng = np.random.default_rng(radius)
+    values = set()
+    for v in rng.integers(0, 2**63, 30).tolist():
+        for _ in range(9):
+            for b in rng.choice(64, int(rng.integers(1, radius + 2)), replace=False).tolist():
+                v ^= 1 << b
+            values.add(v)
+    nodes = spark.createDataFrame([(int(np.array(v, np.uint64).view(np.int64)),) for v in values], "fp long")
+    found = [(a % (1 << 64), b % (1 << 64)) for a, b in simhash.links(nodes, hot, radius, simhash.shard_links).collect()]
+    assert all((a ^ b).bit_count() <= radius for a, b in found)
+
+    def groups(pairs):
+        top = {v: v for v in values}
+
+        def find(k):
+            while top[k] != k:
+                k = top[k]
+            return k
+
+        for a, b in pairs:
+            top[find(a)] = find(b)
+        return {frozenset(w for w in values if find(w) == find(v)) for v in values}
+
+    assert groups(found) == groups([(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= radius])
+
+
+def test_stage_takes_its_first_links_from_fingerprints(spark, rows):
+    """Long texts with one word changed at an end are within the radius; every link is of alike sets."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    texts = []
+    for _ in range(30):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        texts += [" ".join(base), " ".join([*base[:-1], "changed"])]
+    all_rows = [*rows, *[(k + 5000, t) for k, t in enumerate(texts)]]
+    df = spark.createDataFrame(all_rows, "doc_id long, text string")
+    marks = neardup.marks(df).collect()
+    nodes = spark.createDataFrame(marks, "doc_id long, node long, size int, map binary, fp long").groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "map", "fp")])
+    found = [tuple(r) for r in neardup.close_texts(df, nodes).collect()]
+    by_doc = {r["doc_id"]: r for r in marks if r["doc_id"] is not None}
+    text_of = {by_doc[i]["node"]: t for i, t in all_rows if i is not None}
+    fp_of = {r["node"]: r["fp"] % (1 << 64) for r in marks}
+    for a, b in found:
+        x, y = shingles(text_of[a]), shingles(text_of[b])
+        assert 5 * len(x & y) >= 4 * len(x | y) and (fp_of[a] ^ fp_of[b]).bit_count() <= neardup.RADIUS
+    close = {frozenset((by_doc[5000 + k]["node"], by_doc[5001 + k]["node"])) for k in range(0, 60, 2)}
+    close = {p for p in close if (lambda a, b: (fp_of[a] ^ fp_of[b]).bit_count() <= neardup.RADIUS)(*p)}
+    assert len(close) >= 25 and close <= {frozenset(p) for p in found}
