@@ -343,3 +343,29 @@ def test_patterns_are_read_in_short_where_no_marked_letter_is(spark):
     want = df.select("doc_id", *[c.alias(k) for k, c in plain.items()]).orderBy("doc_id").collect()
     assert P.measures(df).select("doc_id", *plain).orderBy("doc_id").collect() == want
     assert set(P.UNMARKED) < {*P.FEATURES.values(), P.NEGATION, P.NOT_NEGATION}
+
+
+def test_repeats_and_words_are_worked_out_once(spark):
+    """Lines and blocks are squeezed in one place of the plan, and counts are those of a literal version."""
+    import re
+    from collections import Counter
+
+    from spanloom.operators import profile
+
+    line, block = "The  line that is long\tenough to count", "a block of text that is quite long, " * 3
+    texts = [None, "", "\n\n", f"{line}\n" * 2 + line.replace("  ", " ").upper() + "\nshort\nshort\n", f"{block}\n \n{block.upper()}\n\n{block}\n\n{line}", "x3 a_b é naïve 12 ab-cd́ ² ａｂ\nab "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    columns = ["repeated_line_types", "repeated_line_extra", "repeated_paragraph_types", "repeated_paragraph_extra"]
+    found = profile.structure(docs, profile.PLAIN)
+    assert found.select(*columns)._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 3
+
+    def repeats(parts, least):
+        n = Counter(x.lower() for x in (re.sub(r"\s+", " ", p).strip() for p in parts) if len(x) >= least)
+        return sum(v > 1 for v in n.values()), sum(v - 1 for v in n.values())
+
+    got = {r["doc_id"]: tuple(r)[1:] for r in found.select("doc_id", *columns, "tokens", "ascii_word_ratio").collect()}
+    for k, text in enumerate(texts):
+        t = text or ""
+        assert got[k][:4] == repeats(t.split("\n"), 30) + repeats(re.split(r"\n\s*\n", t), 80), k
+    assert got[5][4:] == (9, 0.0)
+    assert got[3][4] == 26 and got[3][5] == round(sum(len(w) >= 4 for w in re.findall(r"\w+", texts[3])) / 26, 4)
