@@ -185,3 +185,34 @@ def test_parts_of_unknown_types_are_left_out(spark):
     catalog = spark.createDataFrame([("Y", 0, "why", "c")], "type string, k long, name string, code string")
     row = generate.assemble(parts, catalog, 1).first()
     assert row["text"] == "a whyb" and [(c["text"], c["start"], c["assertions"], c["candidates"]) for c in row["concepts"]] == [("why", 2, ["l"], ["c"])]
+
+
+def _notes(spark, catalog, n=200, **more):
+    templates = (generate.Template(("Now",), (generate.Slot(DIAGNOSIS),), 1, 2), generate.Template(("Drugs",), (generate.Slot(DRUG, before=("takes ",)), generate.Slot(LAB, share=0.5))))
+    return generate.note_documents(spark.range(n).withColumnRenamed("id", "doc_id"), templates, ("Well.", "Seen today."), catalog, **more)
+
+
+def test_notes_grow_until_their_drawn_length(spark, catalog):
+    rows = check(_notes(spark, catalog))
+    assert len(rows) == 200 and all(len(r["text"]) >= r["target"] for r in rows)
+    assert max(r["text"].count("\n") for r in rows) > 200
+    short = check(_notes(spark, catalog, most=3))  # an end that is asked for
+    assert all(r["text"].count("\n") <= 3 * 5 for r in short)
+
+
+def test_names_that_are_not_broadcast_give_the_same_documents(spark, catalog, monkeypatch):
+    frames = spark.createDataFrame([(f"- {{{DIAGNOSIS}}}", 6), (f"dùng {{{DRUG}}} trị {{{DIAGNOSIS}}}", 2), (f"{{{LAB}}} of {{NONE}}", 1)], "template string, freq long")
+    headers = spark.createDataFrame([("1. Heading", 3)], "text string, freq long")
+    made = lambda: generate.frame_documents(spark.range(50).withColumnRenamed("id", "doc_id"), frames, headers, ("A line.",), catalog, CLINICAL_VI)
+    told = lambda df: sorted((r["doc_id"], r["target"], r["text"], r["concepts"]) for r in df.collect())
+    whole = told(made())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = made()._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(") <= 2  # ids alone: distinct, and dealt over tasks
+        monkeypatch.setattr(generate, "BROADCAST_BYTES", 400)
+        some = told(made())
+        monkeypatch.setattr(generate, "BROADCAST_BYTES", 0)
+        assert whole == some == told(made())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
