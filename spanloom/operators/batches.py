@@ -31,7 +31,7 @@ def contrastive_batches(pairs: DataFrame, size: int = 64, seed: int = 1) -> Data
     own = pairs.where("code is not null")
     n, most = own.groupBy("code").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     batches = max(1, -(-n // size), most)
-    hashed = lambda *c: F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(x).cast("string") for x in c]))
+    hashed = lambda *c: F.unhex(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(x).cast("string") for x in c])))
     dealt = numbered(own.withColumns({"_h": hashed("code"), "_i": hashed("a", "b")}), "_h", "code", "_i", "a", "b").drop("_h", "_i")
     return dealt.withColumns({"batch": F.col("place") % batches, "slot": F.floor(F.col("place") / batches)}).drop("place")
 

@@ -267,3 +267,25 @@ def test_single_spaces_stay_and_other_white_space_is_one_space(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     plain = F.trim(F.regexp_replace("t", r"(?U)\s+", " "))
     assert df.where(~plain.eqNullSafe(X.squeeze(F.col("t")))).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_nearest_over_parts_equals_all_pairs_and_shuffles_no_vectors(spark, monkeypatch, kind):
+    rng = random.Random(5)
+    vectors = [[rng.choice((rng.gauss(0, 1), 0.5, -0.5)) for _ in range(32)] for _ in range(900)]
+    one = spark.createDataFrame(list(enumerate(vectors)), f"vec_id long, embedding array<{kind}>").withColumn("label", (F.col("vec_id") % 4).cast("int"))
+    monkeypatch.setattr(link, "VECTOR_BLOCK", 50)
+    q = one.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")).repartition(4)
+    t = one.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"))
+    own = [r["embedding"] for r in one.orderBy("vec_id").collect()]
+    want = {k: sorted((-round(sum(x * y for x, y in zip(v, w, strict=True)), 9), n) for n, w in enumerate(own))[:7] for k, v in enumerate(own)}
+    told = lambda: {r["query_id"]: [(-round(x["score"], 8), x["row_id"]) for x in r["found"]] for r in link.nearest(q, t, 7).collect()}
+    near = {k: [(round(s, 8), n) for s, n in v if -s >= -2] for k, v in want.items()}
+    assert told() == near
+    monkeypatch.setattr(link, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(link, "TERM_BYTES", 40_000)  # some parts, whose bests are merged
+    assert told() == near
+    monkeypatch.setattr(link, "TERM_BYTES", 128 << 20)
+    assert told() == near
+    q.cache().count()
+    assert _shuffled(spark, lambda: link.nearest(q, t, 7).write.format("noop").mode("overwrite").save()) < 20_000
