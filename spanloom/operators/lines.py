@@ -1,6 +1,6 @@
 """Operators that multiply rows: lines, regex matches, items, headings, frames, windows of tokens.
 
-A document's lines are exploded in the scan; their offsets are a running sum per document.
+A document's lines are exploded in the scan, with their offsets: a row is a whole text, so nothing is shuffled for them.
 """
 
 from __future__ import annotations
@@ -18,11 +18,17 @@ from ..functions.lexicon import FLAGS, Lexicon
 
 def lines(docs: DataFrame, *keep: str) -> DataFrame:
     """(doc_id, *keep, line_no, start, line): every line of every text, blank ones too, with its offset."""
-    clean = F.regexp_replace(F.col("text"), "\r\n?", "\n")
-    flat = docs.select("doc_id", *keep, F.posexplode(F.split(clean, "\n")).alias("line_no", "line"))
-    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("long")
-    return flat.select("doc_id", *keep, "line_no", start.alias("start"), "line")
+    split = docs.select("doc_id", *keep, F.split(F.regexp_replace(F.col("text"), "\r\n?", "\n"), "\n").alias("_lines"))
+    flat = split.withColumn("_starts", _line_starts(F.transform("_lines", F.length))).select("doc_id", *keep, "_starts", F.posexplode("_lines").alias("line_no", "line"))
+    return flat.select("doc_id", *keep, "line_no", F.get("_starts", F.col("line_no")).alias("start"), "line")
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _line_starts(sizes: pa.Array) -> pa.Array:
+    """Where lines of these lengths begin in their texts: running sums over the arrays."""
+    ends = np.concatenate(([0], np.cumsum(sizes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))))
+    upto = np.concatenate(([0], np.cumsum(sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + 1)))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(upto[:-1] - np.repeat(upto[ends[:-1]], np.diff(ends))))
 
 
 @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("match", T.StringType())])))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .sweep import sweep as sweep
 from .tables import LocateInOrder, PlaceLongestFirst
@@ -12,12 +15,15 @@ from .tables import LocateInOrder, PlaceLongestFirst
 def bio_decode(tags: DataFrame, zero_width: Column | None = None) -> DataFrame:
     """(doc_id, type, start, end, conf) from ``tags(doc_id, pos, ts, te, tag, prob)``.
 
-    A span begins at ``B-`` or where the type changes; ``I-`` of the same type goes on; ``O`` ends it.
+    A span begins at ``B-`` or where the type changes; ``I-`` of the same type goes on; ``O`` ends it.  Where tags have a
+    ``place``, their tokens' numbers in a row, those of ``O`` may be left out: a gap ends a span as well.
     """
     t = tags.where("te > ts") if zero_width is None else tags.where(~zero_width)
     w = Window.partitionBy("doc_id").orderBy("pos")
     t = t.withColumn("kind", F.when(F.col("tag") != "O", F.substring("tag", F.lit(3), F.length("tag"))))
     begins = F.col("tag").startswith("B-") | ~F.col("kind").eqNullSafe(F.lag("kind").over(w))
+    if "place" in tags.columns:
+        begins = begins | (F.col("place") != F.lag("place").over(w) + 1)
     t = t.withColumn("begins", begins.cast("int"))
     t = t.withColumn("island", F.sum("begins").over(w)).where("kind is not null")
     conf = F.coalesce(F.avg("prob"), F.lit(1.0))
@@ -39,6 +45,52 @@ def bio_encode(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     return out.withColumn("tag", tag).drop("span")
 
 
+def bio_texts(docs: DataFrame, spans: DataFrame, outside: bool = True) -> DataFrame:
+    """(doc_id, place, pos, ts, te, tag) of the words of ``docs(doc_id, text)``, tagged as :func:`bio_encode` does.
+
+    ``pos`` is a hundred thousand times the line's number and the word's number in it, ``place`` its number in the text;
+    without ``outside`` words in no span are left out.  A text meets its spans as arrays of one row, before it is cut into
+    words, so words are neither shuffled nor joined.
+    """
+    held = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("e"), "type"))).alias("spans"))
+    # Texts go into the join as plans.pipelines.from_logits has them, so that one shuffle of them serves both.
+    both = docs.select("doc_id", F.col("text").alias("raw")).join(held, "doc_id", "left" if outside else "inner").withColumn("text", F.regexp_replace("raw", "\r\n?", "\n"))
+    gaps = both.select("doc_id", "spans", F.split("text", r"\S+", -1).alias("gaps"), F.transform(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), F.length).alias("sizes"))
+    breaks = F.transform("gaps", lambda g: F.length(g) - F.length(F.replace(g, F.lit("\n"))))
+    bound = lambda c: F.coalesce(F.transform("spans", lambda x: x[c]), F.array().cast("array<bigint>"))
+    words = _words_in(F.transform("gaps", F.length), breaks, "sizes", bound("s"), bound("e"), F.lit(outside))
+    flat = gaps.select("doc_id", "spans", words.alias("words")).select("doc_id", "spans", F.inline("words"))
+    own = F.get("spans", F.col("span"))
+    tag = F.when(F.col("span") < 0, "O").otherwise(F.concat(F.when(F.col("ts") <= own["s"], "B-").otherwise("I-"), own["type"]))
+    return flat.select("doc_id", "place", "pos", "ts", "te", tag.alias("tag"))
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("place", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("pos", "ts", "te")], T.StructField("span", T.IntegerType())])))
+def _words_in(gaps: pa.Array, breaks: pa.Array, sizes: pa.Array, starts: pa.Array, ends: pa.Array, outside: pa.Array) -> pa.Array:
+    """Words, from their lengths and those of the gaps before them, each with the first span (of sorted ones) that overlaps it, or -1."""
+    flat = lambda x: x.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = lambda x: np.concatenate(([0], np.cumsum(x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))))
+    (g, b, z, s, e), at_g, at_z, at_s = map(flat, (gaps, breaks, sizes, starts, ends)), upto(gaps), upto(sizes), upto(starts)
+    every, out, many = outside[0].as_py() if len(outside) else True, [], np.zeros(len(sizes), np.int64)
+    for k in range(len(sizes)):
+        n = at_z[k + 1] - at_z[k]
+        size, line = z[at_z[k] : at_z[k + 1]], np.cumsum(b[at_g[k] : at_g[k] + n])
+        te = np.cumsum(g[at_g[k] : at_g[k] + n] + size)
+        ts, place, own = te - size, np.arange(n), np.full(n, -1)
+        first, last = s[at_s[k] : at_s[k + 1]], e[at_s[k] : at_s[k + 1]]
+        low, high = np.searchsorted(te, first, "right"), np.searchsorted(ts, last, "left")
+        for i in range(len(first) - 1, -1, -1):
+            own[low[i] : high[i]] = i
+        pos = line * 100_000 + place - np.searchsorted(line, line, "left")
+        kept = slice(None) if every else np.flatnonzero(own >= 0)
+        out.append([x[kept] for x in (place, pos, ts, te, own)])
+        many[k] = len(out[-1][0])
+    kinds = (np.int32, np.int64, np.int64, np.int64, np.int32)
+    columns = [pa.array(np.concatenate([x[c] for x in out] or [np.zeros(0)]).astype(t)) for c, t in enumerate(kinds)]
+    rows = pa.StructArray.from_arrays(columns, ["place", "pos", "ts", "te", "span"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))).astype(np.int32)), rows)
+
+
 def chunks(tags: DataFrame, dummy: str = "dum") -> DataFrame:
     """(doc_id, type, start, end) in positions, by the begin/inside/end/single state rules of chunk scoring."""
     w = Window.partitionBy("doc_id").orderBy("pos")
@@ -83,9 +135,11 @@ def section_at(spans: DataFrame, sections: DataFrame) -> DataFrame:
     """Spans with the section of the first line interval that holds their start (its end included).
 
     An as-of lookup without a range join: intervals and spans are sorted together per document, and the
-    line before a start that is a line's first character ends exactly there.
+    line before a start that is a line's first character ends exactly there.  Sections may have their line's ``size`` in
+    its place, so that lines aren't shuffled.
     """
-    lines = sections.select("doc_id", F.col("start").alias("at"), F.lit(0).alias("kind"), F.struct(F.col("start").alias("s"), (F.col("start") + F.length("line")).alias("e"), "top").alias("own"), F.lit(None).cast("struct<k:bigint>").alias("span"))
+    size = F.col("size") if "size" in sections.columns else F.length("line")
+    lines = sections.select("doc_id", F.col("start").alias("at"), F.lit(0).alias("kind"), F.struct(F.col("start").alias("s"), (F.col("start") + size).alias("e"), "top").alias("own"), F.lit(None).cast("struct<k:bigint>").alias("span"))
     own = [c for c in spans.columns if c != "doc_id"]
     probe = spans.select("doc_id", F.col("start").alias("at"), F.lit(1).alias("kind"), F.struct(*own).alias("span"))
     both = lines.drop("span").unionByName(probe, allowMissingColumns=True)

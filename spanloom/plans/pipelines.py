@@ -42,7 +42,8 @@ def evaluate(gold: DataFrame, pred: DataFrame, docs: DataFrame, keys: list[str]
 def from_logits(tokens: DataFrame, docs: DataFrame, lexicon: Lexicon = CLINICAL_VI, least: float = 0.95) -> DataFrame:
     """(doc_id, text, type, start, end, conf, section): mentions from a token classifier's output, overlapping windows and all.
 
-    ``tokens(doc_id, window, pos, ts, te, tag, prob)`` are decoded window by window.  Spans below ``least`` go; what
+    ``tokens(doc_id, window, pos, ts, te, tag, prob)`` are decoded window by window (with ``place``, as
+    :func:`spans.bio_decode` has it, those of ``O`` may be left out).  Spans below ``least`` go; what
     runs over lines is split; bounds snap to words; diagnoses and drugs lose a parenthesis that tells an event;
     garbage goes; of equal spans the first window's stays.  Then the surest are kept first, and what overlaps one
     that is kept goes.
@@ -62,5 +63,5 @@ def from_logits(tokens: DataFrame, docs: DataFrame, lexicon: Lexicon = CLINICAL_
     kept = kept.where(~X.is_garbage(F.col("text"), F.col("type") == LAB_RESULT, lexicon)).withColumn("end", (F.col("start") + F.length("text")).cast("long"))
     best = spans.suppress(spans.first_of(kept, "window"))
     mentions = best.join(text, "doc_id").withColumn("text", cut(F.col("start").cast("int"), F.col("end").cast("int"))).drop("raw")
-    told = lines.sections(lines.lines(docs), lexicon)
-    return spans.section_at(mentions, told).select("doc_id", "text", "type", "start", "end", "conf", "section")
+    told = lines.sections(lines.lines(docs).withColumn("size", F.length("line")), lexicon)
+    return spans.section_at(mentions, told.select("doc_id", "start", "size", "top")).select("doc_id", "text", "type", "start", "end", "conf", "section")

@@ -109,11 +109,11 @@ def piece_labels(spark, d):
 def token_classifier(spark, d):
     """Mentions of a made classifier: gold spans as tags, in windows of three lines that share one, with made confidences."""
     docs = V.load(spark, d, "documents")
-    t = S.bio_encode(spans_._tokens(spark, d), V.gold_spans(spark, d))
+    t = spans_._tagged(spark, d, False)
     line = F.floor(F.col("pos") / 100_000)
     windows = F.array_distinct(F.array(F.floor(line / 2), F.floor((line - 1) / 2)))
     prob = 0.9 + ((F.col("pos") + F.col("doc_id")) % 10) / 100
-    tokens = t.select("doc_id", F.explode(windows).alias("window"), "pos", "ts", "te", "tag", prob.alias("prob")).where("window >= 0")
+    tokens = t.select("doc_id", F.explode(windows).alias("window"), "place", "pos", "ts", "te", "tag", prob.alias("prob")).where("window >= 0")
     found = pipelines.from_logits(tokens, docs, PLAIN, 0.94)
     return found.select("doc_id", "text", "type", "start", "end", F.round("conf", 6).alias("conf"), "section")
 

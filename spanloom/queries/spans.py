@@ -19,19 +19,18 @@ def _docs(spark, d):
     return V.load(spark, d, "documents")
 
 
-def _tokens(spark, d):
-    """Word tokens of lines, with offsets."""
-    m = V.all_lines(spark, d).select("doc_id", "line_no", "start", F.posexplode(L.matches(F.col("line"), r"\S+")).alias("k", "m"))
-    return m.select("doc_id", (F.col("line_no") * 100000 + F.col("k")).cast("long").alias("pos"), (F.col("start") + F.col("m.start")).alias("ts"), (F.col("start") + F.col("m.start") + F.length("m.match")).alias("te"))
+def _tagged(spark, d, outside=True):
+    """Word tokens of lines, with offsets, tagged by the gold spans."""
+    return S.bio_texts(_docs(spark, d), V.gold_spans(spark, d), outside)
 
 
 def bio_encode(spark, d):
-    return S.bio_encode(_tokens(spark, d), V.gold_spans(spark, d)).where("tag <> 'O'").select("doc_id", "pos", "tag")
+    return _tagged(spark, d, False).select("doc_id", "pos", "tag")
 
 
 def bio_decode(spark, d):
     """Gold spans encoded and decoded again."""
-    tags = S.bio_encode(_tokens(spark, d), V.gold_spans(spark, d)).withColumn("prob", F.when(F.col("pos") % 2 == 0, 0.5).otherwise(1.0))
+    tags = _tagged(spark, d, False).withColumn("prob", F.when(F.col("pos") % 2 == 0, 0.5).otherwise(1.0))
     return S.bio_decode(tags).select("doc_id", "type", "start", "end", F.round("conf", 6).alias("conf"))
 
 
@@ -114,7 +113,7 @@ def concept_json(spark, d):
 
 
 def mask_entities(spark, d):
-    tags = S.bio_encode(_tokens(spark, d), V.gold_spans(spark, d)).withColumn("token", F.lit("x"))
+    tags = _tagged(spark, d).select("doc_id", "pos", "tag", F.lit("x").alias("token"))
     return S.mask_entities(tags, 0.3, 7).groupBy("tag", "token").agg(F.count("*").alias("n"))
 
 

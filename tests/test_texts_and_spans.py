@@ -369,3 +369,35 @@ def test_repeats_and_words_are_worked_out_once(spark):
         assert got[k][:4] == repeats(t.split("\n"), 30) + repeats(re.split(r"\n\s*\n", t), 80), k
     assert got[5][4:] == (9, 0.0)
     assert got[3][4] == 26 and got[3][5] == round(sum(len(w) >= 4 for w in re.findall(r"\w+", texts[3])) / 26, 4)
+
+
+def test_words_of_texts_are_tagged_as_tokens_are(spark):
+    draw = random.Random(8)
+    texts = {k: "".join(draw.choice(("a", "bc", " ", "  ", "\n", "\r\n", "\t", "đ")) for _ in range(draw.randint(0, 120))) for k in range(40)}
+    docs = spark.createDataFrame([*texts.items(), (99, None), (100, "")], "doc_id long, text string")
+    spans_ = [(k, s, s + draw.choice((0, 1, 5, 40)), draw.choice("TU")) for k in texts if k % 5 for s in draw.choices(range(60), k=6)]
+    gold = spark.createDataFrame(spans_, "doc_id long, start long, end long, type string")
+    want = {}
+    for k, text in texts.items():
+        at, n = 0, 0
+        for i, line in enumerate(text.replace("\r\n", "\n").split("\n")):
+            for j, m in enumerate(re.finditer(r"[^ \t\n\x0b\f\r]+", line)):
+                ts, te = at + m.start(), at + m.end()
+                hit = min(((s, e, t) for d, s, e, t in spans_ if d == k and ts < e and te > s), default=None)
+                want[k, i * 100_000 + j] = (n, ts, te, "O" if hit is None else ("B-" if ts <= hit[0] else "I-") + hit[2])
+                n += 1
+            at += len(line) + 1
+    told = lambda df: {(r["doc_id"], r["pos"]): (r["place"], r["ts"], r["te"], r["tag"]) for r in df.collect()}
+    whole, inside = spans.bio_texts(docs, gold), spans.bio_texts(docs, gold, outside=False)
+    assert told(whole) == want and told(inside) == {k: v for k, v in want.items() if v[3] != "O"}
+    decoded = lambda df: sorted(tuple(r) for r in spans.bio_decode(df.withColumn("prob", F.lit(0.5))).collect())
+    assert decoded(inside) == decoded(whole.drop("place"))
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1  # texts and spans: no buckets of words
+
+
+def test_lines_are_not_shuffled_for_their_offsets(spark):
+    docs = spark.createDataFrame([(1, "ab\r\n\nc"), (2, None), (3, ""), (4, "x")], "doc_id long, text string")
+    got = lines.lines(docs)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 0, 0, "ab"), (1, 1, 3, ""), (1, 2, 4, "c"), (3, 0, 0, ""), (4, 0, 0, "x")]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
