@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .score import count_scores, counted_tuples
+from .hygiene import shared_table
+from .score import counted_sides, counted_tuples, kind_counts, scores_of_counts
 
 
 def sequence_tags(rows: DataFrame, pad: str = "0") -> DataFrame:
@@ -28,9 +29,19 @@ def both_scores(gold: DataFrame, pred: DataFrame) -> DataFrame:
     ``words`` counts a tuple of tag and word, ``dummy`` the tag alone, so that mis-heard words still count as tagged.
     Tuples are shuffled once, by sentence, and counted there; the counts without words are sums of those with them.
     """
-    words, out = counted_tuples(gold, pred), None
-    bare = words.groupBy("sent_id", "tag").agg(F.sum("g").alias("g"), F.sum("p").alias("p")).withColumn("word", F.lit("dummy"))
-    for kind, counted in (("words", words), ("dummy", bare)):
-        one = count_scores(counted).withColumn("kind", F.lit(kind))
+    return _both(counted_tuples(gold, pred))
+
+
+def tag_scores(tags: DataFrame) -> DataFrame:
+    """As :func:`both_scores` of the two sides of ``tags(sent_id, word, gold_tag, pred_tag)``, made once for both."""
+    side = lambda c, g: F.struct(F.col(c).alias("tag"), "word", F.lit(g).alias("g"), F.lit(1 - g).alias("p"))
+    return _both(counted_sides(tags.select("sent_id", F.inline(F.array(side("gold_tag", 1), side("pred_tag", 0))))))
+
+
+def _both(words: DataFrame) -> DataFrame:
+    """Tuples are read once; of them a row a tag is kept, which both kinds' rates and means are made of."""
+    counts, out = shared_table(kind_counts(words), "tags"), None
+    for kind in ("words", "dummy"):
+        one = scores_of_counts(counts.select("tag", F.col(kind).alias("met"), "g", "p")).withColumn("kind", F.lit(kind))
         out = one if out is None else out.union(one)
     return out.select("kind", "tag", "precision", "recall", "f1")

@@ -212,19 +212,34 @@ def tuple_scores(gold: DataFrame, pred: DataFrame) -> DataFrame:
 
 def counted_tuples(gold: DataFrame, pred: DataFrame, dummy: str = "dum") -> DataFrame:
     """(sent_id, tag, word, g, p): how often each side of ``(sent_id, word, tag)`` has a tuple, dealt by sentence in one shuffle."""
-    sides = None
-    for side, g in ((gold, 1), (pred, 0)):
-        bare = F.regexp_replace("tag", "^[BI]-", "")
-        one = side.where(~F.col("tag").isin("0", "O", dummy)).select("sent_id", bare.alias("tag"), "word", F.lit(g).alias("g"), F.lit(1 - g).alias("p"))
-        sides = one if sides is None else sides.union(one)
-    return sides.repartition("sent_id").groupBy("sent_id", "tag", "word").agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
+    side = lambda df, g: df.select("sent_id", "tag", "word", F.lit(g).alias("g"), F.lit(1 - g).alias("p"))
+    return counted_sides(side(gold, 1).union(side(pred, 0)), dummy)
+
+
+def counted_sides(sides: DataFrame, dummy: str = "dum") -> DataFrame:
+    """As :func:`counted_tuples`, of both sides' ``(sent_id, tag, word, g, p)``, with 1 for the side that a row is of and 0 for the other."""
+    told = sides.where(~F.col("tag").isin("0", "O", dummy)).select("sent_id", F.regexp_replace("tag", "^[BI]-", "").alias("tag"), "word", "g", "p")
+    return told.repartition("sent_id").groupBy("sent_id", "tag", "word").agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
 
 
 def count_scores(counted: DataFrame) -> DataFrame:
     """As :func:`tuple_scores` of :func:`numbered_tuples`, from :func:`counted_tuples`: the n-th repeats meet up to the lesser count."""
     met = F.when(F.col("sent_id").isNotNull() & F.col("word").isNotNull(), F.least("g", "p")).otherwise(0)
-    counts = counted.withColumn("met", met).rollup("tag").agg(F.sum("met").alias("tp"), F.sum(F.col("p") - F.col("met")).alias("fp"), F.sum(F.col("g") - F.col("met")).alias("fn"))
-    return _with_averages(counts.select("tag", *_prf(F.col("tp"), F.col("fp"), F.col("fn"))))
+    return scores_of_counts(counted.withColumn("met", met))
+
+
+def scores_of_counts(counts: DataFrame) -> DataFrame:
+    """Scores of ``counts(tag, met, g, p)``: tuples that meet, and all of either side."""
+    by = counts.rollup("tag").agg(F.sum("met").alias("tp"), F.sum(F.col("p") - F.col("met")).alias("fp"), F.sum(F.col("g") - F.col("met")).alias("fn"))
+    return _with_averages(by.select("tag", *_prf(F.col("tp"), F.col("fp"), F.col("fn"))))
+
+
+def kind_counts(counted: DataFrame) -> DataFrame:
+    """(tag, words, dummy, g, p): over all sentences, how many tuples meet with their words, and by their tag alone."""
+    known = F.col("sent_id").isNotNull()
+    met = F.when(known & F.col("word").isNotNull(), F.least("g", "p")).otherwise(0)
+    own = counted.groupBy("sent_id", "tag").agg(F.sum(met).alias("words"), F.sum("g").alias("g"), F.sum("p").alias("p"))
+    return own.groupBy("tag").agg(F.sum("words").alias("words"), F.sum(F.when(known, F.least("g", "p")).otherwise(0)).alias("dummy"), F.sum("g").alias("g"), F.sum("p").alias("p"))
 
 
 def _with_averages(by: DataFrame) -> DataFrame:

@@ -87,16 +87,16 @@ def slue(spark, d):
 def seq2seq_eval(spark, d):
     """Lines as a generator tags them: some lose their last two words, some gain one; scored with and without words."""
     tagged = lambda w, pos: F.struct(w.alias("word"), *(c.alias(k) for c, k in zip(_gold_pred(pos), ("gold_tag", "pred_tag"), strict=True)))
-    whole = V.all_lines(spark, d).where("line_no % 35 <> 0").select("doc_id", "line_no", F.transform(F.split("line", " "), tagged).alias("x")).where("not exists(x, y -> y.word = '' or y.word like '%*%')")
+    # No word of a line is empty or holds a star: told of the line, before its words are made.
+    good = V.all_lines(spark, d).where("line_no % 35 <> 0 and line <> '' and not (line like ' %' or line like '% ' or line like '%  %' or line like '%*%')")
+    whole = good.select("doc_id", "line_no", F.transform(F.split("line", " "), tagged).alias("x"))
     n, none = F.size("x"), F.array().cast("array<string>")
     col = lambda c: F.transform("x", lambda y: y[c])
     short = F.when(F.col("line_no") % 7 == 0, F.greatest(n - 2, F.lit(0))).otherwise(n)
     more = lambda v: F.when(F.col("line_no") % 5 == 0, F.array(F.lit(v))).otherwise(none)
     encoded = X.encode_tags(F.concat(F.slice(col("word"), F.lit(1), short), more("more")), F.concat(F.slice(col("pred_tag"), F.lit(1), short), more("B-A")))
     rows = whole.select(F.concat_ws("-", "doc_id", "line_no").alias("sent_id"), col("word").alias("words"), col("gold_tag").alias("gold"), encoded.alias("encoded"))
-    tags = evaluate.sequence_tags(rows)
-    side = lambda c: tags.select("sent_id", "pos", "word", F.col(c).alias("tag"))
-    return _r(evaluate.both_scores(side("gold_tag"), side("pred_tag")), "precision", "recall", "f1")
+    return _r(evaluate.tag_scores(evaluate.sequence_tags(rows)), "precision", "recall", "f1")
 
 
 def asr_scores(spark, d):

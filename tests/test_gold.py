@@ -3,12 +3,14 @@
 import json
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom.functions import text as X
 from spanloom.functions.lexicon import CLINICAL_VI, DIAGNOSIS, DRUG, LAB_RESULT, SYMPTOM
-from spanloom.operators import evaluate, gold, hygiene, spans
+from spanloom.operators import evaluate, gold, hygiene, score, spans
 from spanloom.plans import pipelines, sql
 from spanloom.sources import io
 
@@ -172,3 +174,24 @@ def test_counted_tuples_score_as_numbered_ones_and_are_shuffled_once(spark):
     assert sorted(map(tuple, told.collect())) == sorted(want)
     plan = told._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Join" not in plan
+
+
+def test_sides_of_one_table_score_alike_and_are_read_once(spark):
+    draw = random.Random(4)
+    rows = [(f"s{draw.randint(0, 9)}", k, draw.choice("xyz"), draw.choice(("O", "B-A", "I-A", "B-B")), draw.choice(("0", "O", "B-A", "B-B", "B-C"))) for k in range(300)]
+    tags = spark.createDataFrame(rows, "sent_id string, pos int, word string, gold_tag string, pred_tag string")
+    read = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: read.add(1) or x)
+    side = lambda c: tags.select("sent_id", "pos", "word", F.col(c).alias("tag"))
+    want = sorted(map(tuple, evaluate.both_scores(side("gold_tag"), side("pred_tag")).collect()))
+    for kind, with_words in (("words", True), ("dummy", False)):
+        told = score.tuple_scores(*(score.numbered_tuples(side(c), with_words) for c in ("gold_tag", "pred_tag")))
+        assert sorted(r[1:] for r in want if r[0] == kind) == sorted(map(tuple, told.select("tag", "precision", "recall", "f1").collect()))
+    assert sorted(map(tuple, evaluate.tag_scores(tags.withColumn("word", seen("word"))).collect())) == want
+    assert read.value == len(rows)
+
+
+def test_tags_of_triples(spark):
+    text = "B-A* x B-A* *O* y z* O* w* O* ** v **"
+    want = [(m[1], m[0] if m[0] == m[2] else "0") for m in re.findall(r"(\S+)\* (\S+) (\S+)\*", text)]
+    assert [tuple(x) for x in spark.createDataFrame([(text,)], "t string").select(X.decode_tags(F.col("t"))).first()[0]] == want
