@@ -289,3 +289,19 @@ def test_nearest_over_parts_equals_all_pairs_and_shuffles_no_vectors(spark, monk
     assert told() == near
     q.cache().count()
     assert _shuffled(spark, lambda: link.nearest(q, t, 7).write.format("noop").mode("overwrite").save()) < 20_000
+
+
+def test_shingles_of_the_same_documents_are_one_group(spark, monkeypatch):
+    rng = random.Random(3)
+    words = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    long, short = words(200), words(30)
+    texts = [long, f"{words(20)} {long}", f"{long} {words(40)}", f"{short} {words(25)} {long}", f"{words(9)} {short}", words(50), "too few words", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = {r["doc_id"]: r for r in hygiene.shared_shingles(docs).withColumn("many", hygiene.weight(F.col("sh"))).collect()}
+    assert {k: (len(r["sh"]), r["many"]) for k, r in held.items()} == {0: (1, 193), 1: (1, 193), 2: (1, 193), 3: (2, 216), 4: (1, 23)}
+    want = sorted(map(tuple, hygiene.reuse_pairs(docs).collect()))
+    assert len(want) == 7
+    for many in (hygiene.MANY, 7):  # few fit into a number: a passage is some groups
+        monkeypatch.setattr(hygiene, "MANY", many)
+        assert sorted(map(tuple, hygiene.contained_pairs(docs, 0.01).collect())) == want
+        assert sorted(map(tuple, hygiene.contained_pairs(docs, 0.5).collect())) == [r for r in want if r[3] >= 0.5]
